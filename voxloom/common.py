@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -19,8 +22,25 @@ SENTINEL_NUMBERS = (77, 88, 99)
 BLANKS = r"[\s   ﻿]"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers of a session, once; they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        home = os.path.dirname(os.path.abspath(__file__))
+        tmp = tempfile.mkdtemp(prefix="voxloom-")  # executors fetch the file when they start, so it stays until the end
+        atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+        copy = os.path.join(tmp, "copy")
+        shutil.copytree(home, os.path.join(copy, os.path.basename(home)), ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(tmp, "voxloom"), "zip", copy))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
