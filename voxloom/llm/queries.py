@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.common import table
-from voxloom.llm import neartime, runs, turns
+from voxloom.llm import communities, leakage, mixture, neartime, neighbours, pii, runs, subset, turns
+
+
+def p2_subset(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "samples")
+    return subset.diverse_subset(samples, "sample_id", "enhanced_features", 256).withColumnRenamed("id", "sample_id")
+
+
+def p2_cover(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "samples")
+    chosen = subset.diverse_subset(samples, "sample_id", "enhanced_features", 256)
+    return subset.nearest_pick(samples, "sample_id", "enhanced_features", chosen).select(F.col("id").alias("sample_id"), "pick_id", F.round("sim", 4).alias("sim"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -16,6 +27,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("edit_id", "az_id").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest_vectors(table(spark, d, "recalculated_features"), "merged_id", "dvectors", 3, 0.95)
+    return near.select(F.least("a", "b").alias("merged_id_a"), F.greatest("a", "b").alias("merged_id_b")).distinct()
+
+
+def p4_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 nearest of every sample whose id is divisible by 100, among all samples."""
+    near = neighbours.nearest_vectors(table(spark, d, "samples"), "sample_id", "enhanced_features", 3, every=100, curves=neighbours.QUERY_CURVES, half=neighbours.QUERY_HALF_WINDOW)
+    return near.select(F.col("a").alias("sample_id"), "rank", F.col("b").alias("neighbour_id"), F.round("sim", 4).alias("sim"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = communities.tight_clusters(table(spark, d, "samples"), "sample_id", "enhanced_features")
+    return found.where("id <> community").select(F.col("community").alias("first_sample_id"), F.col("id").alias("sample_id"))
+
+
+def p5_communities(spark: SparkSession, d: str) -> DataFrame:
+    return communities.describe(communities.similarity_communities(table(spark, d, "samples"), "sample_id", "enhanced_features"), table(spark, d, "samples"))
+
+
 def p6_turns(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "azure_diarization"))
 
@@ -34,12 +65,48 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", F.col("label").alias("cluster_label"), F.col("first_id").alias("first_merged_id"), F.col("last_id").alias("last_merged_id"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.corpus_mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.corpus_mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_pii(table(spark, d, "documents")).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact_pii(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_subset": p2_subset,
+    "p2_cover": p2_cover,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_samples": p4_samples,
+    "p5_found": p5_found,
+    "p5_communities": p5_communities,
     "p6_turns": p6_turns,
     "p6_found": p6_found,
     "p7_runs": p7_runs,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 SQL: dict[str, str] = {
