@@ -44,7 +44,7 @@ when where whether which while who why will with would yesterday you your monday
 al ayer con cuando de del dijo donde dos el ella en era es esta este firmó fue ha hablé hoy la las lo los luego más me mi muy no
 para pero por que se si sin sobre soy su también tiene un una vive y ya aber am an auf aus bei das dem den der des die dann du ein
 eine er es gestern hat heute ich ihr im ist kommt mit nach nicht noch oder sie sind über um und uns unter unterschrieben vom von vor
-war warum was wie will wir wird wohnt zu zum zur zweimal
+war warum was wie will wir wird wohnt zu zum zur zweimal dot punkt punto arroba
 """.split())
 TITLES = frozenset("dr mr mrs ms miss prof professor herr frau señor señora sr sra don doña".split())
 NAME_CUES = frozenset("""with is thank ask annotator regards to hier ist soy señora señor frau herr dr mr mrs ms con mit name named called
@@ -64,11 +64,12 @@ THING_WORDS = frozenset("lake park hill team project room wing hall corpus schoo
 H = r"[^\S\r\n]"
 W = r"[^\W\d_]+"
 NAME_WORD = rf"{W}(?:['’\-]{W})*"
-HOUSE = r"\d{1,4}(?:\s?[-–/]\s?\d{1,4})?(?:\s?[a-hA-H])?(?![\w])"
+HOUSE = r"\d{1,4}(?:[-–/]\d{1,4})?(?:\s?[a-hA-H])?(?![\w])"
 UNIT = rf"(?:flat|apartment|apt|unit|suite|ste|piso|wohnung|whg){H}?\.?{H}?#?\d{{1,4}}[a-z]?(?!\w)"
 EN_SUFFIX = r"(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct|row|place|pl|boulevard|blvd|way|terrace|square|sq|close|crescent|parkway|highway)"
-DE_STREET = rf"(?:[^\W\d_]{{2,}}(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig)|(?:am|an{H}der|an{H}den|im|zum|zur|auf{H}der|unter{H}den|alte|neue|große|kleine){H}{NAME_WORD}(?:{H}{NAME_WORD})?|{NAME_WORD}{H}(?:straße|strasse|str\.|weg|platz|allee))"
-ES_STREET = rf"(?:calle|c/|avenida|avda\.?|av\.|plaza|paseo|pza\.?|camino|ronda|carrera|travesía){H}{{0,2}}(?:(?:de|del|de{H}la|de{H}los|de{H}las|la|el|los){H})?{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}"
+DE_STREET = r"[^\W\d_]{2,}(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig)"
+DE_PHRASE = rf"(?:(?:am|an{H}der|an{H}den|im|zum|zur|auf{H}der|unter{H}den|alte|neue|große|kleine){H}{NAME_WORD}(?:{H}{NAME_WORD})?|{NAME_WORD}{H}(?:straße|strasse|str\.|weg|platz|allee))"
+ES_STREET = rf"(?:c/{H}?|(?:calle|avenida|avda|av|plaza|paseo|pza|camino|ronda|carrera|travesía)(?!\w)\.?{H}{{1,2}})(?:(?:de|del|de{H}la|de{H}los|de{H}las|la|el|los){H})?{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}"
 BOX = r"(?:p\.?\s?o\.?\s?box|postfach|apartado(?:\sde\scorreos)?|casilla)"
 TOWN = rf"{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}"
 POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|\d{4,5}(?:-\d{3,4})?)(?![\w])"
@@ -76,6 +77,7 @@ COMMA = rf"{H}?,{H}?"
 STREETS = {
     "en": re.compile(rf"(?:{UNIT}{COMMA})?{HOUSE}{H}{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}?{H}{EN_SUFFIX}(?!\w)\.?(?:{COMMA}{UNIT})?", re.I),
     "de": re.compile(rf"{DE_STREET}{H}{HOUSE}", re.I),
+    "dephrase": re.compile(rf"{DE_PHRASE}{H}{HOUSE}", re.I),
     "es": re.compile(rf"{ES_STREET}{H}?,?{H}?(?:n[º°o]\.?{H}?)?{HOUSE}(?:{COMMA}\d{{1,2}}{H}?[ºª°]{H}?[a-z]?(?!\w))?", re.I),
     "box": re.compile(rf"{BOX}{H}?#?\d{{1,6}}(?!\w)", re.I),
 }
@@ -193,7 +195,7 @@ def address_segments(text: str) -> Iterator[Segment]:
             base = ["address:bias", f"address:kind:{kind}"]
             inner = [w.lower() for w in WORDS.findall(m.group())]
             base += ["address:functionword"] if kind == "en" and any(w in FUNCTION_WORDS or w in CODE_CUES for w in inner[:-1]) else []
-            base += ["address:functionword"] if kind == "de" and len(inner) > 1 and inner[-1] in FUNCTION_WORDS else []
+            base += ["address:functionword"] if kind == "dephrase" and len(inner) > 1 and inner[-1] in FUNCTION_WORDS else []
             base += _cues(_before(text, s), "address", {"address": ADDRESS_CUES, "code": CODE_CUES})
             ends = [(m.end(), "bare", "")]
             for k, tail in enumerate(TAILS):
@@ -251,6 +253,7 @@ def name_segments(text: str) -> Iterator[Segment]:
             f.append(f"name:case:{style(a)}{style(b)}")
         else:
             f.append(f"name:initialcase:{words[initial][2].isupper()}{words[fam][2][:1].isupper()}")
+            f += ["name:afterdigit"] if re.search(r"(?:^|[^\d:])[\d.,]*\d\s?$", text[max(0, s - 12) : s]) else []
         f += ["name:functionfamily"] if low[fam] in FUNCTION_WORDS else []
         f += ["name:familything"] if low[fam] in THING_WORDS or low[fam] in CODE_CUES or low[fam] in TITLES else []
         f += ["name:familygiven"] if low[fam] in GIVEN_NAMES else []
@@ -279,7 +282,7 @@ def name_segments(text: str) -> Iterator[Segment]:
             yield emit(i, j, "I.L", None, j, i)
         if one and j < n and words[j][1] - words[j][0] == 1 and ends[j][1] < n and sep(j, ends[j][1]) in (". ", ".") and family(ends[j][1]):
             yield emit(i, ends[j][1], "I.I.L", None, ends[j][1], i)
-        cued = i > 0 and low[i - 1] in NAME_CUES and words[i][2][:1].isupper() and low[i] not in FUNCTION_WORDS
+        cued = i > 0 and low[i - 1] in NAME_CUES and text[ends_at(i - 1) : words[i][0]] in (" ", ": ", ", ", ". ") and words[i][2][:1].isupper() and low[i] not in FUNCTION_WORDS
         if gap == " " and (low[i] in GIVEN_NAMES or cued) and family(j):
             yield emit(i, j, "FL", i, j, None)
         if gap == " " and (low[i] in GIVEN_NAMES or cued) and words[j][1] - words[j][0] == 1:
@@ -361,7 +364,8 @@ def _name(r: random.Random) -> str:
 
 
 def _email(r: random.Random) -> str:
-    local = r.choice([_word(r), f"{_word(r, 1)}.{_word(r)}", f"{_word(r, 1)}_{_word(r)}+{_word(r, 1)}", f"{_word(r, 1)}-{_word(r)}", f"{_word(r)}{r.randint(1, 99)}"])
+    given = r.choice(sorted(GIVEN_NAMES))
+    local = r.choice([_word(r), f"{given}.{_word(r)}", f"{given}-{_word(r)}", f"{_word(r)}_{given}+{_word(r, 1)}", f"{_word(r, 1)}.{_word(r)}", f"{_word(r, 1)}_{_word(r)}+{_word(r, 1)}", f"{_word(r, 1)}-{_word(r)}", f"{_word(r)}{r.randint(1, 99)}"])
     host = r.choice([f"{_word(r)}.{r.choice(['com', 'org', 'test', 'example', 'de'])}", f"{_word(r)}-lab.example", f"{_word(r)}.mail.test", f"{_word(r)}.invalid"])
     style = r.randrange(5)
     if style == 3:
@@ -413,7 +417,7 @@ def _plain(r: random.Random) -> str:
         f"Ticket {n}-{r.randint(1, 999)} is open.", f"Checksum {n}-{r.randint(1, 999)}-{r.randint(1, 999)} fits node {big}{n}.", f"Call sign {big} {r.randint(100, 999)} {r.randint(100, 999)} was heard.", f"Row {n} of rec_{n}_{r.randint(1, 99)} is empty.",
         f"Handle @annot_{n} merged the file.", f"Lake {big} and {_word(r).title()} Park are near.", f"Team {big} met in {_word(r).title()} Wing room {n}.", f"Project {big} moved to room {n}.", f"The {big} {_word(r).title()} corpus has {n} hours.",
         f"On 2024-0{r.randint(1, 9)}-{r.randint(10, 28)} it was late.", f"Build 2.{n}.0 of the tool ran.", f"Sample M{n}_{r.randint(1, 999)} carries label 99.", f"The sheet reads {n}.{r.randint(100, 999)}, not {n}.{r.randint(100, 999)}.", f"Call me at 12:{r.randint(10, 59)} please.",
-        f"My number is {n}, and yours?", f"Ship it to {big} Hall.", f"We were in {big} yesterday.", f"The pupil called {big} sang.", f"Put {n} of them in the second row please.", f"Version {n} {r.randint(100, 999)} {r.randint(100, 999)} failed.", f"Order {_digits(r, 6)} and {_digits(r, 5)} came.",
+        f"We ran {n} rounds at a step of 0.{r.randint(1, 9)} s. {r.choice(['They', 'Nothing', 'Mail', 'Row', big])} was next.", f"My number is {n}, and yours?", f"Ship it to {big} Hall.", f"We were in {big} yesterday.", f"The pupil called {big} sang.", f"Put {n} of them in the second row please.", f"Version {n} {r.randint(100, 999)} {r.randint(100, 999)} failed.", f"Order {_digits(r, 6)} and {_digits(r, 5)} came.",
         f"{big} and the visitor left.", f"Wir sahen {n} im Raum {big}.", f"Am Montag {r.randint(1, 9)} Stunden in {big}.", f"La sala {big} tiene {n} sillas.", f"At {r.randint(1, 12)}:{r.randint(10, 59)} in the {_word(r)} hall {n} people sat.", f"As in “{n} and why {big} did” so on.",
     ])
 
