@@ -23,7 +23,8 @@ def carried(df: DataFrame, keys: list[str], bucket: str, order: list[str], specs
     """Add columns that look along the whole key, in the order of (bucket, order columns).
 
     `specs` maps an output name to (kind, expression); kinds: `lag`, `lead` (one row; null where there
-    is none), `sum` (running, with this row), `max_before` (running maximum of the rows before this one).
+    is none), `sum` (running, with this row), `max_before` (running maximum of the rows before this one),
+    `last` and `next` (the nearest value that isn't null, of this row and those before, or after).
     The key columns must not be null; the order columns must rise with the bucket and make a total order.
     """
     at = [F.col(c) for c in order]
@@ -50,6 +51,13 @@ def carried(df: DataFrame, keys: list[str], bucket: str, order: list[str], specs
             local.append(F.max(expr).over(before).alias(f"__l_{out}"))
             per_bucket.append(F.max(expr).alias(f"__b_{out}"))
             inherit.append(F.max(f"__b_{out}").over(past).alias(f"__i_{out}"))
+        elif kind in ("last", "next"):
+            pick, side = (F.last, upto) if kind == "last" else (F.first, w.rowsBetween(0, Window.unboundedFollowing))
+            local.append(pick(expr, ignorenulls=True).over(side).alias(f"__l_{out}"))
+            held = F.when(expr.isNotNull(), F.struct(place.alias("at"), expr.alias("v")))
+            per_bucket.append((F.max(held) if kind == "last" else F.min(held))["v"].alias(f"__b_{out}"))
+            beyond = past if kind == "last" else wb.rowsBetween(1, Window.unboundedFollowing)
+            inherit.append(pick(f"__b_{out}", ignorenulls=True).over(beyond).alias(f"__i_{out}"))
         else:
             raise ValueError(f"unknown kind {kind!r}")
     rows = df.select("*", *local)
@@ -60,6 +68,8 @@ def carried(df: DataFrame, keys: list[str], bucket: str, order: list[str], specs
         mine, theirs = F.col(f"__l_{out}"), F.col(f"__i_{out}")
         if kind in ("lag", "lead"):
             done.append(F.coalesce(mine, theirs)["v"].alias(out))
+        elif kind in ("last", "next"):
+            done.append(F.coalesce(mine, theirs).alias(out))
         elif kind == "sum":
             done.append((F.coalesce(mine, F.lit(0)) + F.coalesce(theirs, F.lit(0))).alias(out))
         else:

@@ -40,10 +40,10 @@ def speaking_intervals(gt: DataFrame) -> DataFrame:
     """The intervals of gt_segments that count: first deliveries with label and times, in milliseconds.
 
     Labels are cleaned (`clean_label`); sentinels, missing labels, null or NaN times and ends not
-    after the start drop out. Columns: rec_id, speaker_label, start_ms, end_ms.
+    after the start drop out. Columns: seg_id, rec_id, speaker_label, start_ms, end_ms.
     """
     rows = first_delivery(gt.select("seg_id", "rec_id", "speaker_label", "start_time", "end_time", "loaded_at"), "seg_id")
-    rows = rows.select("rec_id", clean_label(F.col("speaker_label")).alias("speaker_label"), to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"))
+    rows = rows.select("seg_id", "rec_id", clean_label(F.col("speaker_label")).alias("speaker_label"), to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"))
     return rows.where("rec_id is not null and speaker_label is not null and end_ms > start_ms").where(~is_sentinel(F.col("speaker_label")))
 
 
