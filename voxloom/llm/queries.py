@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voxloom.common import table
 from voxloom.llm import communities, leakage, mixture, neartime, neighbours, pii, runs, subset, turns
+from voxloom.llm.oracle import SQL  # noqa: F401
 
 
 def p2_subset(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +20,7 @@ def p2_subset(spark: SparkSession, d: str) -> DataFrame:
 def p2_cover(spark: SparkSession, d: str) -> DataFrame:
     samples = table(spark, d, "samples")
     chosen = subset.diverse_subset(samples, "sample_id", "enhanced_features", 256)
-    return subset.nearest_pick(samples, "sample_id", "enhanced_features", chosen).select(F.col("id").alias("sample_id"), "pick_id", F.round("sim", 4).alias("sim"))
+    return subset.nearest_pick(samples, "sample_id", "enhanced_features", chosen).select(F.col("id").alias("sample_id"), "pick_id", F.round(F.col("sim").cast("double"), 4).alias("sim"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +36,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_samples(spark: SparkSession, d: str) -> DataFrame:
     """The 3 nearest of every sample whose id is divisible by 100, among all samples."""
     near = neighbours.nearest_vectors(table(spark, d, "samples"), "sample_id", "enhanced_features", 3, every=100, curves=neighbours.QUERY_CURVES, half=neighbours.QUERY_HALF_WINDOW)
-    return near.select(F.col("a").alias("sample_id"), "rank", F.col("b").alias("neighbour_id"), F.round("sim", 4).alias("sim"))
+    return near.select(F.col("a").alias("sample_id"), "rank", F.col("b").alias("neighbour_id"), F.round(F.col("sim").cast("double"), 4).alias("sim"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,36 +109,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_redacted": p10_redacted,
 }
-
-SQL: dict[str, str] = {
-    "p3_found": """
-WITH e AS (
-  SELECT edit_id, rec_id, CAST(round(starttime * 1000) AS BIGINT) AS x
-  FROM (SELECT *, row_number() OVER (PARTITION BY edit_id ORDER BY loaded_at) AS rn FROM human_edits)
-  WHERE rn = 1 AND starttime IS NOT NULL AND NOT isnan(starttime)),
-a AS (
-  SELECT az_id, rec_id, CAST(round(start_time * 1000) AS BIGINT) AS s
-  FROM (SELECT *, row_number() OVER (PARTITION BY az_id ORDER BY loaded_at) AS rn FROM azure_diarization)
-  WHERE rn = 1 AND start_time IS NOT NULL AND NOT isnan(start_time) AND end_time IS NOT NULL AND NOT isnan(end_time)),
-near AS (
-  SELECT e.edit_id, a.az_id, row_number() OVER (PARTITION BY e.edit_id ORDER BY abs(a.s - e.x), a.s, a.az_id) AS rn
-  FROM e JOIN a ON e.rec_id = a.rec_id AND a.s BETWEEN e.x - 400 AND e.x + 400)
-SELECT edit_id, az_id FROM near WHERE rn = 1
-""",
-    "p7_found": """
-WITH m AS (
-  SELECT merged_id, rec_id, cluster_labels AS label, CAST(round(start_times * 1000) AS BIGINT) AS s, CAST(round(end_times * 1000) AS BIGINT) AS e
-  FROM (SELECT *, row_number() OVER (PARTITION BY merged_id ORDER BY loaded_at) AS rn FROM merged_samples)
-  WHERE rn = 1 AND cluster_labels IS NOT NULL AND cluster_labels <> -1 AND start_times IS NOT NULL AND NOT isnan(start_times)),
-change AS (
-  SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY rec_id ORDER BY s, merged_id) THEN 0 ELSE 1 END AS c FROM m),
-stretch AS (
-  SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY s, merged_id) AS k FROM change),
-reach AS (
-  SELECT *, max(greatest(s, e)) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM stretch),
-run AS (
-  SELECT *, sum(CASE WHEN s - latest <= 1500 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id) AS r FROM reach)
-SELECT rec_id, CAST(max(label) AS BIGINT) AS cluster_label, arg_min(merged_id, s) AS first_merged_id, arg_max(merged_id, s) AS last_merged_id
-FROM run GROUP BY rec_id, k, r HAVING count(*) >= 2
-""",
-}
