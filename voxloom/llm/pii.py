@@ -81,7 +81,15 @@ STREETS = {
     "es": re.compile(rf"{ES_STREET}{H}?,?{H}?(?:n[º°o]\.?{H}?)?{HOUSE}(?:{COMMA}\d{{1,2}}{H}?[ºª°]{H}?[a-z]?(?!\w))?", re.I),
     "box": re.compile(rf"{BOX}{H}?#?\d{{1,6}}(?!\w)", re.I),
 }
-MAYBE_STREET = re.compile(rf"(?<!\w){HOUSE}{H}{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}?{H}{EN_SUFFIX}(?!\w)|(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig){H}\d|(?<!\w)(?:am|an|im|zum|zur|auf|unter|alte|neue|große|kleine){H}[^\n]{{3,40}}?{H}\d|(?<!\w)(?:calle|c/|avenida|avda|av\.|plaza|paseo|pza|camino|ronda|carrera|travesía)(?!\w)|(?<!\w){BOX}{H}?#?\d", re.I)
+#: What a line must contain, in lower case, for a pattern to be tried on it.
+STREET_SIGNS = {
+    "en": tuple(" street| st| avenue| ave| road| rd| drive| dr| lane| ln| court| ct| row| place| pl| boulevard| blvd| way| terrace| square| sq| close| crescent| parkway| highway".split("|")),
+    "de": ("straße ", "strasse ", "str. ", "weg ", "platz ", "gasse ", "allee ", "ufer ", "ring ", "damm ", "steig "),
+    "dephrase": ("am ", "an de", "im ", "zum ", "zur ", "auf der ", "unter den ", "alte ", "neue ", "große ", "kleine ", " straße ", " strasse ", " str. ", " weg ", " platz ", " allee "),
+    "es": ("calle", "c/", "avenida", "avda", "av.", "av ", "plaza", "paseo", "pza", "camino", "ronda", "carrera", "travesía"),
+    "box": ("box", "postfach", "apartado", "casilla"),
+}
+LINE = re.compile(r"[^\n]+")
 TAILS = [re.compile(rf"{COMMA}{TOWN}{H}{POST}", re.I), re.compile(rf"{COMMA}{POST}{H}{TOWN}", re.I), re.compile(rf"{COMMA}{TOWN}", re.I), re.compile(rf"{COMMA}{POST}", re.I)]
 ATOM = r"[^\W_](?:[\w+\-]*[^\W_])?"
 DOT = rf"(?:\.|{H}*[\[(]{H}*(?:dot|punkt|punto){H}*[\])]{H}*|{H}+(?:dot|punkt|punto){H}+)"
@@ -89,6 +97,7 @@ AT = rf"(?:@|{H}*[\[(]{H}*(?:at|arroba){H}*[\])]{H}*|{H}+(?:at|arroba){H}+)"
 EMAIL = re.compile(rf"(?<![\w.+\-@]){ATOM}(?:{DOT}{ATOM})*{AT}{ATOM}(?:{DOT}{ATOM})*{DOT}[^\W\d_]{{2,}}(?![\w@])", re.I)
 MAYBE_EMAIL = re.compile(r"@|[\[(]\s*(?:at|arroba)\s*[\])]|\s(?:at|arroba)\s[^\n]{1,80}?\s(?:dot|punkt|punto)\s", re.I)
 DIGITS = re.compile(r"\d+")
+DIGIT_CHAIN = re.compile(r"\d[\d .()/\-]{5,}\d")
 CODE = re.compile(r"(?<![\w.@#-])(?:[A-Za-z]{1,3}-?\d{6,9}(?:-?[A-Za-z])?|[A-Za-z]\d{2,3} \d{3,4} \d{2,4}|\d{7,9}-?[A-Za-z])(?![\w@]|-\w)")
 WORDS = re.compile(W)
 NAME_JOIN = re.compile(rf"['’\-]{W}")
@@ -140,9 +149,9 @@ def email_segments(text: str) -> Iterator[Segment]:
 
 def number_segments(text: str) -> Iterator[Segment]:
     """Phone and identity numbers: every stretch of up to six digit groups that could be one."""
-    groups = [(m.start(), m.end()) for m in DIGITS.finditer(text)]
-    n = len(groups)
-    for i in range(n):
+    chains = [[(m.start(), m.end()) for m in DIGITS.finditer(text, *chain.span())] for chain in DIGIT_CHAIN.finditer(text)]
+    for groups, i in [(g, k) for g in chains for k in range(len(g))]:
+        n = len(groups)
         s, shape, digits, seps = groups[i][0], [], 0, []
         if s and (text[s - 1].isalnum() or text[s - 1] in "_.,:@#" or (text[s - 1] == "-" and s > 1 and text[s - 2].isalnum())) and not (s > 1 and text[s - 1] == "." and text[s - 2] == " "):
             continue
@@ -181,12 +190,19 @@ def number_segments(text: str) -> Iterator[Segment]:
 
 
 def address_segments(text: str) -> Iterator[Segment]:
-    if not MAYBE_STREET.search(text):
-        return
+    """Addresses: a street with house number or a box, alone and with each tail of town and postcode."""
+    for line in LINE.finditer(text):
+        if DIGITS.search(line.group()):
+            yield from _line_addresses(text, line.start(), line.end(), line.group().lower() + " ")
+
+
+def _line_addresses(text: str, begin: int, stop_at: int, low: str) -> Iterator[Segment]:
     seen = set()
     for kind, pattern in STREETS.items():
-        at = 0
-        while m := pattern.search(text, at):
+        if not any(sign in low for sign in STREET_SIGNS[kind]):
+            continue
+        at = begin
+        while m := pattern.search(text, at, stop_at):
             at = m.start() + 1
             s = m.start()
             if s and (text[s - 1].isalnum() or text[s - 1] in "_-–.#") or m.end() in seen and kind == "en" and any((t, m.end()) in seen for t in range(max(0, s - 40), s)):
@@ -227,18 +243,22 @@ def name_segments(text: str) -> Iterator[Segment]:
     words = [(m.start(), m.end(), m.group()) for m in WORDS.finditer(text)]
     n = len(words)
     low = [w[2].lower() for w in words]
-    ends = []  # the end of the word with its hyphenated parts, and the index of the next word
-    for i in range(n):
-        j, e = i + 1, words[i][1]
-        while j < n and text[e : words[j][0]] in ("-", "'", "’"):
-            e, j = words[j][1], j + 1
-        ends.append((e, j))
+    known: dict[int, tuple[int, int]] = {}
+
+    def end(i: int) -> tuple[int, int]:
+        """The end of a word with its hyphenated parts, and the index of the next word."""
+        if i not in known:
+            j, e = i + 1, words[i][1]
+            while j < n and text[e : words[j][0]] in ("-", "'", "’"):
+                e, j = words[j][1], j + 1
+            known[i] = (e, j)
+        return known[i]
 
     def sep(a: int, b: int) -> str:
         return text[ends_at(a) : words[b][0]]
 
     def ends_at(i: int) -> int:
-        return ends[i][0]
+        return end(i)[0]
 
     def family(i: int) -> bool:
         return i < n and words[i][1] - words[i][0] >= 2
@@ -257,12 +277,12 @@ def name_segments(text: str) -> Iterator[Segment]:
         f += ["name:functionfamily"] if low[fam] in FUNCTION_WORDS else []
         f += ["name:familything"] if low[fam] in THING_WORDS or low[fam] in CODE_CUES or low[fam] in TITLES else []
         f += ["name:familygiven"] if low[fam] in GIVEN_NAMES else []
-        f += ["name:hyphen"] if ends[fam][1] > fam + 1 else []
+        f += ["name:hyphen"] if end(fam)[1] > fam + 1 else []
         before = _before(text, s, 2)
         f += _cues(before, "name", {"cue": NAME_CUES, "title": TITLES, "thing": THING_WORDS, "code": CODE_CUES})
         left, right = text[s - 1 : s], text[e : e + 1]
         f += [f"name:left:{left if left in '.@-+_' and left else 'ok'}", f"name:right:{right if right in '@-+_' and right else 'ok'}"]
-        nxt = ends[j][1]
+        nxt = end(j)[1]
         if nxt < n and text[e : words[nxt][0]] == " ":
             f += ["name:nextthing"] if low[nxt] in THING_WORDS else []
             f += ["name:nextname"] if words[nxt][2][:1].isupper() and low[nxt] not in FUNCTION_WORDS else []
@@ -270,28 +290,37 @@ def name_segments(text: str) -> Iterator[Segment]:
             f.append("name:nextname")
         return Segment((s, e, "person_name", f))
 
-    for i in range(n):
+    starts = set()
+    for i, w in enumerate(low):
+        if w in GIVEN_NAMES:
+            k = i - 1  # a family name before it may have hyphenated parts
+            while k > 0 and text[words[k - 1][1] : words[k][0]] in ("-", "'", "’"):
+                k -= 1
+            starts.update((max(k, 0), i))
+        elif len(w) == 1 or i and low[i - 1] in NAME_CUES:
+            starts.add(i)
+    for i in sorted(starts):
         if i and text[words[i - 1][1] : words[i][0]] in ("-", "'", "’"):
             continue
-        j = ends[i][1]
+        j = end(i)[1]
         if j >= n:
             continue
         gap = sep(i, j)
         one = words[i][1] - words[i][0] == 1 and gap in (". ", ".")
         if one and family(j):
             yield emit(i, j, "I.L", None, j, i)
-        if one and j < n and words[j][1] - words[j][0] == 1 and ends[j][1] < n and sep(j, ends[j][1]) in (". ", ".") and family(ends[j][1]):
-            yield emit(i, ends[j][1], "I.I.L", None, ends[j][1], i)
+        if one and j < n and words[j][1] - words[j][0] == 1 and end(j)[1] < n and sep(j, end(j)[1]) in (". ", ".") and family(end(j)[1]):
+            yield emit(i, end(j)[1], "I.I.L", None, end(j)[1], i)
         cued = i > 0 and low[i - 1] in NAME_CUES and text[ends_at(i - 1) : words[i][0]] in (" ", ": ", ", ", ". ") and words[i][2][:1].isupper() and low[i] not in FUNCTION_WORDS
         if gap == " " and (low[i] in GIVEN_NAMES or cued) and family(j):
             yield emit(i, j, "FL", i, j, None)
         if gap == " " and (low[i] in GIVEN_NAMES or cued) and words[j][1] - words[j][0] == 1:
-            k = ends[j][1]
+            k = end(j)[1]
             if k < n and sep(j, k) in (". ", " ") and family(k):
                 yield emit(i, k, "FIL", i, k, None)
         if gap == ", " and low[j] in GIVEN_NAMES and family(i):
             yield emit(i, j, "L,F", j, i, None)
-            k = ends[j][1]
+            k = end(j)[1]
             if k < n and sep(j, k) == " " and words[k][1] - words[k][0] == 1 and text[words[k][1] : words[k][1] + 1] == ".":
                 yield Segment((words[i][0], words[k][1] + 1, "person_name", [*emit(i, j, "L,F", j, i, None)[3], "name:middle"]))
 
