@@ -75,7 +75,7 @@ TOWN = rf"{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}"
 POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]?\s\d[A-Z]{2}|\d{4,5}(?:-\d{3,4})?)(?![\w])"
 COMMA = rf"{H}?,{H}?"
 STREETS = {
-    "en": re.compile(rf"(?:{UNIT}{COMMA})?{HOUSE}{H}{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}?{H}{EN_SUFFIX}(?!\w)\.?(?:{COMMA}{UNIT})?", re.I),
+    "en": re.compile(rf"{HOUSE}{H}{NAME_WORD}(?:{H}{NAME_WORD}){{0,2}}?{H}{EN_SUFFIX}(?!\w)\.?(?:{COMMA}{UNIT})?", re.I),
     "de": re.compile(rf"{DE_STREET}{H}{HOUSE}", re.I),
     "dephrase": re.compile(rf"{DE_PHRASE}{H}{HOUSE}", re.I),
     "es": re.compile(rf"{ES_STREET}{H}?,?{H}?(?:n[º°o]\.?{H}?)?{HOUSE}(?:{COMMA}\d{{1,2}}{H}?[ºª°]{H}?[a-z]?(?!\w))?", re.I),
@@ -83,12 +83,13 @@ STREETS = {
 }
 #: What a line must contain, in lower case, for a pattern to be tried on it.
 STREET_SIGNS = {
-    "en": tuple(" street| st| avenue| ave| road| rd| drive| dr| lane| ln| court| ct| row| place| pl| boulevard| blvd| way| terrace| square| sq| close| crescent| parkway| highway".split("|")),
-    "de": ("straße ", "strasse ", "str. ", "weg ", "platz ", "gasse ", "allee ", "ufer ", "ring ", "damm ", "steig "),
-    "dephrase": ("am ", "an de", "im ", "zum ", "zur ", "auf der ", "unter den ", "alte ", "neue ", "große ", "kleine ", " straße ", " strasse ", " str. ", " weg ", " platz ", " allee "),
-    "es": ("calle", "c/", "avenida", "avda", "av.", "av ", "plaza", "paseo", "pza", "camino", "ronda", "carrera", "travesía"),
-    "box": ("box", "postfach", "apartado", "casilla"),
+    "en": re.compile(r"\s(?:street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct|row|place|pl|boulevard|blvd|way|terrace|square|sq|close|crescent|parkway|highway)(?!\w)"),
+    "de": re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ufer|ring|damm|steig)\s\d"),
+    "dephrase": re.compile(r"\b(?:am|an\sde[rn]|im|zum|zur|auf\sder|unter\sden|alte|neue|große|kleine)\s|\s(?:straße|strasse|str\.|weg|platz|allee)\s"),
+    "es": re.compile(r"c/|\b(?:calle|avenida|avda|av|plaza|paseo|pza|camino|ronda|carrera|travesía)\b"),
+    "box": re.compile(r"box|postfach|apartado|casilla"),
 }
+UNIT_BEFORE = re.compile(rf"(?<!\w){UNIT}{COMMA}$", re.I)
 LINE = re.compile(r"[^\n]+")
 TAILS = [re.compile(rf"{COMMA}{TOWN}{H}{POST}", re.I), re.compile(rf"{COMMA}{POST}{H}{TOWN}", re.I), re.compile(rf"{COMMA}{TOWN}", re.I), re.compile(rf"{COMMA}{POST}", re.I)]
 ATOM = r"[^\W_](?:[\w+\-]*[^\W_])?"
@@ -138,9 +139,8 @@ def _edges(text: str, s: int, e: int, kind: str) -> list[str]:
 
 
 def email_segments(text: str) -> Iterator[Segment]:
-    if not MAYBE_EMAIL.search(text):
-        return
-    for m in EMAIL.finditer(text):
+    lines = [m.span() for m in LINE.finditer(text) if MAYBE_EMAIL.search(m.group())] if "@" in text or MAYBE_EMAIL.search(text) else []
+    for m in (m for span in lines for m in EMAIL.finditer(text, *span)):
         body = m.group()
         f = ["email:bias", "email:at:" + ("sign" if "@" in body else "spelled"), "email:dots:" + ("spelled" if re.search(r"dot|punkt|punto", body, re.I) else "plain")]
         f += _cues(_before(text, m.start()), "email", {"email": EMAIL_CUES}) + _edges(text, m.start(), m.end(), "email")
@@ -191,23 +191,29 @@ def number_segments(text: str) -> Iterator[Segment]:
 
 def address_segments(text: str) -> Iterator[Segment]:
     """Addresses: a street with house number or a box, alone and with each tail of town and postcode."""
-    for line in LINE.finditer(text):
+    whole = text.lower() + " "
+    kinds = [k for k in STREETS if STREET_SIGNS[k].search(whole)]
+    for line in LINE.finditer(text) if kinds else ():
         if DIGITS.search(line.group()):
-            yield from _line_addresses(text, line.start(), line.end(), line.group().lower() + " ")
+            yield from _line_addresses(text, line.start(), line.end(), line.group().lower() + " ", kinds)
 
 
-def _line_addresses(text: str, begin: int, stop_at: int, low: str) -> Iterator[Segment]:
-    seen = set()
-    for kind, pattern in STREETS.items():
-        if not any(sign in low for sign in STREET_SIGNS[kind]):
+def _line_addresses(text: str, begin: int, stop_at: int, low: str, kinds: list[str]) -> Iterator[Segment]:
+    ends_seen = set()
+    for kind in kinds:
+        if not STREET_SIGNS[kind].search(low):
             continue
+        pattern = STREETS[kind]
         at = begin
         while m := pattern.search(text, at, stop_at):
             at = m.start() + 1
             s = m.start()
-            if s and (text[s - 1].isalnum() or text[s - 1] in "_-–.#") or m.end() in seen and kind == "en" and any((t, m.end()) in seen for t in range(max(0, s - 40), s)):
+            if kind == "en":
+                unit = UNIT_BEFORE.search(text, max(begin, s - 30), s)
+                s = unit.start() if unit else s
+            if s and (text[s - 1].isalnum() or text[s - 1] in "_-–.#") or kind == "en" and m.end() in ends_seen:
                 continue
-            seen.update({m.end(), (s, m.end())})
+            ends_seen.add(m.end())
             base = ["address:bias", f"address:kind:{kind}"]
             inner = [w.lower() for w in WORDS.findall(m.group())]
             base += ["address:functionword"] if kind == "en" and any(w in FUNCTION_WORDS or w in CODE_CUES for w in inner[:-1]) else []
