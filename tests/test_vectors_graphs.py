@@ -80,12 +80,15 @@ def test_components_and_forest(spark):
             weight += w
     nodes = sorted({v for a, b, _ in edges for v in (a, b)})
     df = spark.createDataFrame(edges, "i bigint, j bigint, d double")
-    got = {x.id: x.component for x in connected_components(df.select(F.col("i").alias("a"), F.col("j").alias("b"))).collect()}
+    ab = df.select(F.col("i").alias("a"), F.col("j").alias("b"))
+    got = {x.id: x.component for x in connected_components(ab).collect()}
+    assert got == {x.id: x.component for x in connected_components(ab, solo_edges=0).collect()}
     low = {}
     for v in nodes:
         low[find(v)] = min(v, low.get(find(v), v))
     assert got == {v: low[find(v)] for v in nodes}
     tree = G.minimum_spanning_forest(df).collect()
+    assert {tuple(t) for t in tree} == {tuple(t) for t in G.minimum_spanning_forest(df, solo_edges=0).collect()}
     assert sum(t.d for t in tree) == weight and len(tree) == len(nodes) - len(set(map(find, nodes)))
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
     assert G.minimum_spanning_forest(df.limit(0)).count() == 0

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint
-from voxloom.operators.components import connected_components
+from voxloom.operators.components import SOLO_EDGES, connected_components
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -65,7 +67,27 @@ def row_stochastic(edges: DataFrame) -> DataFrame:
     return edges.join(total, "i").select("i", "j", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(0.0).alias("w"))
 
 
-def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Minimum spanning forest of the edges (i, j, d) of a small graph; equal weights by (i, j)."""
+    pdf = pdf.sort_values(["d", "i", "j"])
+    nodes = {x: k for k, x in enumerate(pd.unique(pd.concat([pdf.i, pdf.j])).tolist())}
+    parent = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    keep = []
+    for a, b in zip(pdf.i.tolist(), pdf.j.tolist(), strict=True):
+        x, y = find(nodes[a]), find(nodes[b])
+        keep.append(x != y)
+        parent[x] = y
+    return pdf.loc[np.array(keep, bool), ["i", "j", "d"]]
+
+
+def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40, solo_edges: int = SOLO_EDGES) -> DataFrame:
     """Minimum spanning forest of undirected edges (i, j, d) by Boruvka rounds: i < j, d.
 
     Each round every component takes its lightest outgoing edge - equal weights by (i, j), so the choice
@@ -74,6 +96,9 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40) -> DataFrame
     kept as edges; loops are ignored.
     """
     now = edges.where("i <> j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").groupBy("i", "j").agg(F.min("d").alias("d"))
+    now = checkpoint(now.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("d").cast("double").alias("d")))
+    if now.count() <= solo_edges:
+        return now.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(lambda pdf: kruskal(pdf), "i bigint, j bigint, d double")
     now = checkpoint(now.select(F.col("i").alias("a"), F.col("j").alias("b"), F.struct("d", "i", "j").alias("e")))
     chosen = None
     for _ in range(max_rounds):
