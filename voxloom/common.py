@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,16 +46,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share.
+    """Compute a table once and cut its lineage: written as Parquet to the session's checkpoint folder, and read again.
 
-    A folder of our own is set only where the session names none (as in tests).
+    The folder is the one that spark.checkpoint.dir names, which all executors share, so the table
+    outlives lost executors; a folder of our own is set only where the session names none (as in tests).
+    Compressed columns take less room than checkpointed rows, and readers fetch only what they need.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
-    return df.checkpoint()
+    path = f"{sc.getCheckpointDir()}/voxloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((sc, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list = []
+
+
+@atexit.register
+def clear_checkpoints() -> None:
+    """Delete what `checkpoint` wrote so far. Runs at exit; a long session may call it once its results are written."""
+    while _WRITTEN:
+        sc, path = _WRITTEN.pop()
+        if sc._jsc is not None:
+            try:
+                where = sc._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+            except Exception:  # the gateway may be gone already
+                return
 
 
 def to_ms(seconds: Column) -> Column:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The two score curves and the steps of the smallest cluster size.
+COUNT_PEAK, COUNT_POWER, COUNT_DECAY = 6, 0.3, 40.0
+MEMBER_LOW, MEMBER_LOW_WIDTH, MEMBER_HIGH, MEMBER_HIGH_WIDTH, MEMBER_SLOPE, MEMBER_OFFSET = 60, 1.5, 95, 2.0, 0.01, 0.25
+SIZE_ABOVE_1000, SIZE_FROM_500, SIZE_ELSE = 25, 12, 5
+
 
 def overlap_ms(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Length of the common part of two intervals (J3), 0 if there is none."""
@@ -72,19 +77,20 @@ def parse_clock(text: Column) -> Column:
 
 def cluster_count_score(k: Column) -> Column:
     """(k/6)^0.3 up to 6 clusters, exp(-(k-6)/40) above, 0 for none."""
-    return F.when(k <= 0, 0.0).when(k <= 6, F.pow(k / 6.0, F.lit(0.3))).otherwise(F.exp(-(k - 6) / 40.0))
+    rise = F.pow(k / float(COUNT_PEAK), F.lit(COUNT_POWER))
+    return F.when(k <= 0, 0.0).when(k <= COUNT_PEAK, rise).otherwise(F.exp(-(k - COUNT_PEAK) / COUNT_DECAY))
 
 
 def membership_score(w: Column) -> Column:
     """Score of the percentage of clustered rows: two sigmoids, a slope between 60 and 100, minus 0.25."""
     sig = lambda x: 1.0 / (1.0 + F.exp(-x))
-    slope = F.when((w >= 60) & (w <= 100), 1.0 + 0.01 * (w - 60)).otherwise(F.lit(1.0))
-    return sig((w - 60) / 1.5) * sig(-(w - 95) / 2.0) * slope - 0.25
+    slope = F.when((w >= MEMBER_LOW) & (w <= 100), 1.0 + MEMBER_SLOPE * (w - MEMBER_LOW)).otherwise(F.lit(1.0))
+    return sig((w - MEMBER_LOW) / MEMBER_LOW_WIDTH) * sig(-(w - MEMBER_HIGH) / MEMBER_HIGH_WIDTH) * slope - MEMBER_OFFSET
 
 
 def min_cluster_size(n: Column) -> Column:
     """25 above 1000 rows, 12 from 500, else 5."""
-    return F.when(n > 1000, 25).when(n >= 500, 12).otherwise(5)
+    return F.when(n > 1000, SIZE_ABOVE_1000).when(n >= 500, SIZE_FROM_500).otherwise(SIZE_ELSE)
 
 
 def dot(a: Column, b: Column) -> Column:

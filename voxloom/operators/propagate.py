@@ -61,6 +61,7 @@ def propagate(
     base = checkpoint(nodes)
     state = base.withColumn("f", F.col("y"))
     history: list[dict] = []
+    held: list[DataFrame] = []  # steps kept in memory since the last cut
     for step in range(max_iter):
         moved = base.join(spread(edges, state, k), "i", "left").join(state.select("i", F.col("f").alias("old")), "i")
         s = F.coalesce(F.transform("s", lambda x: x * alpha), F.array_repeat(F.lit(0.0), k))
@@ -78,12 +79,19 @@ def propagate(
             moved = checkpoint(moved)
         else:
             moved = moved.persist()
+            held.append(moved)
         gap = F.aggregate(F.zip_with("f", "old", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
         ent = -F.aggregate(F.transform("f", lambda x: x * F.ln(x + 1e-10)), F.lit(0.0), lambda a, x: a + x)
         seen = moved.agg(F.sum(gap).alias("delta"), F.avg(F.array_max("f")).alias("confidence"), F.avg(ent).alias("entropy")).first()
         history.append({"iteration": step + 1, **seen.asDict()})
         state = moved.drop("old")
-        if (seen["delta"] or 0.0) < tol:
+        settled = (seen["delta"] or 0.0) < tol
+        if settled or (step + 1) % cut_every == 0 or step + 1 == max_iter:
+            state = checkpoint(state) if settled else state
+            for old in held:
+                old.unpersist()
+            held.clear()
+        if settled:
             break
     return state.select("i", "f"), history
 

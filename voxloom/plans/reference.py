@@ -241,7 +241,7 @@ def bcubed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CELLS + """, a AS (SELECT sum(n * (n - 1) / 2.0)::DOUBLE AS ij, sum(n * ln(n)) AS lij, sum(n)::DOUBLE AS n FROM t), b AS (SELECT sum(m * (m - 1) / 2.0)::DOUBLE AS ai, sum(m * ln(m)) AS li FROM (SELECT sum(n)::DOUBLE AS m FROM t GROUP BY y)),
 c AS (SELECT sum(m * (m - 1) / 2.0)::DOUBLE AS bj, sum(m * ln(m)) AS lj FROM (SELECT sum(n)::DOUBLE AS m FROM t GROUP BY p))
-SELECT n, round((ij - ai * bj / (n * (n - 1) / 2)) / ((ai + bj) / 2 - ai * bj / (n * (n - 1) / 2)), 6) AS ari, round((ln(n) - li / n + ln(n) - lj / n - (ln(n) - lij / n)) / ((ln(n) - li / n + ln(n) - lj / n) / 2), 6) AS nmi, round(ij / sqrt(ai * bj), 6) AS fmi FROM a, b, c""")
+SELECT CAST(n AS BIGINT) AS n, round((ij - ai * bj / (n * (n - 1) / 2)) / ((ai + bj) / 2 - ai * bj / (n * (n - 1) / 2)), 6) AS ari, round((ln(n) - li / n + ln(n) - lj / n - (ln(n) - lij / n)) / ((ln(n) - li / n + ln(n) - lj / n) / 2), 6) AS nmi, round(ij / sqrt(ai * bj), 6) AS fmi FROM a, b, c""")
 def pair_scores(spark: SparkSession, d: str) -> DataFrame:
     """X19"""
     return metrics.pair_scores(cells(spark, d))
