@@ -294,8 +294,7 @@ def least_similarity(rows: DataFrame) -> DataFrame:
 def outside_links(rows: DataFrame, least: float, seed: int = 42) -> DataFrame:
     """Communities one of whose members meets a row of another community, at least `least` similar, along a curve."""
 
-    labelled = with_keys(rows, 2, DIMS, BITS, seed + 1).join(rows.select("id", "community"), "id")
-    ready = labelled.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    ready = with_keys(rows, 2, DIMS, BITS, seed + 1, ("community",)).repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab, unit = np.empty(0, np.int64), None
@@ -315,6 +314,15 @@ def outside_links(rows: DataFrame, least: float, seed: int = 42) -> DataFrame:
     return ready.select("vec", "community").mapInArrow(look, "community bigint").distinct()
 
 
+def grouped(vectors: DataFrame, least: float, k: int, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Communities of clean vectors, and the graph: (id, vec, community), edges (a, b, w)."""
+    edges = checkpoint(neighbour_graph(vectors, k, least, rounds, seed))
+    labels = modularity_communities(edges)
+    rows = checkpoint(vectors.join(labels, "id", "left").withColumn("community", F.coalesce("community", "id")))
+    to = checkpoint(join_communities(rows, least)).where("community <> to")  # few: only parts of one cluster move
+    return rows.join(to, "community", "left").select("id", "vec", F.coalesce("to", "community").alias("community")), edges
+
+
 def similarity_communities(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """Group rows into communities of mutually similar vectors: id, community, degree.
 
@@ -323,30 +331,22 @@ def similarity_communities(df: DataFrame, id_col: str, vec_col: str, least: floa
     of their own with degree 0. Null, zero and NaN vectors take no part; repeated deliveries count once;
     an empty table gives no rows; equal degrees rank by id; other columns are dropped.
     """
-    vectors = checkpoint(clean_vectors(df, id_col, vec_col))
-    edges = checkpoint(neighbour_graph(vectors, k, least, rounds, seed))
-    labels = modularity_communities(edges)
-    rows = vectors.join(labels, "id", "left").withColumn("community", F.coalesce("community", "id"))
-    rows = checkpoint(rows)
-    to = join_communities(rows, least)
-    rows = rows.join(to, "community", "left").select("id", F.coalesce("to", "community").alias("community"))
-    rows = checkpoint(rows)
+    rows, edges = grouped(checkpoint(clean_vectors(df, id_col, vec_col)), least, k, rounds, seed)
+    rows = checkpoint(rows.select("id", "community"))
     ends = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
     degree = ends.join(rows.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(rows.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
     degree = degree.where("ca = cb").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"))
     return rows.join(degree, "id", "left").select("id", "community", F.round(F.coalesce("degree", F.lit(0.0)), 6).alias("degree"))
 
 
-def tight_clusters(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, min_size: int = 5, **how) -> DataFrame:
+def tight_clusters(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, min_size: int = 5, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
     """The communities that pass the exact check: at least `min_size` rows, every pair of them at least
     `least` similar, no row outside found that similar. Columns id, community (its smallest id)."""
-    found = checkpoint(similarity_communities(df, id_col, vec_col, least, **how))
-    vectors = clean_vectors(df, id_col, vec_col)
-    rows = checkpoint(vectors.join(found.select("id", "community"), "id"))
-    large = found.groupBy("community").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("community")
+    rows = checkpoint(grouped(checkpoint(clean_vectors(df, id_col, vec_col)), least, k, rounds, seed)[0])
+    large = rows.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_size)
     dense = least_similarity(rows.join(large, "community", "left_semi")).where(F.col("least_sim") >= least).select("community")
-    good = dense.join(outside_links(rows, least), "community", "left_anti")
-    return rows.select("id", "community").join(good, "community", "left_semi")
+    good = dense.join(outside_links(rows, least, seed), "community", "left_anti").join(large, "community")
+    return rows.select("id", "community").join(good, "community").select("id", F.col("first_id").alias("community"))
 
 
 def describe(found: DataFrame, samples: DataFrame, typical: int = 3) -> DataFrame:

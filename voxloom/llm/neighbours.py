@@ -78,8 +78,9 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def with_keys(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int) -> DataFrame:
-    """One row for each vector and curve: id, vec, curve, key."""
+def with_keys(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each vector and curve: id, vec, the bigint columns `keep`, curve, key."""
+    names = ["id", "vec", *keep]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +88,10 @@ def with_keys(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int)
                 unit = unit_rows(matrix(batch.column("vec")))
                 for c in range(curves):
                     key = pa.array(curve_keys(unit, c, dims, bits, seed))
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(np.full(len(unit), c, np.int32)), key], names=["id", "vec", "curve", "key"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(np.full(len(unit), c, np.int32)), key], names=[*names, "curve", "key"])
 
-    return vectors.select("id", "vec").mapInArrow(keyed, "id bigint, vec array<float>, curve int, key bigint")
+    ddl = "id bigint, vec array<float>, " + "".join(f"{c} bigint, " for c in keep) + "curve int, key bigint"
+    return vectors.select(*names).mapInArrow(keyed, ddl)
 
 
 def best_of(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +183,10 @@ def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     frequent one, since no similarity is defined for them. First deliveries count.
     """
     cols = [id_col, vec_col] + (["loaded_at"] if "loaded_at" in df.columns else [])
-    rows = internal(first_delivery(df.select(*cols), id_col), id=F.col(f"`{id_col}`").cast("bigint"), vec=F.col(f"`{vec_col}`").cast("array<float>"))
-    rows = rows.where(F.col("id").isNotNull()).where(valid_vector(F.col("vec")))
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0]["n"] if sizes else 0))
+    vec = F.col(f"`{vec_col}`").cast("array<float>")
+    sizes = df.select(vec.alias("vec")).where(valid_vector(F.col("vec"))).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    rows = internal(first_delivery(df.select(*cols), id_col), id=F.col(f"`{id_col}`").cast("bigint"), vec=vec)
+    return rows.where(F.col("id").isNotNull()).where(valid_vector(F.col("vec")) & (F.size("vec") == (sizes[0]["n"] if sizes else 0)))
 
 
 def collapse_copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
