@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.common import first_delivery, to_ms
+from voxloom.common import checkpoint, first_delivery, to_ms
 from voxloom.operators.ordered import bucket_of, run_ids
 
 # How marks are written in transcripts. Time stamps come off first, as they also occur
@@ -175,7 +175,7 @@ def speaker_turns(azure: DataFrame, least: float = 0.8) -> DataFrame:
     end_ms, text, confidence. Order: start_ms, then az_id. A turn is the longest stretch of one speaker.
     An empty table gives no rows; null ids, labels and times see `clean_utterances`.
     """
-    rows = clean_utterances(azure)
+    rows = checkpoint(clean_utterances(azure))  # the texts are cleaned once, though three branches read them
     names = rows.groupBy("rec_id", "variant", "number").agg(F.count("*").alias("n"))
     rows = rows.drop("number").join(canonical_speakers(names, least), ["rec_id", "variant"])
     rows = rows.withColumn("who", F.coalesce(F.col("speaker_no").cast("string"), F.concat(F.lit("="), "speaker"))).withColumn("b", bucket_of(F.col("start_ms")))
