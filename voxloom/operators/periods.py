@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.common import clean_label, first_delivery, internal, is_sentinel, to_ms
+from voxloom.common import checkpoint, clean_label, first_delivery, internal, is_sentinel, to_ms
 from voxloom.operators.ordered import BUCKET_MS, bucket_of, carried
 
 
@@ -26,6 +26,7 @@ def sweep_periods(df: DataFrame, keys: list[str], start: str, end: str, bucket_m
     src = src.where(F.col("e") > F.col("s")).dropna(subset=k)
     events = src.select(*k, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("e").alias("t"), F.lit(-1).alias("d")))).alias("v"))
     events = events.groupBy(*k, F.col("v.t").alias("t")).agg(F.sum("v.d").alias("d")).where("d <> 0").withColumn("b", bucket_of(F.col("t"), bucket_ms))
+    events = checkpoint(events)  # three branches read them
     counted = carried(events, k, "b", ["t"], {"active": ("sum", F.col("d"))})
     edges = counted.where((F.col("active") == 0) | (F.col("active") == F.col("d"))).select(*k, "t", "b", (F.col("active") > 0).alias("opens"))
     paired = carried(edges, k, "b", ["t"], {"next": ("lead", F.col("t"))}).where("next is not null")
