@@ -123,6 +123,6 @@ def test_subset_covers_every_group(spark):
 
 
 def test_subset_of_copies(spark):
-    m = np.tile(np.array([[1.0, 0.0], [0.0, 1.0]], np.float32), (20, 1))
+    m = np.tile(np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]], np.float32), (20, 1))
     got = S.diverse_subset(frame(spark, np.arange(40) + 1, m), "id", "vec", 5).orderBy("pick").collect()
     assert len(got) == 5 and [r.gain > 0 for r in got] == [True, True, False, False, False]
