@@ -7,10 +7,11 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def canon(v):
-    if v is None or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and math.isnan(v):
         return None
     if hasattr(v, "item") and not isinstance(v, (list, tuple)) and getattr(v, "ndim", 0) == 0:
         v = v.item()
@@ -23,7 +24,7 @@ def canon(v):
 
 def rows_of(pdf) -> list[str]:
     cols = sorted(pdf.columns)
-    return sorted(repr(tuple(None if v is not None and v != v else canon(v) for v in r)) for r in pdf[cols].astype(object).values.tolist())
+    return sorted(repr(tuple(map(canon, r))) for r in pdf[cols].astype(object).values.tolist())
 
 
 def database(folder: str) -> duckdb.DuckDBPyConnection:

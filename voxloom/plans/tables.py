@@ -55,7 +55,7 @@ def first_sql(name: str, key: str) -> str:
 
 
 def ms_sql(c: str) -> str:
-    return f"CASE WHEN isnan({c}) THEN NULL ELSE CAST(round({c} * 1000) AS BIGINT) END"
+    return f"CASE WHEN isnan({c}) THEN NULL ELSE TRY_CAST(round({c} * 1000) AS BIGINT) END"
 
 
 def label_sql(c: str) -> str:
