@@ -13,6 +13,7 @@ from voxloom.operators import propagate as P
 from voxloom.operators import select as S
 from voxloom.operators import vectors as V
 from voxloom.operators.components import connected_components
+from voxloom.plans import reference as R
 
 
 @pytest.fixture(scope="module")
@@ -121,6 +122,33 @@ def test_propagation_recovers_groups(spark, data):
     assert clamp.count() == 90
 
 
+def test_propagation_query_runs_to_its_stop(spark, small, monkeypatch):
+    seen, real = [], P.propagate
+
+    def spy(edges, nodes, classes, **given):
+        f, history = real(edges, nodes, classes, **given)
+        seen.append((edges.toPandas(), nodes.toPandas().sort_values("i"), classes, history))
+        return f, history
+
+    monkeypatch.setattr(P, "propagate", spy)
+    got = R.propagation_converged(spark, small).toPandas().sort_values("i")
+    edges, nodes, classes, history = seen[0]
+    assert history[-1]["delta"] < 1e-6 or len(history) == 100
+    at = {x: k for k, x in enumerate(nodes.i)}
+    w = np.zeros((len(at), len(at)))
+    w[edges.i.map(at), edges.j.map(at)] = edges.w
+    hot = lambda col: np.array([[1.0 * (x == c) for c in classes] for x in col])
+    known, f = nodes.label.notna().to_numpy()[:, None], np.stack(nodes.y.to_list())
+    for _ in range(100):
+        s, old = 0.95 * w @ f, f
+        weak = 0.05 * nodes.conf.to_numpy()[:, None]
+        f = np.where(known, 0.8 * s + 0.2 * hot(nodes.label), (1 - weak) * s + weak * hot(nodes.prior))
+        f /= f.sum(axis=1, keepdims=True)
+        if np.abs(f - old).sum() < 1e-6:
+            break
+    assert np.allclose(got.lp_confidence, f.max(axis=1), atol=2e-6)
+
+
 def test_density_clusters(spark, data):
     got = C.density_clusters(data.select("id", "vec"), 10, 4, 25).collect()
     truth = {r.id: r.label for r in data.collect()}
