@@ -160,6 +160,38 @@ def test_density_clusters(spark, data):
     assert sorted(map(tuple, names.values())) == [(0,), (1,), (2,)] and sum(r.cluster >= 0 for r in got) >= 75
 
 
+def apart():
+    """Two groups of 8 x 5 rows on a grid, 9 apart, 12 copies of one vector, and a row whose neighbours lie in both groups."""
+    grid = [(x, y) for x in range(8) for y in range(5)]
+    x = np.array([*grid, *[(x + 16, y) for x, y in grid], *[(60, 3)] * 12, (11, 40)], float)
+    return np.random.default_rng(3).permutation(len(x)) * 2 + 1, x
+
+
+@pytest.mark.parametrize("k", [4, 6])
+def test_density_clusters_equal_the_tree_of_all_pairs(spark, k):
+    ids, x = apart()
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id bigint, vec array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 9)
+    core = np.sort(d, axis=1)[:, 4]
+    a, b = np.triu_indices(len(x), 1)
+    full = np.maximum(d[a, b], np.maximum(core[a], core[b]))
+    want = C.condense(np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), full, np.sort(ids), 6).set_index("id")
+    got = C.density_clusters(rows, 6, 4, k).toPandas().set_index("id").loc[want.index]
+    assert got.cluster.tolist() == want.cluster.tolist()
+    assert np.allclose(got[["prob", "outlier"]], want[["prob", "outlier"]])
+
+
+def test_connect_finds_what_the_neighbours_miss(spark):
+    ids, x = apart()
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "id bigint, vec array<double>")
+    near = checkpoint(V.exact_neighbours(rows, rows, 4, "euclidean"))
+    graph = checkpoint(G.local_scaled(near.where("rank <= 3 and dist < 9"), mutual="mean", diagonal=None))
+    joined = checkpoint(G.connect(graph, near.select("i", "j", F.col("dist").alias("d")), 400.0, vectors=rows))
+    every = G.connect(graph, V.exact_neighbours(rows, rows, len(x) - 1, "euclidean").select("i", "j", F.col("dist").alias("d")), 400.0)
+    assert np.isclose(joined.agg(F.sum("w")).first()[0], every.agg(F.sum("w")).first()[0])
+    assert G.graph_stats(joined).first().n_components == 1
+
+
 def test_condense_by_hand():
     i, j, d = np.array([0, 1, 3, 4, 2]), np.array([1, 2, 4, 5, 3]), np.array([1.0, 1.0, 1.0, 1.0, 9.0])
     got = C.condense(i, j, d, np.arange(7), 3)

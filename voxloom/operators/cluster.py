@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxloom.common import checkpoint
 from voxloom.functions.scalars import cluster_count_score, membership_score
 from voxloom.operators.components import connected_components
-from voxloom.operators.graphs import minimum_spanning_forest, mutual_reachability
+from voxloom.operators.graphs import joining_edges, mutual_reachability, with_bound
 from voxloom.operators.vectors import exact_neighbours, fit_pca, apply_matrix
 
 #: Largest tree whose hierarchy one task condenses; `density_clusters` refuses larger input.
@@ -113,13 +113,16 @@ def condense(i: np.ndarray, j: np.ndarray, d: np.ndarray, nodes: np.ndarray, min
 def density_clusters(vectors: DataFrame, min_cluster_size: int = 25, min_samples: int = 5, k: int = 30, metric: str = "euclidean", leaf: bool = False, knn: DataFrame | None = None) -> DataFrame:
     """Density clustering of (id, vec): id, cluster (-1 noise), prob, outlier.
 
-    Core distance is the distance to the `min_samples`-th other row. The spanning tree is built by distributed
-    rounds over the mutual reachability of the k nearest neighbours (given or exact); only its n - 1
-    edges go to the task that condenses the hierarchy, at most `MAX_TREE_EDGES`, else an error is raised.
-    Rows that the neighbour graph leaves apart count as infinitely far.
+    Core distance is the distance to the `min_samples`-th other row. The spanning tree of the mutual reachability of
+    all pairs is built by distributed rounds: the k nearest neighbours (exact; given or computed) spare most of the
+    search, what they can't decide is searched among all rows. Only its n - 1 edges go to the task that condenses
+    the hierarchy, at most `MAX_TREE_EDGES`, else an error is raised.
     """
     near = checkpoint(knn if knn is not None else exact_neighbours(vectors, vectors, max(k, min_samples), metric))
-    tree = checkpoint(minimum_spanning_forest(mutual_reachability(near, min_samples)))
+    core = near.where(F.col("rank") <= min_samples).groupBy(F.col("i").alias("id")).agg(F.max("dist").alias("core"))
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec")).join(core, "id", "left")
+    rows = with_bound(rows.select("id", "vec", F.coalesce("core", F.lit(0.0)).alias("core"), F.col("id").alias("comp")), near)
+    tree = checkpoint(joining_edges(rows, mutual_reachability(near, min_samples), metric))
     n = tree.count()
     if n > MAX_TREE_EDGES:
         raise ValueError(f"the hierarchy of {n} edges exceeds {MAX_TREE_EDGES}; cluster parts of the data instead")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint
 from voxloom.operators.components import SOLO_EDGES, connected_components
+from voxloom.operators.vectors import BLOCK_ROWS, as_matrix, distances
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -117,19 +121,101 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40, solo_edges:
     return chosen.select("e.i", "e.j", "e.d")
 
 
+def nearest_outside(queries: DataFrame, rows: DataFrame, metric: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """Lightest edge from each of `queries` to a row of another component (both id, vec, core, comp): comp, e (d, i < j).
+
+    d is the largest of both core distances and the distance (to 9 places); equal weights by (i, j). Queries are
+    broadcast in blocks and held against all rows; a batch emits one edge for each component that asks.
+    """
+    blocks = -(-queries.count() // block)
+    out, parts = "comp bigint, d double, i bigint, j bigint", None
+    for b in range(blocks):
+        held = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vec", "core", "comp").toPandas()
+        if not len(held):
+            continue
+        shared = rows.sparkSession.sparkContext.broadcast((held.id.to_numpy(), np.stack(held.vec.to_list()).astype(np.float64), held.core.to_numpy(), held.comp.to_numpy()))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, cores, comps = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, own, core, comp = as_matrix(batch.column("vec")), *(batch.column(c).to_numpy() for c in ("id", "core", "comp"))
+                step, found = max(1, (1 << 21) // len(own)), []
+                for lo in range(0, len(ids), step):
+                    at = slice(lo, lo + step)
+                    d = np.maximum(np.round(distances(q[at], x, metric), 9), np.maximum(cores[at, None], core[None, :]))
+                    d[comps[at, None] == comp[None, :]] = np.inf
+                    least = d.min(axis=1)
+                    row, col = np.nonzero((d == least[:, None]) & np.isfinite(d))
+                    a, b = ids[at][row], own[col]
+                    found.append(pd.DataFrame({"comp": comps[at][row], "d": least[row], "i": np.minimum(a, b), "j": np.maximum(a, b)}))
+                best = pd.concat(found).sort_values(["d", "i", "j"]).drop_duplicates("comp")
+                yield pa.RecordBatch.from_pandas(best, preserve_index=False)
+
+        part = rows.select("id", "vec", "core", "comp").mapInArrow(near, out)
+        parts = part if parts is None else parts.union(part)
+    parts = parts if parts is not None else rows.sparkSession.createDataFrame([], out)
+    return parts.select("comp", F.struct("d", "i", "j").alias("e"))
+
+
+def joining_edges(rows: DataFrame, known: DataFrame, metric: str = "euclidean", block: int = BLOCK_ROWS) -> DataFrame:
+    """Exact minimum spanning tree between the components of (id, vec, core, bound, comp): i < j, d.
+
+    Weights are those of `nearest_outside`. `known` (i, j, d) holds the edges to near neighbours; no edge of a
+    row that it lacks is lighter than the row's `bound`. In Boruvka rounds every component but the largest takes its
+    lightest edge outwards: the lightest known one, unless some of its rows have a bound that is not above it;
+    those are searched against all rows. So near neighbours save work, but never decide the tree.
+    """
+    fixed = checkpoint(rows.select("id", "vec", "core", "bound"))
+    home = checkpoint(rows.select("id", "comp"))
+    known = known.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d")
+    chosen = None
+    while len(largest := home.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect()) > 1:
+        end = lambda k, c: home.select(F.col("id").alias(k), F.col("comp").alias(c))  # noqa: B023,E731
+        known = checkpoint(known.join(end("i", "a"), "i").join(end("j", "b"), "j").where("a <> b").select("i", "j", "d", "a", "b"))
+        asking = F.col("comp") != largest[0]["comp"]
+        e = F.struct("d", "i", "j").alias("e")
+        seen = known.select(F.col("a").alias("comp"), e).union(known.select(F.col("b").alias("comp"), e)).where(asking).groupBy("comp").agg(F.min("e").alias("e"))
+        now = fixed.join(home, "id")
+        unsure = checkpoint(now.where(asking).join(seen, "comp", "left").where(F.col("e").isNull() | (F.col("bound") <= F.col("e.d"))).select("id", "vec", "core", "comp"))
+        best = checkpoint(seen.union(nearest_outside(unsure, now, metric, block)).groupBy("comp").agg(F.min("e").alias("e")).select("e.i", "e.j", "e.d"))
+        if best.isEmpty():
+            break
+        chosen = best if chosen is None else chosen.union(best)
+        groups = connected_components(best.join(end("i", "a"), "i").join(end("j", "b"), "j").select("a", "b"))
+        home = checkpoint(home.join(groups.select(F.col("id").alias("comp"), "component"), "comp", "left").select("id", F.coalesce("component", "comp").alias("comp")))
+        known = known.select("i", "j", "d")
+    none = rows.sparkSession.createDataFrame([], "i bigint, j bigint, d double")
+    return none if chosen is None else minimum_spanning_forest(chosen)
+
+
+def with_bound(rows: DataFrame, knn: DataFrame) -> DataFrame:
+    """Add to (id, ...) the distance of the last neighbour listed in `knn`, infinite where it lists all other rows."""
+    n = rows.count()
+    last = knn.groupBy(F.col("i").alias("id")).agg(F.max("dist").alias("last"), F.count("*").alias("listed"))
+    bound = F.when(F.coalesce("listed", F.lit(0)) >= n - 1, F.lit(float("inf"))).otherwise(F.coalesce("last", F.lit(0.0)))
+    return rows.join(last, "id", "left").withColumn("bound", bound).drop("last", "listed")
+
+
 def add_tree_edges(graph: DataFrame, tree: DataFrame, sigma: float) -> DataFrame:
     """Raise the affinities of the tree's edges to exp(-d / sigma), both directions; other edges stay."""
     extra = both_ways(tree.select("i", "j", F.exp(-F.col("d") / sigma).alias("w")))
     return graph.select("i", "j", "w").unionByName(extra).groupBy("i", "j").agg(F.max("w").alias("w"))
 
 
-def connect(graph: DataFrame, candidates: DataFrame, weight_scale: float = 0.1) -> DataFrame:
-    """Add the lightest candidate edges (i, j, d) that join the components of a graph, with weight exp(-d^2 / scale).
+def connect(graph: DataFrame, candidates: DataFrame, weight_scale: float = 0.1, vectors: DataFrame | None = None, metric: str = "euclidean") -> DataFrame:
+    """Add the lightest edges that join the components of a graph, with weight exp(-d^2 / scale).
 
-    Components are contracted first and the spanning forest of what lies between them is added; candidates
-    that don't reach some component leave it apart.
+    Components are contracted first and the spanning tree of what lies between them is added. With `vectors` (id, vec)
+    it is exact, and `candidates` (i, j, d) are the nearest neighbours of each row; without them only the candidates
+    count, and what they don't reach stays apart.
     """
     home = connected_components(graph.where("i <> j").select(F.col("i").alias("a"), F.col("j").alias("b")))
+    if vectors is not None:
+        rows = vectors.select("id", "vec").join(home, "id", "left").select("id", "vec", F.lit(0.0).alias("core"), F.coalesce("component", "id").alias("comp"))
+        tree = joining_edges(with_bound(rows, candidates.withColumnRenamed("d", "dist")), candidates, metric)
+        return graph.select("i", "j", "w").unionByName(both_ways(tree.select("i", "j", F.exp(-F.col("d") * F.col("d") / weight_scale).alias("w"))))
     a, b = home.select(F.col("id").alias("i"), F.col("component").alias("ci")), home.select(F.col("id").alias("j"), F.col("component").alias("cj"))
     between = candidates.join(a, "i", "left").join(b, "j", "left").select("i", "j", "d", F.coalesce("ci", "i").alias("ci"), F.coalesce("cj", "j").alias("cj")).where("ci <> cj")
     lightest = between.groupBy(F.least("ci", "cj").alias("a"), F.greatest("ci", "cj").alias("b")).agg(F.min(F.struct("d", "i", "j")).alias("e"))

@@ -525,7 +525,7 @@ def connected_graph(spark: SparkSession, d: str) -> DataFrame:
     cand = near.select("i", "j", F.col("dist").alias("d"))
     sigma = near.where("rank = 5").agg(F.avg("dist")).first()[0] or 1.0
     tree = graphs.minimum_spanning_forest(cand)
-    return graphs.connect(graphs.add_tree_edges(graph, tree, sigma), cand).select("i", "j", F.round("w", 6).alias("w"))
+    return graphs.connect(graphs.add_tree_edges(graph, tree, sigma), cand, vectors=embeddings(spark, d)).select("i", "j", F.round("w", 6).alias("w"))
 
 
 # ---------------------------------------------------------------- propagation (two lowest ids of each label are labelled)
