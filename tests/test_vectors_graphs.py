@@ -211,6 +211,19 @@ def test_model_choice_and_mapper(spark, data):
     assert groups.select("node").distinct().count() == nodes.select("node").distinct().count()
 
 
+def test_selection_takes_the_best_of_ten_starts(spark, data, small, monkeypatch):
+    starts, real = [], S.kmeans
+
+    def spy(vectors, k, n_init, seed):
+        starts.append(n_init)
+        return real(vectors, k, 1, seed)
+
+    monkeypatch.setattr(S, "kmeans", spy)
+    R.kmeans_representatives(spark, small), R.hybrid_selection(spark, small)
+    S.representatives(data.select("id", "vec"), 6, 3), S.hybrid_selection(data.select("id", "vec"), 6, 3)
+    assert starts == [10] * 4
+
+
 def test_selection(spark, data):
     rows = data.withColumn("p", (F.col("id") * 37 % 90) / 90.0).unionByName(spark.createDataFrame([(500, [1.0] * 16, 7, 0.5), (501, [1.0] * 16, -1, 0.5)], "id bigint, vec array<double>, label int, p double"))
     got = {}

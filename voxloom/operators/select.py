@@ -76,7 +76,7 @@ def uncertainty(rows: DataFrame, label: str, seed: int = 42) -> DataFrame:
     return model.transform(data).select("id", label, F.round(1 - F.array_max(vector_to_array("probability")), 9).alias("uncertainty")) if label != "label" else model.transform(data).select("id", F.round(1 - F.array_max(vector_to_array("probability")), 9).alias("uncertainty"))
 
 
-def hybrid_selection(vectors: DataFrame, total: int = 20, k: int = 10, n_init: int = 3, seed: int = 42) -> DataFrame:
+def hybrid_selection(vectors: DataFrame, total: int = 20, k: int = 10, n_init: int = 10, seed: int = 42) -> DataFrame:
     """Standardise, reduce, k-means, uncertainty of a kernel model, then the best of each cluster and of the rest."""
     z = standardize(vectors, "vec", "z").select("id", F.col("z").alias("vec"))
     reduced = reduce_pca(z, "vec", 0.95, 50).select("id", F.col("reduced").alias("vec"))
@@ -91,7 +91,7 @@ def random_uncertainty(vectors: DataFrame, total: int = 20, classes: int = 10, s
     return uncertainty(rows, "pseudo", seed).orderBy(F.desc("uncertainty"), "id").limit(total).select("id", "uncertainty")
 
 
-def representatives(vectors: DataFrame, total: int = 20, k: int = 10, n_init: int = 3, seed: int = 42) -> DataFrame:
+def representatives(vectors: DataFrame, total: int = 20, k: int = 10, n_init: int = 10, seed: int = 42) -> DataFrame:
     """The rows nearest to the k-means centres."""
     return closest_per_cluster(kmeans(vectors, k, n_init, seed), "cluster", max(1, total // k)).select("id", "cluster", "rank")
 

@@ -597,13 +597,13 @@ def mapper_graph(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kmeans_representatives(spark: SparkSession, d: str) -> DataFrame:
     """C4, S4"""
-    return select.representatives(embeddings(spark, d).select("id", "vec"), 20, 10, 1)
+    return select.representatives(embeddings(spark, d).select("id", "vec"), 20, 10, 10)
 
 
 @query()
 def hybrid_selection(spark: SparkSession, d: str) -> DataFrame:
     """S2, C10, T4, V11"""
-    return select.hybrid_selection(embeddings(spark, d).select("id", "vec"), 20, 10, 1)
+    return select.hybrid_selection(embeddings(spark, d).select("id", "vec"), 20, 10, 10)
 
 
 @query(f"""WITH {CENTRE}, p AS (SELECT id, label, round(d, 9) AS d, (id % 97) / 97.0 AS p FROM cd), s AS (SELECT label, arg_min(id, struct_pack(d := d, id := id)) AS center, arg_min(id, struct_pack(p := p, id := id)) AS unsure, count(*) AS n FROM p GROUP BY label), f AS (
