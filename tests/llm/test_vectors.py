@@ -55,6 +55,27 @@ def test_neighbours(spark, half):
     assert near == {(a, b) for a, b in want if a % 3 == 0 and sims[list(ids).index(a), list(ids).index(b)] >= 0.9}
 
 
+def test_windows_do_not_end_at_partitions(spark):
+    n, half, r = 300, 8, np.random.default_rng(11)
+    m = r.normal(size=(n, 12)).astype(np.float32)
+    ids = r.permutation(n).astype(np.int64)
+    rows = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, m)], "id bigint, vec array<float>")
+    want = set()
+    for c in range(2):
+        line = ids[np.lexsort((ids, N.curve_keys(N.unit_rows(m), c, N.DIMS, N.BITS, 42)))].tolist()
+        want |= {(a, b) for x, a in enumerate(line) for b in line[max(0, x - half) : x + half + 1] if a != b}
+    names, got = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"), []
+    old = [spark.conf.get(c) for c in names]
+    try:
+        for parts in ("3", "60"):
+            spark.conf.set(names[0], parts), spark.conf.set(names[1], "false")
+            got.append({(r.a, r.b) for r in N.curve_neighbours(rows, 8 * half, curves=2, half=half).collect()})
+    finally:
+        for c, v in zip(names, old):
+            spark.conf.set(c, v)
+    assert got[0] == got[1] and want <= got[0]
+
+
 def test_copies_form_no_hot_group(spark):
     ids, m = planted(groups=(1, 3))
     copies = [(20_000 + i, [1.0] + [0.0] * (m.shape[1] - 1), "a", 0, 0, 0) for i in range(40)]

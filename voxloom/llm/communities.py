@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint, first_delivery
-from voxloom.llm.neighbours import BITS, DIMS, HALF_WINDOW, best_partners, clean_vectors, curve_neighbours, matrix, unit_rows, with_keys
+from voxloom.llm.neighbours import BITS, DIMS, HALF_WINDOW, best_partners, by_block, clean_vectors, curve_blocks, curve_neighbours, matrix, unit_rows
 from voxloom.operators.components import connected_components
 
 #: Neighbours kept for each row, curves that seed them, rounds of neighbour descent.
@@ -294,24 +294,25 @@ def least_similarity(rows: DataFrame) -> DataFrame:
 def outside_links(rows: DataFrame, least: float, seed: int = 42) -> DataFrame:
     """Communities one of whose members meets a row of another community, at least `least` similar, along a curve."""
 
-    ready = with_keys(rows, 2, DIMS, BITS, seed + 1, ("community",)).repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    ready = curve_blocks(rows, 2, DIMS, BITS, seed + 1, HALF_WINDOW, ("community",))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lab, unit = np.empty(0, np.int64), None
+        now, lab, unit = None, np.empty(0, np.int64), None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = unit_rows(matrix(batch.column("vec")))
-            new = batch.column("community").to_numpy()
-            wide, labs = (fresh, new) if unit is None else (np.concatenate([unit, fresh]), np.concatenate([lab, new]))
             hit = set()
-            for at in range(0, len(fresh), 1024):
-                i, j = np.nonzero((fresh[at : at + 1024] @ wide.T >= least) & (new[at : at + 1024, None] != labs[None, :]))
-                hit.update(new[at : at + 1024][i].tolist(), labs[j].tolist())
-            unit, lab = wide[-HALF_WINDOW:], labs[-HALF_WINDOW:]
+            for block, piece in by_block(batch):
+                if block != now:
+                    now, lab, unit = block, np.empty(0, np.int64), None
+                fresh = unit_rows(matrix(piece.column("vec")))
+                new = piece.column("community").to_numpy()
+                wide, labs = (fresh, new) if unit is None else (np.concatenate([unit, fresh]), np.concatenate([lab, new]))
+                for at in range(0, len(fresh), 1024):
+                    i, j = np.nonzero((fresh[at : at + 1024] @ wide.T >= least) & (new[at : at + 1024, None] != labs[None, :]))
+                    hit.update(new[at : at + 1024][i].tolist(), labs[j].tolist())
+                unit, lab = wide[-HALF_WINDOW:], labs[-HALF_WINDOW:]
             yield pa.RecordBatch.from_arrays([pa.array(sorted(hit), pa.int64())], names=["community"])
 
-    return ready.select("vec", "community").mapInArrow(look, "community bigint").distinct()
+    return ready.select("vec", "community", "block").mapInArrow(look, "community bigint").distinct()
 
 
 def grouped(vectors: DataFrame, least: float, k: int, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:

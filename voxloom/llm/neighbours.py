@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxloom.common import first_delivery, internal, valid_vector
+from voxloom.common import checkpoint, first_delivery, internal, valid_vector
 
 #: Curves, dimensions and bits of a curve's grid (dimensions x bits fit a signed 64-bit key).
 CURVES, DIMS, BITS = 4, 6, 10
@@ -18,6 +19,8 @@ CURVES, DIMS, BITS = 4, 6, 10
 HALF_WINDOW = 2048
 #: Curves and half window of a search for few queries, where distant neighbours count too.
 QUERY_CURVES, QUERY_HALF_WINDOW = 8, 32_768
+#: Half windows in a block of a curve; a block is searched by one task and also gets the half windows before and after it.
+BLOCK_HALVES = 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -78,9 +81,8 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
-def with_keys(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each vector and curve: id, vec, the bigint columns `keep`, curve, key."""
-    names = ["id", "vec", *keep]
+def with_keys(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int) -> DataFrame:
+    """One row for each vector and curve: id, curve, key."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +90,91 @@ def with_keys(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int,
                 unit = unit_rows(matrix(batch.column("vec")))
                 for c in range(curves):
                     key = pa.array(curve_keys(unit, c, dims, bits, seed))
-                    yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(np.full(len(unit), c, np.int32)), key], names=[*names, "curve", "key"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(len(unit), c, np.int32)), key], names=["id", "curve", "key"])
+
+    return vectors.select("id", "vec").mapInArrow(keyed, "id bigint, curve int, key bigint")
 
-    ddl = "id bigint, vec array<float>, " + "".join(f"{c} bigint, " for c in keep) + "curve int, key bigint"
-    return vectors.select(*names).mapInArrow(keyed, ddl)
+
+def block_marks(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int, half: int) -> dict:
+    """Where the blocks of each curve meet: by curve and place (-1 half a window before the border, 0 at it, 1 half a
+    window after it) the (key, id) found there, as two arrays in order.
+
+    Rows are numbered along the curve by their place in their range partition and the sizes of the partitions
+    before it. Three rows for each block come to the driver.
+    """
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            curve, pos = batch.column("curve").to_numpy(), np.empty(batch.num_rows, np.int64)
+            for c in np.unique(curve).tolist():
+                at = np.flatnonzero(curve == c)
+                pos[at] = seen.get(c, 0) + np.arange(len(at))
+                seen[c] = seen.get(c, 0) + len(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(pos), part, np.int32)), pa.array(pos)], names=[*batch.schema.names, "part", "pos"])
+
+    ordered = with_keys(vectors, curves, dims, bits, seed).select("curve", "key", "id").repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    spots = checkpoint(ordered.mapInArrow(numbered, "curve int, key bigint, id bigint, part int, pos bigint"))
+    total, before = {}, []
+    for r in spots.groupBy("curve", "part").agg(F.count("*").alias("n")).orderBy("curve", "part").collect():
+        before.append((r["curve"], r["part"], total.get(r["curve"], 0)))
+        total[r["curve"]] = total.get(r["curve"], 0) + r["n"]
+    size = BLOCK_HALVES * half
+    first = vectors.sparkSession.createDataFrame(before, "curve int, part int, first bigint")
+    placed = spots.join(F.broadcast(first), ["curve", "part"]).withColumn("place", F.col("pos") + F.col("first"))
+    side = F.when(F.col("place") % size == 0, 0).when(F.col("place") % size == half, 1).when(F.col("place") % size == size - half, -1)
+    found = placed.where(F.col("place") >= size - half).select("curve", "key", "id", side.alias("side")).where("side is not null").orderBy("curve", "side", "key", "id").toPandas()
+    return {k: (g["key"].to_numpy(), g["id"].to_numpy()) for k, g in found.groupby(["curve", "side"])}
+
+
+def passed(marks: tuple[np.ndarray, np.ndarray] | None, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """How many of the (key, id) marks each row is at or beyond."""
+    if marks is None:
+        return np.zeros(len(key), np.int64)
+    n = len(marks[0])
+    order = np.lexsort((np.arange(n + len(key)) >= n, np.concatenate([marks[1], ids]), np.concatenate([marks[0], key])))
+    count = np.empty(n + len(key), np.int64)
+    count[order] = np.cumsum(order < n)
+    return count[n:]
+
+
+def curve_blocks(vectors: DataFrame, curves: int, dims: int, bits: int, seed: int, half: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of (id, vec, bigint columns `keep`) along each curve in blocks: id, vec, keep, block, core; in a partition
+    sorted by block and place.
+
+    A block has `BLOCK_HALVES` half windows of rows of its own (`core`) and the half windows before and after it, so
+    every row has its neighbours along the curve beside it, however many partitions there are.
+    """
+    marks = vectors.sparkSession.sparkContext.broadcast(block_marks(vectors, curves, dims, bits, seed, half))
+    names = ["id", "vec", *keep]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = marks.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit, ids = unit_rows(matrix(batch.column("vec"))), batch.column("id").to_numpy()
+            for c in range(curves):
+                key = curve_keys(unit, c, dims, bits, seed)
+                block = passed(at.get((c, 0)), key, ids)
+                last = len(at[c, 0][0]) if (c, 0) in at else 0
+                for step, here in ((0, block >= 0), (-1, passed(at.get((c, 1)), key, ids) < block), (1, (passed(at.get((c, -1)), key, ids) > block) & (block < last))):
+                    rows = np.flatnonzero(here)
+                    if len(rows):
+                        own = batch.select(names).take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array((c << 40) + block[rows] + step), pa.array(np.full(len(rows), step == 0)), pa.array(key[rows])], names=[*names, "block", "core", "key"])
+
+    ddl = "id bigint, vec array<float>, " + "".join(f"{c} bigint, " for c in keep) + "block bigint, core boolean, key bigint"
+    return vectors.select(*names).mapInArrow(cut, ddl).repartition("block").sortWithinPartitions("block", "key", "id").drop("key")
+
+
+def by_block(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The stretches of a sorted batch that lie in one block."""
+    block = batch.column("block").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi > lo:
+            yield int(block[lo]), batch.slice(lo, hi - lo)
 
 
 def best_of(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,21 +191,19 @@ def best_of(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def window_neighbours(k: int, half: int, least: float, every: int = 1):
     """A mapInArrow function: k best partners of each row among its neighbours in the order of the rows.
 
-    Rows come sorted by curve and key. Windows of 2 x half rows move on by half, so each row meets all
-    rows within `half` places; the results of its two windows are merged before they are emitted. Only
-    rows whose id is divisible by `every` look for partners.
+    Rows come as `curve_blocks` gives them. Inside a block windows of 2 x half rows move on by half, so each
+    row meets all rows within `half` places; the results of its two windows are merged before they are emitted.
+    Only core rows whose id is divisible by `every` look for partners.
     """
 
-    def score(ids: np.ndarray, unit: np.ndarray, curve: np.ndarray):
+    def score(ids: np.ndarray, unit: np.ndarray, core: np.ndarray):
         cols, vals, m = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -3.0, np.float32), min(k, len(ids))
-        asks = np.flatnonzero(ids % every == 0)
+        asks = np.flatnonzero(core & (ids % every == 0))
         step = max(1, (1 << 21) // len(ids))
         for lo in range(0, len(asks), step):
             at = asks[lo : lo + step]
             sims = unit[at] @ unit.T
             sims[np.arange(len(at)), at] = -3.0
-            if curve[0] != curve[-1]:
-                sims[curve[at, None] != curve[None, :]] = -3.0
             cols[at, :m], vals[at, :m] = best_of(sims, m)
         return ids[cols], vals
 
@@ -132,26 +213,32 @@ def window_neighbours(k: int, half: int, least: float, every: int = 1):
         return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit, curve = np.empty(0, np.int64), None, np.empty(0, np.int32)
+        now, ids, unit, core = None, np.empty(0, np.int64), None, np.empty(0, bool)
         waiting = None  # partners and similarities of the first `half` rows from the window before
+
+        def rest() -> Iterator[pa.RecordBatch]:
+            if len(ids):
+                partner, sim = score(ids, unit, core)
+                if waiting is not None:
+                    yield emit(ids[: len(waiting[0])], *waiting)
+                yield emit(ids, partner, sim)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = unit_rows(matrix(batch.column("vec")))
-            ids = np.concatenate([ids, batch.column("id").to_numpy()])
-            curve = np.concatenate([curve, batch.column("curve").to_numpy()])
-            unit = fresh if unit is None else np.concatenate([unit, fresh])
-            while len(ids) >= 2 * half:
-                partner, sim = score(ids[: 2 * half], unit[: 2 * half], curve[: 2 * half])
-                first = (partner[:half], sim[:half]) if waiting is None else (np.hstack([waiting[0], partner[:half]]), np.hstack([waiting[1], sim[:half]]))
-                yield emit(ids[:half], *first)
-                waiting = (partner[half:], sim[half:])
-                ids, unit, curve = ids[half:], unit[half:], curve[half:]
-        if len(ids):
-            partner, sim = score(ids, unit, curve)
-            if waiting is not None:
-                yield emit(ids[: len(waiting[0])], *waiting)
-            yield emit(ids, partner, sim)
+            for block, piece in by_block(batch):
+                if block != now:
+                    yield from rest()
+                    now, ids, unit, core, waiting = block, np.empty(0, np.int64), None, np.empty(0, bool), None
+                fresh = unit_rows(matrix(piece.column("vec")))
+                ids = np.concatenate([ids, piece.column("id").to_numpy()])
+                core = np.concatenate([core, piece.column("core").to_numpy(zero_copy_only=False)])
+                unit = fresh if unit is None else np.concatenate([unit, fresh])
+                while len(ids) >= 2 * half:
+                    partner, sim = score(ids[: 2 * half], unit[: 2 * half], core[: 2 * half])
+                    first = (partner[:half], sim[:half]) if waiting is None else (np.hstack([waiting[0], partner[:half]]), np.hstack([waiting[1], sim[:half]]))
+                    yield emit(ids[:half], *first)
+                    waiting = (partner[half:], sim[half:])
+                    ids, unit, core = ids[half:], unit[half:], core[half:]
+        yield from rest()
 
     return run
 
@@ -166,13 +253,11 @@ def best_partners(pairs: DataFrame, k: int) -> DataFrame:
 def curve_neighbours(vectors: DataFrame, k: int, least: float = -2.0, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, half: int = HALF_WINDOW, every: int = 1, seed: int = 42) -> DataFrame:
     """Approximate k nearest neighbours of each row of (id bigint, vec array<float>), both orders merged.
 
-    The rows are range-partitioned by (curve, key, id) - ids split even one hot key - and every row is
+    The rows are cut into blocks by (curve, key, id) - ids split even one hot key - and every row is
     compared with the `half` rows before and after it on each curve. Columns a, b, sim, rank. With `every`
-    only rows whose id it divides are queries (a); all rows can be partners.
+    only rows whose id it divides are queries (a); all rows can be partners. `vectors` is read twice.
     """
-    keyed = with_keys(vectors, curves, dims, bits, seed)
-    ordered = keyed.repartitionByRange("curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    pairs = ordered.mapInArrow(window_neighbours(k, half, least, every), "a bigint, b bigint, sim float")
+    pairs = curve_blocks(vectors, curves, dims, bits, seed, half).mapInArrow(window_neighbours(k, half, least, every), "a bigint, b bigint, sim float")
     return best_partners(pairs, k)
 
 
@@ -214,6 +299,6 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, least: flo
     count once; an empty table gives no rows; other columns are dropped. `search` sets the curves.
     """
     heads, rest = collapse_copies(clean_vectors(df, id_col, vec_col), k)
-    near = curve_neighbours(heads, k, least, **search)
+    near = curve_neighbours(checkpoint(heads), k, least, **search)
     follow = rest.where(F.col("id") % search.get("every", 1) == 0).select(F.col("id").alias("a"), F.posexplode("ids").alias("p", "b")).select("a", "b", F.lit(1.0).cast("float").alias("sim"), (F.col("p") + 1).alias("rank"))
     return near.unionByName(follow)
