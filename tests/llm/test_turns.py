@@ -20,22 +20,37 @@ DDL = "az_id bigint, rec_id string, speaker_id string, start_time double, end_ti
 )
 def test_spoken_text(spark, text, lang, want):
     df = spark.createDataFrame([(text, lang)], "t string, l string")
-    assert df.select(T.spoken_text(F.col("t"), F.col("l"))).first()[0] == want
+    words = T.words_only(T.bare_text(F.col("t")))
+    got = df.select(T.has_speech(words), T.spoken_text(words, F.col("l"))).first()
+    assert (got[1] if got[0] else None) == want
 
 
 def test_labels(spark):
-    spellings = ["2", " 2 ", "02", "S2", "spk_02", "SPEAKER_02", "speaker2", "Speaker 2", "Guest-2", "Guest-02", "GUEST_2", "Guest Two"]
-    df = spark.createDataFrame([(s,) for s in spellings], "s string").select(T.variant_number(T.plain_variant(F.col("s"))).alias("n"))
-    assert [r.n for r in df.collect()] == [2] * 12
-    heads = ["Guest_04: my turn", "SPK3 - ah", "<S2> yes", ">> GUEST 5: the", "[Guest-3] no", "speaker 2 : so", "<5.0s> Speaker 12: x", "Four, pick", "sing: now"]
-    got = [r[0] for r in spark.createDataFrame([(h,) for h in heads], "t string").select(T.variant_number(T.plain_variant(T.head_label(F.col("t"))))).collect()]
-    assert got == [4, 3, 2, 5, 3, 2, 12, None, None]
+    spellings = ["2", " 2 ", "02", "S2", "spk_02", "SPEAKER_02", "speaker2", "Speaker 2", "Guest-2", "Guest-02", "GUEST_2", "Guest Two", "Speaker zwei", "Guest dos"]
+    df = spark.createDataFrame([(s,) for s in spellings], "s string").select(T.plain_variant(F.col("s")).alias("v"))
+    assert [T.number_of(r.v) for r in df.collect()] == [2] * 14
+    heads = ["Guest_04: my turn", "SPK3 - ah", "<S2> yes", ">> GUEST 5: the", "[Guest-3] no", "speaker 2 : so", "<5.0s> Speaker 12: x", "Guest sixteen: well", "Four, pick", "sing: now"]
+    got = [r[0] for r in spark.createDataFrame([(h,) for h in heads], "t string").select(T.plain_variant(T.head_label(T.bare_text(F.col("t"))))).collect()]
+    assert [None if g is None else T.number_of(g) for g in got] == [4, 3, 2, 5, 3, 2, 12, 16, None, None]
 
 
 def test_union_find():
-    names = ["teacher", "teachr", "ms jane doe", "mjd", "guest 2", "2"]
-    to = T.unite(names, [None, None, None, None, 2, 2], [5, 1, 3, 1, 1, 4], 0.8)
-    assert [names[i] for i in to] == ["teacher", "teacher", "ms jane doe", "ms jane doe", "2", "2"]
+    names = ["teacher", "teachr", "ms jane doe", "mjd", "guest 2", "2", "kate", "cate", "catherine", "katherine", "js", "john smith", "jane stone", "", "guest", "dr smith", "smith"]
+    to, numbers = T.unite(names, [5, 1, 3, 1, 1, 4, 1, 2, 2, 3, 1, 1, 1, 1, 1, 1, 2])
+    assert [names[i] for i in to] == ["teacher", "teacher", "ms jane doe", "ms jane doe", "2", "2", "kate", "cate", "katherine", "katherine", "js", "john smith", "jane stone", "", "guest", "smith", "smith"]
+    assert numbers == [None] * 4 + [2, 2] + [None] * 11
+    assert T.unite([], []) == ([], [])
+
+
+def test_found_comes_from_the_components(spark, small, monkeypatch):
+    from voxloom.llm import queries
+
+    rows = [(1, "r", "S1", 0.0, 1.0, "hello", 0.9, "en", "a", "", 0), (2, "r", "Guest-01", 1.0, 2.0, "again", 0.5, "en", "a", "", 0)]
+    azure = spark.createDataFrame(rows, DDL)
+    assert T.turn_bounds(T.speaker_turns(azure, texts=False)).count() == 1
+    monkeypatch.setattr(T, "canonical_speakers", lambda names: names.select("rec_id", "variant", F.col("variant").alias("speaker"), F.lit(1).cast("bigint").alias("speaker_no")))
+    assert T.turn_bounds(T.speaker_turns(azure, texts=False)).count() == 2
+    assert queries.p6_found(spark, small).count() > 0
 
 
 def test_turns(spark):

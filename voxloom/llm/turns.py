@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,49 +15,57 @@ from voxloom.operators.ordered import bucket_of, run_ids
 # How marks are written in transcripts. Time stamps come off first, as they also occur
 # inside other marks; a sound annotation may then still hold a duration such as 00:03.
 STAMPS = r"(\[\d{1,3}:\d{2}(:\d{2})?([.,]\d+)?\]|\(\d{1,3}:\d{2}(:\d{2})?([.,]\d+)?\)|<\d+([.,]\d+)?\s*s>|\d{1,3}:\d{2}:\d{2}([.,]\d+)?\s*(-->|-(?=\s|$))|\d{1,3}:\d{2}:\d{2}[.,]\d+)"
-NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
-WORD_PART = "(?:" + "|".join(NUMBER_WORDS) + ")"
+# The numbers one to twenty in words, in the languages of the transcripts.
+NUMBER_WORDS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split(),
+    "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig".split(),
+    "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte".split(),
+)
+WORD_PART = "(?:" + "|".join(w for words in NUMBER_WORDS for w in words) + ")(?!\\p{L})"
 ROLE = r"(?:speaker|guest|spk|s)"
-HEAD_TAG = rf"(?i)^\s*(?:\[\s*({ROLE}[\s_-]*(?:\d+|{WORD_PART}))\s*\]|<\s*({ROLE}[\s_-]*\d+)\s*>|(?:>>\s*)?({ROLE}[\s_-]*(?:\d+|{WORD_PART}))\s*(?::|-(?=\s|$)))"
-SOUNDS = (r"\[[^\[\]]*\]", r"\(\([^()]*\)\)", r"\([^()]*\)", r"<[^<>]*>", r"\{[^{}]*\}", r"\*[^*]*\*", "[♪♫]")
-FILLERS = r"u+h+|u+h*m+|e+h+|e+r+m*|e+m+|h+m+|m{2,}|a+h+|ä+h*m*|ö+h+"
-FILLER = rf"(?iU)(?<![\p{{L}}\p{{N}}])(?:{FILLERS})(?![\p{{L}}\p{{N}}])[,.…]*"
-#: Fillers of the other languages that are ordinary German words.
-GERMAN_WORDS = r"(?iU)(?<![\p{L}\p{N}])(?:u+h+|uh+m+|u+hm+|e+h+|erm+|h+m+|m{2,}|a+h+|ä+h*m*|ö+h+)(?![\p{L}\p{N}])[,.…]*"
+HEAD_TAG = rf"(?i)^\s*(?:\[\s*({ROLE}[\s_-]*(?:\d+|{WORD_PART}))\s*\]|<\s*({ROLE}[\s_-]*(?:\d+|{WORD_PART}))\s*>|(?:>>\s*)?({ROLE}[\s_-]*(?:\d+|{WORD_PART}))\s*(?::|-(?=\s|$)))"
+SOUND = r"\[[^\[\]]*\]|\(\([^()]*\)\)|\([^()]*\)|<[^<>]*>|\{[^{}]*\}|\*[^*]*\*|[♪♫]"
+# Fillers, written so that a place in the text is ruled out by its first letter: `(?i)` would test every place in full.
+_EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])[,.…]*"
+_COMMON = r"[Uu]+[Hh]+(?:[Mm]{2,})?|[Ee]+[Hh]+|[Hh]+[Mm]+|[Mm]{2,}|[Aa]+[Hh]+|[Ää]+[Hh]*[Mm]*|[Öö]+[Hh]+"
+FILLER = rf"(?=[UuEeHhMmAaÄäÖö]){_EDGE}(?:{_COMMON}|[Uu]+[Hh]*[Mm]+|[Ee]+[Rr]+[Mm]*|[Ee]+[Mm]+){_END}"
+#: `um`, `er` and `em` are fillers of the other languages but ordinary German words.
+GERMAN_FILLER = rf"(?=[UuEeHhMmAaÄäÖö]){_EDGE}(?:{_COMMON}|[Uu]+[Hh]+[Mm]+|[Ee]+[Rr][Mm]+){_END}"
 
 
-def untagged(transcript: Column) -> Column:
-    """The transcript without time stamps and without the speaker tag at its head."""
-    bare = F.regexp_replace(transcript, STAMPS, " ")
-    return F.regexp_replace(bare, HEAD_TAG, " ")
+def bare_text(transcript: Column) -> Column:
+    """The transcript without time stamps; only texts with such digits can hold one."""
+    return F.when(transcript.rlike("[0-9]:[0-9]|[0-9]\\s*[sS]>"), F.regexp_replace(transcript, STAMPS, " ")).otherwise(transcript)
 
 
-def head_label(transcript: Column) -> Column:
-    """The speaker tag at the head of a transcript, null if there is none."""
-    bare = F.regexp_replace(transcript, STAMPS, " ")
+def head_label(bare: Column) -> Column:
+    """The speaker tag at the head of a text without time stamps, null if there is none."""
     found = F.concat(*[F.regexp_extract(bare, HEAD_TAG, g) for g in (1, 2, 3)])
     return F.when(found != "", found)
 
 
-def _tidy(text: Column) -> Column:
-    s = F.regexp_replace(text, r"\s+", " ")
-    s = F.regexp_replace(s, r"\s+([,.?!;:])", "$1")
-    s = F.regexp_replace(s, r"([,;:])(?:\s*[,;:])+", "$1")
-    return F.trim(F.regexp_replace(s, r"^[\s,.;:…-]+", ""))
+def words_only(bare: Column) -> Column:
+    """A text without time stamps, freed of its speaker tag and of sound annotations (which may stand inside each other)."""
+    s = F.regexp_replace(bare, HEAD_TAG, " ")
+    return F.when(s.rlike("[\\[(<{*♪♫]"), F.regexp_replace(F.regexp_replace(s, SOUND, " "), SOUND, " ")).otherwise(s)
+
 
+def has_speech(words: Column) -> Column:
+    """Whether a text has a word besides fillers."""
+    return F.coalesce(F.regexp_replace(words, FILLER, " ").rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
-def spoken_text(transcript: Column, lang: Column) -> Column:
-    """Only the spoken words: no time stamps, speaker tag, sound annotations and fillers; null if no word is left.
+
+def spoken_text(words: Column, lang: Column) -> Column:
+    """Only the spoken words, tidied: no fillers, no blanks and marks left over from what was cut.
 
     `um` and `er` are German words too: in rows marked German they stay as long as the row has another word.
     """
-    s = untagged(transcript)
-    for pattern in SOUNDS:
-        s = F.regexp_replace(s, pattern, " ")
-    bare = F.regexp_replace(s, FILLER, " ")
     german = F.coalesce(F.lower(lang).startswith("de"), F.lit(False))
-    kept = F.when(german, F.regexp_replace(s, GERMAN_WORDS, " ")).otherwise(bare)
-    return F.when(F.coalesce(bare.rlike(r"[\p{L}\p{N}]"), F.lit(False)), _tidy(kept))
+    s = F.when(german, F.regexp_replace(words, GERMAN_FILLER, " ")).otherwise(F.regexp_replace(words, FILLER, " "))
+    s = F.regexp_replace(s, r"\s+", " ")
+    s = F.regexp_replace(s, r" ([,.?!;:])", "$1")
+    s = F.regexp_replace(s, r"([,;:])(?:\s*[,;:])+", "$1")
+    return F.trim(F.regexp_replace(s, r"^[\s,.;:…-]+", ""))
 
 
 def plain_variant(label: Column) -> Column:
@@ -69,29 +77,50 @@ def plain_variant(label: Column) -> Column:
     return F.when(s != "", s)
 
 
-def variant_number(variant: Column) -> Column:
-    """The number a plain variant carries as digits or as a number word, null if none."""
-    digits = F.regexp_extract(variant, r"(\d{1,18})\s*$", 1)
-    word = F.regexp_extract(variant, rf"(?:^|\s)({WORD_PART})$", 1)
-    spelled = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), word)
-    return F.when(digits != "", digits.cast("bigint")).when(word != "", spelled.cast("bigint"))
+_SPELLED = {word: n for words in NUMBER_WORDS for n, word in enumerate(words, 1)}
+_TRAILING = re.compile(r"(\d{1,18})\s*$")
+
+
+def number_of(variant: str) -> int | None:
+    """The number a plain variant ends with, in digits or as a number word; None without one."""
+    digits = _TRAILING.search(variant)
+    return int(digits.group(1)) if digits else _SPELLED.get(variant.rsplit(" ", 1)[-1])
+
+
+# Titles that a name may carry.
+TITLES = frozenset("dr mr mrs ms miss prof professor herr frau señor señora sr sra don doña".split())
+
+
+def untitled(variant: str) -> list[str]:
+    """The words of a variant behind its titles; all of them if there are no others."""
+    words = variant.split()
+    own = [w for w in words if w not in TITLES]
+    return own or words
 
 
-def initials(text: str) -> str:
-    return "".join(w[0] for w in text.split() if w[0].isalpha())
+def forms(variant: str) -> list[str]:
+    """The letters of a variant without titles, and from five letters on also with any one of them left out.
+
+    Two variants are alike if they share a form, that is if they are equal once at most one letter of each is left
+    out: one letter more, less, changed, or two neighbours swapped. So alike variants meet under a form, and no pairs
+    of variants have to be compared.
+    """
+    s = "".join(untitled(variant))
+    return [s, *{s[:i] + s[i + 1 :] for i in range(len(s))}] if len(s) >= 5 else [s]
 
 
-def similar(a: str, b: str, least: float) -> bool:
-    """Variants without a number are alike if one spells the other's initials or the strings nearly agree."""
-    x, y = a.replace(" ", ""), b.replace(" ", "")
-    return x == y or (len(x) > 1 and x == initials(b)) or (len(y) > 1 and y == initials(a)) or SequenceMatcher(None, x, y, autojunk=False).ratio() >= least
+def initials(variant: str) -> set[str]:
+    """The first letters of a name of several words, with and without its titles."""
+    return {"".join(w[0] for w in words) for words in (variant.split(), untitled(variant)) if len(words) > 1 and all(w[0].isalpha() for w in words)}
 
 
-def unite(variants: list[str], numbers: list[int | None], counts: list[int], least: float) -> list[int]:
-    """Union-find over the label variants of one block; gives the index of each variant's canonical variant.
+def unite(variants: list[str], counts: list[int]) -> tuple[list[int], list[int | None]]:
+    """Union-find over the label variants of one transcript: the index of each variant's canonical one, and the number of
+    its component.
 
-    Variants of equal number are one speaker, variants of unequal numbers never; those without a number
-    unite by initials and string similarity. Canonical is the most frequent variant, then the first in order.
+    Evidence that joins: the same number; without a number the same form (`forms`), and the initials of a name, if all
+    the names of the transcript that have them are one speaker. Numbered and unnumbered variants stay apart. Canonical
+    is the most frequent variant of a component, then the first in order. Time and room grow with the number of variants.
     """
     parent = list(range(len(variants)))
 
@@ -101,92 +130,103 @@ def unite(variants: list[str], numbers: list[int | None], counts: list[int], lea
             i = parent[i]
         return i
 
-    by_number: dict[int, int] = {}
-    bare = []
+    numbers = [number_of(v) for v in variants]
+    met: dict = {}
+    for i, n in enumerate(numbers):
+        for key in [n] if n is not None else forms(variants[i]):
+            parent[find(i)] = find(met.setdefault(key, i))
+    named: dict[str, set[int]] = {}
     for i, n in enumerate(numbers):
-        if n is None:
-            bare.append(i)
-        else:
-            parent[find(i)] = find(by_number.setdefault(n, i))
-    for a, i in enumerate(bare):
-        for j in bare[a + 1 :]:
-            if find(i) != find(j) and similar(variants[i], variants[j], least):
-                parent[find(j)] = find(i)
+        for short in initials(variants[i]) if n is None else ():
+            named.setdefault(short, set()).add(find(i))
+    for i, n in enumerate(numbers):
+        if n is None and len(owners := {find(o) for o in named.get(variants[i].replace(" ", ""), ())}) == 1:
+            parent[find(i)] = owners.pop()
     best: dict[int, int] = {}
+    number: dict[int, int | None] = {}
     for i in range(len(variants)):
         r = find(i)
+        number[r] = numbers[i]
         if r not in best or (-counts[i], variants[i]) < (-counts[best[r]], variants[best[r]]):
             best[r] = i
-    return [best[find(i)] for i in range(len(variants))]
+    return [best[find(i)] for i in range(len(variants))], [number[find(i)] for i in range(len(variants))]
 
 
-def canonical_speakers(labels: DataFrame, least: float = 0.8) -> DataFrame:
-    """Map each label variant of a transcript to its canonical speaker.
+def canonical_speakers(labels: DataFrame) -> DataFrame:
+    """Map each label variant of a transcript to its canonical speaker: rec_id, variant, speaker, speaker_no.
 
-    `labels`: rec_id, variant, number, n (rows with this variant). The union-find works on distinct
-    variants, by transcript and block (a number, else the first letter), never on rows. Returns
-    rec_id, variant, speaker, speaker_no.
+    `labels`: rec_id, variant, n (rows with this variant). The union-find of a transcript sees its distinct variants,
+    never its rows; transcripts come many to a task, one at a time.
     """
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("variant").reset_index(drop=True)
-        numbers = [None if pd.isna(n) else int(n) for n in pdf.number]
-        to = unite(pdf.variant.tolist(), numbers, pdf.n.tolist(), least)
-        return pd.DataFrame({"rec_id": pdf.rec_id, "variant": pdf.variant, "speaker": [pdf.variant[i] for i in to], "speaker_no": pd.array(numbers, dtype="Int64")})
-
-    # Blocks come many to a task, sorted, so that Python is entered once per batch and not once per block.
-    def many(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for pdf in batches:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = (pdf.rec_id == pdf.rec_id.iloc[-1]) & (pdf.block == pdf.block.iloc[-1])
-            rest, ready = pdf[last], pdf[~last]
-            if len(ready):
-                yield pd.concat([solve(g) for _, g in ready.groupby(["rec_id", "block"], sort=False)], ignore_index=True)
-        if rest is not None and len(rest):
-            yield solve(rest)
-
-    block = F.coalesce(F.col("number").cast("string"), F.substring("variant", 1, 1))
-    ready = labels.withColumn("block", block).repartition("rec_id", "block").sortWithinPartitions("rec_id", "block")
-    return ready.mapInPandas(many, "rec_id string, variant string, speaker string, speaker_no bigint")
-
-
-def clean_utterances(azure: DataFrame) -> DataFrame:
-    """One row for each utterance with spoken words and both times: rec_id, az_id, start_ms, end_ms, variant, number, text, confidence.
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(rec: str, variants: list[str], counts: list[int]) -> tuple:
+            to, numbers = unite(variants, counts)
+            return [rec] * len(to), variants, [variants[i] for i in to], numbers
+
+        def told(done: list[tuple]) -> pa.RecordBatch:
+            cols = [[x for d in done for x in d[c]] for c in range(4)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], names=["rec_id", "variant", "speaker", "speaker_no"])
+
+        now, variants, counts = None, [], []
+        for batch in batches:
+            done = []
+            for rec, variant, n in zip(*(batch.column(c).to_pylist() for c in ("rec_id", "variant", "n")), strict=True):
+                if rec != now:
+                    if variants:
+                        done.append(solve(now, variants, counts))
+                    now, variants, counts = rec, [], []
+                variants.append(variant)
+                counts.append(n)
+            if done:
+                yield told(done)
+        if variants:
+            yield told([solve(now, variants, counts)])
+
+    ready = labels.select("rec_id", "variant", "n").repartition("rec_id").sortWithinPartitions("rec_id", "variant")
+    return ready.mapInArrow(many, "rec_id string, variant string, speaker string, speaker_no bigint")
+
+
+def clean_utterances(azure: DataFrame, texts: bool = True) -> DataFrame:
+    """One row for each utterance with spoken words and both times: rec_id, az_id, start_ms, end_ms, variant, and with `texts`
+    text and confidence.
 
     First deliveries count. The speaker label is that of the field, else the tag at the head of the
     transcript; rows without either, or without a recording, are passed over. Confidences above 1 are
     taken as percentages; NaN becomes null.
     """
     a = first_delivery(azure.select("az_id", "rec_id", "speaker_id", "start_time", "end_time", "transcript", "confidence", "lang", "loaded_at"), "az_id")
+    a = a.select("rec_id", "az_id", to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"), plain_variant(F.col("speaker_id")).alias("field"), bare_text(F.col("transcript")).alias("bare"), "confidence", "lang")
+    a = a.where("rec_id is not null and start_ms is not null and end_ms is not null and bare is not null")
+    a = a.select("*", F.when(F.col("field").isNull(), plain_variant(head_label(F.col("bare")))).otherwise(F.col("field")).alias("variant"), words_only(F.col("bare")).alias("words"))
+    a = a.where(F.col("variant").isNotNull() & has_speech(F.col("words")))
     conf = F.when(~F.isnan("confidence"), F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence")))
-    rows = a.select(
-        "rec_id", "az_id", to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"),
-        F.coalesce(plain_variant(F.col("speaker_id")), plain_variant(head_label(F.col("transcript")))).alias("variant"),
-        spoken_text(F.col("transcript"), F.col("lang")).alias("text"), conf.alias("confidence"),
-    ).where("rec_id is not null and start_ms is not null and end_ms is not null and text is not null and variant is not null")
-    return rows.withColumn("number", variant_number(F.col("variant")))
+    return a.select("rec_id", "az_id", "start_ms", "end_ms", "variant", *([spoken_text(F.col("words"), F.col("lang")).alias("text"), conf.alias("confidence")] if texts else []))
 
 
-def speaker_turns(azure: DataFrame, least: float = 0.8) -> DataFrame:
+def speaker_turns(azure: DataFrame, texts: bool = True) -> DataFrame:
     """Every clean utterance with its canonical speaker and the number of its turn within the recording.
 
-    Columns: rec_id, turn_no, speaker, speaker_no (null for speakers without a number), az_id, start_ms,
-    end_ms, text, confidence. Order: start_ms, then az_id. A turn is the longest stretch of one speaker.
-    An empty table gives no rows; null ids, labels and times see `clean_utterances`.
+    Columns: rec_id, turn_no, speaker, speaker_no (the number of the speaker's component, null without one), az_id,
+    start_ms, end_ms, and with `texts` text and confidence. Order: start_ms, then az_id. A turn is the longest stretch of
+    one canonical speaker. An empty table gives no rows; null ids, labels and times see `clean_utterances`.
     """
-    rows = checkpoint(clean_utterances(azure))  # the texts are cleaned once, though three branches read them
-    names = rows.groupBy("rec_id", "variant", "number").agg(F.count("*").alias("n"))
-    rows = rows.drop("number").join(canonical_speakers(names, least), ["rec_id", "variant"])
-    rows = rows.withColumn("who", F.coalesce(F.col("speaker_no").cast("string"), F.concat(F.lit("="), "speaker"))).withColumn("b", bucket_of(F.col("start_ms")))
-    return run_ids(rows, ["rec_id"], "b", ["start_ms", "az_id"], "who", "turn_no").drop("who", "b", "variant")
+    rows = checkpoint(clean_utterances(azure, texts))  # the texts are cleaned once, though three branches read them
+    names = rows.groupBy("rec_id", "variant").agg(F.count("*").alias("n"))
+    rows = rows.join(canonical_speakers(names), ["rec_id", "variant"]).withColumn("b", bucket_of(F.col("start_ms")))
+    return run_ids(rows, ["rec_id"], "b", ["start_ms", "az_id"], "speaker", "turn_no").drop("b", "variant")
 
 
-def turn_summary(turns: DataFrame) -> DataFrame:
-    """One row for each turn: first and last utterance, times, utterances, words and mean confidence."""
+def turn_bounds(turns: DataFrame) -> DataFrame:
+    """The first and last utterance of each turn: rec_id, turn_no, speaker, speaker_no, first_az_id, last_az_id, start_ms, end_ms, n_utterances."""
     place = F.struct("start_ms", "az_id")
     return turns.groupBy("rec_id", "turn_no").agg(
         F.min("speaker").alias("speaker"), F.min("speaker_no").alias("speaker_no"), F.min_by("az_id", place).alias("first_az_id"), F.max_by("az_id", place).alias("last_az_id"),
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_utterances"), F.sum(F.size(F.split("text", " "))).alias("n_words"),
-        F.round(F.avg("confidence"), 6).alias("confidence"),
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_utterances"),
     )
+
+
+def turn_summary(turns: DataFrame) -> DataFrame:
+    """`turn_bounds` with the number of words and the mean confidence of each turn."""
+    said = turns.groupBy("rec_id", "turn_no").agg(F.sum(F.size(F.split("text", " "))).alias("n_words"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return turn_bounds(turns).join(said, ["rec_id", "turn_no"])
