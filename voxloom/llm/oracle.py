@@ -19,6 +19,19 @@ SOUNDS = r"\[[^\[\]]*\]|\(\([^()]*\)\)|\([^()]*\)|<[^<>]*>|\{[^{}]*\}|\*[^*]*\*|
 FILLERS = "u+h+|u+h*m+|e+h+|e+r+m*|e+m+|h+m+|m{2,}|a+h+|ä+h*m*|ö+h+"
 NUMBERS = "[" + ", ".join(f"'{w}'" for w in WORDS.split("|")) + "]"
 
+_RUNS = f"""
+WITH m AS (
+  SELECT merged_id, rec_id, cluster_labels AS label, CAST(round(start_times * 1000) AS BIGINT) AS s, CASE WHEN NOT isnan(end_times) THEN CAST(round(end_times * 1000) AS BIGINT) END AS e
+  FROM {_once("merged_samples", "merged_id")} WHERE rec_id IS NOT NULL AND cluster_labels IS NOT NULL AND cluster_labels <> -1 AND start_times IS NOT NULL AND NOT isnan(start_times)),
+change AS (
+  SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY rec_id ORDER BY s, merged_id) THEN 0 ELSE 1 END AS c FROM m),
+stretch AS (
+  SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY s, merged_id) AS k FROM change),
+reach AS (
+  SELECT *, max(greatest(s, coalesce(e, s))) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM stretch),
+run AS (
+  SELECT *, sum(CASE WHEN s - latest <= 1500 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id) AS r FROM reach)"""
+
 SQL: dict[str, str] = {
     "p3_found": f"""
 WITH e AS (
@@ -61,20 +74,13 @@ u AS (
 c AS (SELECT *, CASE WHEN no = lag(no) OVER (PARTITION BY rec_id ORDER BY s, az_id) THEN 0 ELSE 1 END AS ch FROM u WHERE no IS NOT NULL),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY s, az_id) AS turn FROM c)
 SELECT rec_id, any_value(no) AS speaker_no, arg_min(az_id, struct_pack(s := s, i := az_id)) AS first_az_id, arg_max(az_id, struct_pack(s := s, i := az_id)) AS last_az_id FROM r GROUP BY rec_id, turn""",
-    "p7_found": f"""
-WITH m AS (
-  SELECT merged_id, rec_id, cluster_labels AS label, CAST(round(start_times * 1000) AS BIGINT) AS s, CAST(round(end_times * 1000) AS BIGINT) AS e
-  FROM {_once("merged_samples", "merged_id")} WHERE cluster_labels IS NOT NULL AND cluster_labels <> -1 AND start_times IS NOT NULL AND NOT isnan(start_times)),
-change AS (
-  SELECT *, CASE WHEN label = lag(label) OVER (PARTITION BY rec_id ORDER BY s, merged_id) THEN 0 ELSE 1 END AS c FROM m),
-stretch AS (
-  SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY s, merged_id) AS k FROM change),
-reach AS (
-  SELECT *, max(greatest(s, e)) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM stretch),
-run AS (
-  SELECT *, sum(CASE WHEN s - latest <= 1500 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id) AS r FROM reach)
+    "p7_found": _RUNS + """
 SELECT rec_id, CAST(max(label) AS BIGINT) AS cluster_label, arg_min(merged_id, s) AS first_merged_id, arg_max(merged_id, s) AS last_merged_id
 FROM run GROUP BY rec_id, k, r HAVING count(*) >= 2""",
+    "p7_runs": _RUNS + """
+SELECT rec_id, CAST(max(label) AS BIGINT) AS label, arg_min(merged_id, s) AS first_id, arg_max(merged_id, s) AS last_id, count(*) AS n_events, min(s) AS start_ms,
+  max(greatest(s, coalesce(e, s))) AS end_ms, max(greatest(s, coalesce(e, s))) - min(s) AS duration_ms
+FROM run GROUP BY rec_id, k, r""",
     "p8_found": """
 WITH i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
 d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),

@@ -53,7 +53,7 @@ def p6_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    found = turns.turn_summary(turns.speaker_turns(table(spark, d, "azure_diarization")))
+    found = turns.turn_bounds(turns.speaker_turns(table(spark, d, "azure_diarization"), texts=False))
     return found.where("speaker_no is not null").select("rec_id", "speaker_no", "first_az_id", "last_az_id")
 
 
@@ -66,6 +66,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("rec_id", F.col("label").alias("cluster_label"), F.col("first_id").alias("first_merged_id"), F.col("last_id").alias("last_merged_id"))
 
 
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of near-identical segments: one of another label may stand in a run if that is cheaper than two boundaries."""
+    return runs.cluster_runs(table(spark, d, "merged_samples"), mismatch=0.4, penalty=1.0)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id")
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p7_runs": p7_runs,
     "p7_found": p7_found,
+    "p7_near": p7_near,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
     "p9_mixture": p9_mixture,
