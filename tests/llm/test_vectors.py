@@ -112,11 +112,42 @@ def test_chain_is_no_cluster(spark):
 def test_modularity_in_blocks(spark):
     edges = [(g * 10 + i, g * 10 + j, 1.0) for g in range(6) for i in range(8) for j in range(i + 1, 8)] + [(g * 10, g * 10 + 10, 0.1) for g in range(5)]
     df = spark.createDataFrame(edges, "a bigint, b bigint, w double")
-    for solo, nodes in ((10**6, 10**6), (20, 12)):
-        got = {r.id: r.community for r in C.modularity_communities(df, solo, nodes).collect()}
+    for nodes in (10**6, 12):
+        got = {r.id: r.community for r in C.modularity_communities(df, nodes).collect()}
         assert got == {g * 10 + i: g * 10 for g in range(6) for i in range(8)}
 
 
+def test_check_reunites_what_the_graph_left_apart(spark, monkeypatch):
+    """With every row a community of its own and no means compared, the exact check alone finds the clusters of enough rows."""
+    ids, m = planted(groups=(60, 9, 30))
+    got = {r.id: r.community for r in C.tight_clusters(frame(spark, ids, m), "id", "vec").collect()}
+    real = C.grouped
+
+    def split(vectors, *rest):
+        rows, edges = real(vectors, *rest)
+        return rows.selectExpr("id", "vec", "min(id) over (partition by community, id % 2) as community"), edges
+
+    monkeypatch.setattr(C, "grouped", split)
+    again = {r.id: r.community for r in C.tight_clusters(frame(spark, ids, m), "id", "vec", min_size=4).collect()}
+    assert got and {i: c for i, c in again.items() if i in got} == got
+
+
+def test_vectors_of_two_lengths(spark):
+    rows = [(i, [1.0, 0.01 * i]) for i in range(6)] + [(10 + i, [1.0, 0.01 * i, 0.0]) for i in range(6)]
+    df = spark.createDataFrame([(i, v, "a") for i, v in rows], "id bigint, vec array<float>, loaded_at string")
+    assert {(r.a < 10) == (r.b < 10) for r in N.nearest_vectors(df, "id", "vec", 3).collect()} == {True}
+    assert sorted((r.id, r.community) for r in C.tight_clusters(df, "id", "vec").collect()) == [(i, 0 if i < 10 else 10) for i, _ in rows]
+    assert S.diverse_subset(df, "id", "vec", 4).count() == 4
+
+
+def test_copies_are_one_node(spark):
+    ids, m = planted(groups=(40,))
+    m = np.concatenate([m, np.tile(m[:1], (100, 1))])
+    ids = np.concatenate([ids, ids.max() + 1 + np.arange(100)])
+    got = {r.community for r in C.tight_clusters(frame(spark, ids, m), "id", "vec").collect()}
+    assert C.tight_clusters(frame(spark, ids, m), "id", "vec").count() == 140 and got == {int(ids.min())}
+
+
 def test_greedy_equals_exhaustive_gain():
     r = np.random.default_rng(0)
     m = unit(r.normal(size=(40, 6)))
@@ -143,6 +174,18 @@ def test_subset_covers_every_group(spark):
     assert cover.count() == len(ids) and cover.where("sim < 0.5").count() == 0
 
 
+def test_core_sets_come_near_the_greedy_choice_over_all_rows(spark):
+    ids, m = planted(groups=(1, 2, 3, 40, 80, 400, 700), width=32, noise=0.6)
+    order, _ = S.greedy_determinant(unit(m.astype(float)), 24)
+    for part_rows, final_rows in ((100, 300), (100, 60)):  # the second with a final pass in stretches
+        got = S.diverse_subset(frame(spark, ids, m), "id", "vec", 24, part_rows=part_rows, final_rows=final_rows).collect()
+        at = {int(i): k for k, i in enumerate(ids)}
+        value = lambda rows: np.linalg.slogdet(np.exp((unit(m[rows].astype(float)) @ unit(m[rows].astype(float)).T - 1) / S.WIDTH))[1]
+        chance = np.mean([value(np.random.default_rng(s).choice(len(ids), 24, replace=False)) for s in range(20)])
+        assert len(got) == 24
+        assert value([at[r.id] for r in got]) >= value(order) - 0.1 * abs(value(order) - chance)
+
+
 def test_subset_of_copies(spark):
     m = np.tile(np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]], np.float32), (20, 1))
     got = S.diverse_subset(frame(spark, np.arange(40) + 1, m), "id", "vec", 5).orderBy("pick").collect()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,23 +14,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint, first_delivery
-from voxloom.llm.neighbours import BITS, DIMS, HALF_WINDOW, best_partners, by_block, clean_vectors, curve_blocks, curve_neighbours, matrix, unit_rows
+from voxloom.llm.neighbours import SALTS, best_partners, by_length, clean_vectors, curve_neighbours, matrix, unit_rows
 from voxloom.operators.components import connected_components
 
-#: Neighbours kept for each row, curves that seed them, rounds of neighbour descent.
-NEIGHBOURS, SEED_CURVES, ROUNDS = 5, 3, 1
-#: A graph of up to so many edges is solved in one task; larger ones in blocks of about so many nodes.
-SOLO_EDGES, BLOCK_NODES = 400_000, 20_000
+#: Neighbours kept for each row; curves that seed them and rows seen on either side along each.
+NEIGHBOURS, SEED_CURVES, SEED_HALF = 5, 3, 1024
+#: Descent ends with a round that changes at most this share of the neighbours.
+SETTLED = 0.1
+#: Nodes of a block of the graph, about.
+BLOCK_NODES = 20_000
 #: Rows of one side of an exact comparison, and communities whose means are broadcast at a time.
 BLOCK_ROWS, BLOCK_MEANS = 8192, 4096
+#: Nearest means looked up for each community.
+MEAN_NEIGHBOURS = 8
+#: Added to angles where a bound decides, so that rounding never does.
+MARGIN = 1e-3
 
 
 def descend(vectors: DataFrame, near: DataFrame, k: int, least: float) -> DataFrame:
     """One round of neighbour descent: neighbours of a row are compared with each other.
 
-    Around each row meet its k neighbours and up to k rows that have it as theirs (the most similar
-    ones; pairs it leaves out can still meet around other rows). Vectors travel as half-precision
-    bytes; only pairs better than the present k-th partner are emitted.
+    Around each row meet its k neighbours and the k rows most similar to it that have it as theirs (as usual in
+    neighbour descent; others can still meet around other rows). Vectors travel as half-precision bytes; only
+    pairs better than the present k-th partner are emitted. Column `fresh` is 1 for partners that the round found.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,26 +76,32 @@ def descend(vectors: DataFrame, near: DataFrame, k: int, least: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(which[g, i]), pa.array(which[g, j]), pa.array(sims[g, i, j])], names=["a", "b", "sim"])
 
     better = groups.select("x").mapInArrow(compare, "a bigint, b bigint, sim float")
-    return best_partners(near.select("a", "b", "sim").union(better), k)
+    both = near.select("a", "b", "sim", F.lit(0).alias("fresh")).unionByName(better.withColumn("fresh", F.lit(1)))
+    once = both.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where(F.col("rank") <= k)
 
 
-def neighbour_graph(vectors: DataFrame, k: int, least: float, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int, least: float, settled: float = SETTLED, seed: int = 42) -> DataFrame:
     """Undirected edges (a < b, w) between rows at least `least` similar: descent from a seed graph.
 
     The seed graph takes the neighbours along few space-filling curves instead of random ones, which
-    saves most rounds of the descent.
+    saves most rounds of the descent. Rounds go on until one changes at most the share `settled` of the neighbours;
+    similarities only rise, so there is such a round.
     """
-    near = checkpoint(curve_neighbours(vectors, k, least, SEED_CURVES, seed=seed))
-    for _ in range(rounds):
+    near = checkpoint(curve_neighbours(vectors, k, least, SEED_CURVES, half=SEED_HALF, seed=seed))
+    while True:
         near = checkpoint(descend(vectors, near, k, least))
+        changed = near.agg(F.avg("fresh")).first()[0]
+        if changed is None or changed <= settled:
+            break
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sim").cast("double").alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, volume: dict[int, float], total: float, deep: bool) -> dict[int, int]:
+def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, volume: dict[int, float], total: float) -> dict[int, int]:
     """Communities of one block of a graph by moves of best modularity gain; node -> smallest member.
 
-    `volume` holds a node's weighted degree in the whole graph, `total` the sum of all degrees. With
-    `deep`, communities are contracted and moved again until nothing improves.
+    `volume` holds a node's weighted degree in the whole graph, `total` the sum of all degrees. Communities are
+    contracted and moved again until nothing improves.
     """
     near: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
     for x, y, v in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
@@ -123,7 +137,7 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, volume: dict[int, float
             least[c] = min(x, least.get(c, x))
         home = {x: least[c] for x, c in home.items()}
         member = {x: home[c] for x, c in member.items()}
-        if not deep or not moved:
+        if not moved:
             return member
         vol = defaultdict(float)
         grown: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
@@ -136,218 +150,318 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, volume: dict[int, float
         volume, near = vol, grown
 
 
-def block_solver(total: float, deep: bool):
+def block_solver(total: float):
     """A grouped-map function: the moves of one block's edges (a, b, w, va, vb)."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["a", "b"])
         vols = dict(zip(pdf.a.tolist(), pdf.va.tolist(), strict=True)) | dict(zip(pdf.b.tolist(), pdf.vb.tolist(), strict=True))
-        got = louvain(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.w.to_numpy(), vols, total, deep)
+        got = louvain(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.w.to_numpy(), vols, total)
         return pd.DataFrame({"id": list(got), "to": list(got.values())}, dtype="int64")
 
     return solve
 
 
-def modularity_communities(edges: DataFrame, solo_edges: int = SOLO_EDGES, block_nodes: int = BLOCK_NODES, max_rounds: int = 40) -> DataFrame:
+def modularity_communities(edges: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """Communities of a weighted graph (a, b, w): id, community (its smallest member).
 
-    Every round puts nodes into blocks - a node goes with its strongest neighbour, so mutual strongest
-    neighbours always meet - moves nodes inside each block by their gain in the modularity of the whole
-    graph, and contracts the communities. Once `solo_edges` or fewer are left one task finishes.
+    Every round puts nodes into blocks of about `block_nodes` - a node goes with its strongest neighbour, so mutual
+    strongest neighbours always meet - moves nodes inside each block by their gain in the modularity of the whole
+    graph, and contracts the communities. A round without a move is the last; every other one makes the graph smaller.
     """
     edges = checkpoint(edges.where("a <> b and w > 0"))
-    volume = edges.select(F.col("a").alias("id"), "w").union(edges.select("b", "w")).groupBy("id").agg(F.sum("w").alias("vol"))
-    volume = checkpoint(volume)
-    total = volume.agg(F.sum("vol")).first()[0] or 1.0
+    volume = checkpoint(edges.select(F.col("a").alias("id"), "w").union(edges.select("b", "w")).groupBy("id").agg(F.sum("w").alias("vol")))
+    total, left = volume.agg(F.sum("vol"), F.count("*")).first()
     labels = volume.select("id", F.col("id").alias("community"))
-    for _ in range(max_rounds):
-        n_edges = edges.count()
-        if not n_edges:
+    while left:
+        both = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
+        top = both.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("nb"))).alias("t"))
+        first = top.select(F.col("a").alias("id"), F.least("a", -F.col("t.nb")).alias("up"))
+        hop = first.select(F.col("id").alias("up"), F.col("up").alias("upper"))
+        anchor = first.join(hop, "up", "left").select("id", F.least("up", F.coalesce("upper", "up")).alias("anchor"))
+        blocks = checkpoint(volume.join(anchor, "id").select("id", "vol", F.pmod(F.xxhash64("anchor"), F.lit(-(-left // block_nodes))).cast("int").alias("block")))
+        ends = blocks.select(F.col("id").alias("a"), F.col("vol").alias("va"), F.col("block")), blocks.select(F.col("id").alias("b"), F.col("vol").alias("vb"), F.col("block").alias("other"))
+        inside = edges.join(ends[0], "a").join(ends[1], "b").where("block = other").drop("other")
+        moves = checkpoint(inside.groupBy("block").applyInPandas(block_solver(total), "id bigint, to bigint").where("id <> to"))
+        moved = moves.count()
+        if not moved:
             break
-        solo = n_edges <= solo_edges
-        if solo:
-            blocks = volume.select("id", "vol", F.lit(0).alias("block"))
-        else:
-            both = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
-            top = both.groupBy("a").agg(F.max(F.struct("w", (-F.col("b")).alias("nb"))).alias("t"))
-            first = top.select(F.col("a").alias("id"), F.least("a", -F.col("t.nb")).alias("up"))
-            hop = first.select(F.col("id").alias("up"), F.col("up").alias("upper"))
-            n_blocks = max(2, -(-volume.count() // block_nodes))
-            anchor = first.join(hop, "up", "left").select("id", F.least("up", F.coalesce("upper", "up")).alias("anchor"))
-            blocks = volume.join(anchor, "id").select("id", "vol", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks)).cast("int").alias("block"))
-        left = blocks.select(F.col("id").alias("a"), F.col("vol").alias("va"), F.col("block"))
-        right = blocks.select(F.col("id").alias("b"), F.col("vol").alias("vb"), F.col("block").alias("other"))
-        inside = edges.join(left, "a").join(right, "b").where("block = other").drop("other")
-
-        moves = checkpoint(inside.groupBy("block").applyInPandas(block_solver(total, solo), "id bigint, to bigint").where("id <> to"))
         step = moves.select(F.col("id").alias("community"), "to")
         labels = checkpoint(labels.join(step, "community", "left").select("id", F.coalesce("to", "community").alias("community")))
-        if solo:
-            break
         for end in ("a", "b"):
             edges = edges.join(moves.select(F.col("id").alias(end), F.col("to").alias(f"to_{end}")), end, "left").withColumn(end, F.coalesce(f"to_{end}", end)).drop(f"to_{end}")
         edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").groupBy("a", "b").agg(F.sum("w").alias("w"))
         volume = volume.join(moves, "id", "left").groupBy(F.coalesce("to", "id").alias("id")).agg(F.sum("vol").alias("vol"))
         edges, volume = checkpoint(edges), checkpoint(volume)
+        left = edges.select("a").union(edges.select("b")).distinct().count()
     return labels
 
 
 def community_means(rows: DataFrame) -> DataFrame:
-    """Size and mean unit vector of each community of (id, vec, community), summed per batch before the shuffle."""
+    """Size and mean of the unit vectors of each community of (id, vec, community): community, n, mean, long (length of the mean).
+
+    Summed per batch before the shuffle, so a community of a third of all rows is a row for each batch.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 keys, at = np.unique(batch.column("community").to_numpy(), return_inverse=True)
-                sums = np.zeros((len(keys), len(batch.column("vec")[0])))
-                np.add.at(sums, at, unit_rows(matrix(batch.column("vec"))))
+                unit = unit_rows(matrix(batch.column("vec"))).astype(np.float64)
+                order = np.argsort(at, kind="stable")
+                sums = np.add.reduceat(unit[order], np.searchsorted(at[order], np.arange(len(keys))), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at)), pa.array(list(sums), pa.list_(pa.float64()))], names=["community", "n", "total"])
 
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for c, n, s in zip(batch.column("community").to_pylist(), batch.column("n").to_pylist(), matrix64(batch.column("total")), strict=True):
+                if c in sums:
+                    sums[c][0] += n
+                    sums[c][1] += s
+                else:
+                    sums[c] = [n, s.copy()]
+        means = [s / n for n, s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([n for n, _ in sums.values()], pa.int64()), pa.array(means, pa.list_(pa.float32())), pa.array([float(np.linalg.norm(m)) for m in means], pa.float64())], names=["community", "n", "mean", "long"])
+
     parts = rows.select("community", "vec").mapInArrow(partial, "community bigint, n bigint, total array<double>")
+    return parts.repartition("community").mapInArrow(added, "community bigint, n bigint, mean array<float>, long double")
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf.n.sum())
-        return pd.DataFrame({"community": [pdf.community.iloc[0]], "n": [n], "mean": [np.stack(pdf.total.to_list()).sum(axis=0) / n]})
 
-    return parts.groupBy("community").applyInPandas(add, "community bigint, n bigint, mean array<double>")
+def matrix64(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def join_communities(rows: DataFrame, least: float) -> DataFrame:
-    """Merge communities whose members are on average at least `least` similar across: community, to.
+def relabelled(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, vec, community) after the communities of `pairs` (a, b) have been joined, each named by its smallest one."""
+    to = connected_components(pairs.select("a", "b")).select(F.col("id").alias("community"), F.col("component").alias("to")).where("community <> to")
+    return rows.join(F.broadcast(to) if to.count() <= BLOCK_MEANS else to, "community", "left").select("id", "vec", F.coalesce("to", "community").alias("community"))
 
-    The dot product of two means is the average similarity across, so parts of one cluster that the
-    graph did not connect are found among all pairs of means. Blocks of `BLOCK_MEANS` means are
-    broadcast in turn and compared with all.
-    """
-    means = checkpoint(community_means(rows))
-    n_blocks = -(-means.count() // BLOCK_MEANS)
-    means = means.withColumn("part", F.pmod(F.xxhash64("community"), F.lit(max(1, n_blocks)))) if n_blocks > 1 else means.withColumn("part", F.lit(0))
-    found = None
-    for p in range(n_blocks):
-        block = means.where(F.col("part") == p).select("community", "mean").toPandas()
-        ids, mat = block.community.to_numpy(), np.stack(block["mean"].to_list()).astype(np.float32) if len(block) else np.zeros((0, 1), np.float32)
-        shared = rows.sparkSession.sparkContext.broadcast((ids, mat))
 
-        def across(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            theirs, m = shared.value
-            for batch in batches:
-                if batch.num_rows and len(theirs):
-                    mine, own = batch.column("community").to_numpy(), matrix(batch.column("mean"))
-                    i, j = np.nonzero(own @ m.T >= least)
-                    keep = mine[i] < theirs[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[i][keep]), pa.array(theirs[j][keep]), pa.array(np.ones(keep.sum()))], names=["a", "b", "w"])
+def join_communities(rows: DataFrame, least: float, seed: int = 42) -> DataFrame:
+    """(id, vec, community) with those communities joined whose members are on average at least `least` similar across.
 
-        pairs = means.select("community", "mean").mapInArrow(across, "a bigint, b bigint, w double")
-        found = pairs if found is None else found.union(pairs)
-    if found is None:
-        return means.select("community", F.col("community").alias("to"))
-    return connected_components(found).select(F.col("id").alias("community"), F.col("component").alias("to"))
+    The dot product of two means is the average similarity across, so such communities hold a pair of rows that
+    similar. Modularity cuts a large cluster whose graph is sparse into several; means that belong together are found
+    like any similar vectors, along space-filling curves.
+    """
+    means = checkpoint(community_means(rows).where("long > 0"))
+    near = curve_neighbours(means.select(F.col("community").alias("id"), F.col("mean").alias("vec")), MEAN_NEIGHBOURS, least, seed=seed)
+    long_a, long_b = means.select(F.col("community").alias("a"), F.col("long").alias("la")), means.select(F.col("community").alias("b"), F.col("long").alias("lb"))
+    return relabelled(rows, near.join(long_a, "a").join(long_b, "b").where(F.col("sim") * F.col("la") * F.col("lb") >= least))
 
 
-def least_similarity(rows: DataFrame) -> DataFrame:
-    """The smallest similarity within each community of (id, vec, community), over all its pairs.
+def suspects(rows: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """The rows that an exact comparison with a community of `groups` (community, mean) has to look at: target, id, vec, community.
 
-    A community is cut into blocks of about `BLOCK_ROWS` rows; each pair of blocks is one group, so no
-    group exceeds two blocks and only its minimum is emitted.
+    By the angles to the mean of a community, no row can be `least` similar to one of its members unless its own angle
+    is at most the widest of the members plus the angle of `least`; and two members can only be less similar than that if
+    their angles add up to more than it. Means are broadcast in blocks of `BLOCK_MEANS`.
     """
-    sizes = rows.groupBy("community").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-    cut = rows.join(sizes, "community").withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    spread = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("community", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "vec")
-    ready = spread.repartition("community", "i", "j").sortWithinPartitions("community", "i", "j")
-
-    def lowest(key: tuple, side: np.ndarray, m: np.ndarray) -> tuple:
-        unit = m.astype(np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        x, y = (unit, unit) if key[1] == key[2] else (unit[side == key[1]], unit[side == key[2]])
-        low = 1.0
-        for at in range(0, len(x), 1024):
-            if len(y):
-                low = min(low, float((x[at : at + 1024] @ y.T).min()))
-        return key[0], low
+    limit, spark = math.acos(least), rows.sparkSession
+    n_blocks = -(-groups.count() // BLOCK_MEANS)
+    found = [spark.createDataFrame([], "target bigint, id bigint, vec array<float>, community bigint")]
+    for p in range(n_blocks):
+        block = groups.where(F.pmod(F.xxhash64("community"), F.lit(n_blocks)) == p).select("community", "mean").toPandas().sort_values("community")
+        if not len(block):
+            continue
+        mean = spark.sparkContext.broadcast((block.community.to_numpy(), unit_rows(np.stack(block["mean"].to_list()))))
+
+        def angle_to(own: np.ndarray, unit: np.ndarray, mean=mean) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Members of the block's communities: which rows they are, their community's place, their angle to its mean."""
+            ids, m = mean.value
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            mine = np.flatnonzero(ids[at] == own)
+            return mine, at[mine], np.arccos(np.clip((unit[mine] * m[at[mine]]).sum(axis=1), -1.0, 1.0)) + MARGIN
+
+        def widest(batches: Iterator[pa.RecordBatch], angle_to=angle_to) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    _, at, angle = angle_to(batch.column("community").to_numpy(), unit_rows(matrix(batch.column("vec"))))
+                    places = np.unique(at)
+                    far = np.zeros(places.max() + 1 if len(places) else 0)
+                    np.maximum.at(far, at, angle)
+                    yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(far[places], pa.float64())], names=["place", "far"])
+
+        wide = np.zeros(len(block))
+        for r in rows.select("community", "vec").mapInArrow(widest, "place bigint, far double").groupBy("place").agg(F.max("far").alias("far")).collect():
+            wide[r["place"]] = r["far"]
+        reach = spark.sparkContext.broadcast(wide)
+
+        def look(batches: Iterator[pa.RecordBatch], mean=mean, angle_to=angle_to, reach=reach) -> Iterator[pa.RecordBatch]:
+            far = reach.value
+            ids, m = mean.value
+            bound = np.cos(np.minimum(np.pi, limit + far + MARGIN)).astype(np.float32)
+            for batch in batches:
+                own, unit = batch.column("community").to_numpy(), unit_rows(matrix(batch.column("vec"))) if batch.num_rows else None
+                if unit is None:
+                    continue
+                mine, at, angle = angle_to(own, unit)
+                outer = angle > limit - far[at]
+                row, place = [mine[outer]], [at[outer]]
+                for lo in range(0, len(unit), 1024):
+                    i, j = np.nonzero(unit[lo : lo + 1024] @ m.T >= bound)
+                    i += lo
+                    other = own[i] != ids[j]
+                    row.append(i[other])
+                    place.append(j[other])
+                rows_, places = np.concatenate(row), np.concatenate(place)
+                if len(rows_):
+                    hit = batch.select(["id", "vec", "community"]).take(pa.array(rows_))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[places]), *hit.columns], names=["target", "id", "vec", "community"])
+
+        found.append(rows.select("id", "vec", "community").mapInArrow(look, "target bigint, id bigint, vec array<float>, community bigint"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def compared(left: DataFrame, right: DataFrame, out: str, judge) -> DataFrame:
+    """Exact comparison of rows of `left` with those of `right` of the same `target` (both target, vec, community).
+
+    Both sides are cut into blocks of about `BLOCK_ROWS`; each pair of blocks is one group, handed as (target, unit rows
+    and communities of the left block, those of the right block) to `judge`, which gives the values of one output row
+    or None.
+    """
+    sizes = left.groupBy("target").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nl")).join(right.groupBy("target").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("nr")), "target")
+
+    def spread(df: DataFrame, mine: str, other: str, side: int) -> DataFrame:
+        cut = df.join(sizes, "target").withColumn("p", F.pmod(F.xxhash64("vec", "community"), F.col(mine)).cast("int"))
+        cut = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        i, j = ("p", "q") if side == 0 else ("q", "p")
+        return cut.select("target", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(side).alias("side"), "community", "vec")
+
+    ready = spread(left, "nl", "nr", 0).unionByName(spread(right, "nr", "nl", 1)).repartition("target", "i", "j").sortWithinPartitions("target", "i", "j", "side")
+    names = [c.split()[0] for c in out.split(", ")]
 
     def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sides, mats = None, [], []
+        key, held = None, []
+
+        def settled() -> tuple | None:
+            side = np.concatenate([h[0] for h in held])
+            own, unit = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            return judge(key[0], unit[side == 0], own[side == 0], unit[side == 1], own[side == 1])
+
+        def told(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), preserve_index=False)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("community", "i", "j")], axis=1)
-            side, m = batch.column("p").to_numpy(), matrix(batch.column("vec"))
+            cols = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("target", "i", "j")], axis=1)
+            side, own, unit = batch.column("side").to_numpy(), batch.column("community").to_numpy(), exact_rows(batch.column("vec"))
             cuts = np.flatnonzero((cols[1:] != cols[:-1]).any(axis=1)) + 1
-            out = []
             for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(cols)), strict=True):
                 now = tuple(cols[lo].tolist())
-                if now != key:
-                    if key is not None:
-                        out.append(lowest(key, np.concatenate(sides), np.concatenate(mats)))
-                    key, sides, mats = now, [], []
-                sides.append(side[lo:hi])
-                mats.append(m[lo:hi])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())], names=["community", "low"])
-        if key is not None:
-            last = lowest(key, np.concatenate(sides), np.concatenate(mats))
-            yield pa.RecordBatch.from_arrays([pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.float64())], names=["community", "low"])
+                if now != key and key is not None:
+                    if got := settled():
+                        yield told(got)
+                    held = []
+                key = now
+                held.append((side[lo:hi], own[lo:hi], unit[lo:hi]))
+        if key is not None and (got := settled()):
+            yield told(got)
 
-    return ready.mapInArrow(many, "community bigint, low double").groupBy("community").agg(F.min("low").alias("least_sim"))
+    return ready.mapInArrow(many, out)
 
 
-def outside_links(rows: DataFrame, least: float, seed: int = 42) -> DataFrame:
-    """Communities one of whose members meets a row of another community, at least `least` similar, along a curve."""
+def exact_rows(column: pa.Array) -> np.ndarray:
+    """Unit rows in double precision, as the exact comparison needs them."""
+    m = matrix(column).astype(np.float64)
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    ready = curve_blocks(rows, 2, DIMS, BITS, seed + 1, HALF_WINDOW, ("community",))
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, lab, unit = None, np.empty(0, np.int64), None
-        for batch in batches:
-            hit = set()
-            for block, piece in by_block(batch):
-                if block != now:
-                    now, lab, unit = block, np.empty(0, np.int64), None
-                fresh = unit_rows(matrix(piece.column("vec")))
-                new = piece.column("community").to_numpy()
-                wide, labs = (fresh, new) if unit is None else (np.concatenate([unit, fresh]), np.concatenate([lab, new]))
-                for at in range(0, len(fresh), 1024):
-                    i, j = np.nonzero((fresh[at : at + 1024] @ wide.T >= least) & (new[at : at + 1024, None] != labs[None, :]))
-                    hit.update(new[at : at + 1024][i].tolist(), labs[j].tolist())
-                unit, lab = wide[-HALF_WINDOW:], labs[-HALF_WINDOW:]
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(hit), pa.int64())], names=["community"])
-
-    return ready.select("vec", "community", "block").mapInArrow(look, "community bigint").distinct()
-
-
-def grouped(vectors: DataFrame, least: float, k: int, rounds: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Communities of clean vectors, and the graph: (id, vec, community), edges (a, b, w)."""
-    edges = checkpoint(neighbour_graph(vectors, k, least, rounds, seed))
+def loose_targets(inner: DataFrame, least: float) -> DataFrame:
+    """Communities two of whose own suspects are less than `least` similar: target."""
+
+    def judge(target: int, x: np.ndarray, _own: np.ndarray, y: np.ndarray, _other: np.ndarray) -> list | None:
+        return [(target,)] if len(y) and any((x[at : at + 1024] @ y.T).min() < least for at in range(0, len(x), 1024)) else None
+
+    return compared(inner, inner, "target bigint", judge).distinct()
+
+
+def outer_links(outer: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """Communities a (of a row outside) and b (that it is a suspect of) with a pair at least `least` similar: a, b."""
+    members = rows.join(outer.select(F.col("target").alias("community")).distinct(), "community", "left_semi").select(F.col("community").alias("target"), "vec", "community")
+
+    def judge(target: int, x: np.ndarray, own: np.ndarray, y: np.ndarray, _other: np.ndarray) -> list | None:
+        hit = {c for at in range(0, len(x), 1024) if len(y) for c in own[at : at + 1024][(x[at : at + 1024] @ y.T >= least).any(axis=1)].tolist()}
+        return [(c, target) for c in sorted(hit)] or None
+
+    return compared(outer, members, "a bigint, b bigint", judge).distinct()
+
+
+def grouped(vectors: DataFrame, least: float, k: int, settled: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Communities of different vectors, and the graph: (id, vec, community), edges (a, b, w)."""
+    edges = checkpoint(neighbour_graph(vectors, k, least, settled, seed))
     labels = modularity_communities(edges)
     rows = checkpoint(vectors.join(labels, "id", "left").withColumn("community", F.coalesce("community", "id")))
-    to = checkpoint(join_communities(rows, least)).where("community <> to")  # few: only parts of one cluster move
-    return rows.join(to, "community", "left").select("id", "vec", F.coalesce("to", "community").alias("community")), edges
+    return checkpoint(join_communities(rows, least, seed)), edges
 
 
-def similarity_communities(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
-    """Group rows into communities of mutually similar vectors: id, community, degree.
+def one_of_each(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, vec) of the smallest id of every different vector, and (id, rep) of all rows. Copies are joined by salted parts."""
+    keyed = vectors.withColumn("copy", F.xxhash64("vec")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    heads = keyed.groupBy("copy").agg(F.min_by("vec", "id").alias("vec"), F.min("id").alias("rep"), F.count("*").alias("n"))
+    heads = checkpoint(heads)
+    twins = heads.where("n > 1").select("copy", "rep").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return heads.select(F.col("rep").alias("id"), "vec"), keyed.select("id", "copy", "salt").join(twins, ["copy", "salt"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
-    `degree` is the weighted degree inside the community in the neighbour graph; the members with the
-    highest are the most typical. Vectors without a neighbour at least `least` similar form communities
-    of their own with degree 0. Null, zero and NaN vectors take no part; repeated deliveries count once;
-    an empty table gives no rows; equal degrees rank by id; other columns are dropped.
-    """
-    rows, edges = grouped(checkpoint(clean_vectors(df, id_col, vec_col)), least, k, rounds, seed)
-    rows = checkpoint(rows.select("id", "community"))
-    ends = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
-    degree = ends.join(rows.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(rows.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
-    degree = degree.where("ca = cb").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"))
-    return rows.join(degree, "id", "left").select("id", "community", F.round(F.coalesce("degree", F.lit(0.0)), 6).alias("degree"))
 
+def similarity_communities(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, k: int = NEIGHBOURS, settled: float = SETTLED, seed: int = 42) -> DataFrame:
+    """Group rows into communities of mutually similar vectors: id, community, degree.
 
-def tight_clusters(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, min_size: int = 5, k: int = NEIGHBOURS, rounds: int = ROUNDS, seed: int = 42) -> DataFrame:
+    `degree` is the weighted degree inside the community in the neighbour graph, where exact copies are one node; the
+    members with the highest are the most typical. Vectors without a neighbour at least `least` similar form communities
+    of their own with degree 0. Null, zero and NaN vectors take no part; vectors of different lengths are never
+    together; repeated deliveries count once; an empty table gives no rows; equal degrees rank by id; other columns are
+    dropped.
+    """
+    heads, members = one_of_each(checkpoint(clean_vectors(df, id_col, vec_col)))
+    found = []
+    for part in by_length(heads):
+        rows, edges = grouped(part, least, k, settled, seed)
+        rows = rows.select("id", "community")
+        ends = edges.select("a", "b", "w").union(edges.select("b", "a", "w"))
+        degree = ends.join(rows.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(rows.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+        degree = degree.where("ca = cb").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"))
+        found.append(rows.join(degree, "id", "left").select(F.col("id").alias("rep"), "community", F.round(F.coalesce("degree", F.lit(0.0)), 6).alias("degree")))
+    return members.join(reduce(DataFrame.unionByName, found), "rep").select("id", "community", "degree")
+
+
+def tight_clusters(df: DataFrame, id_col: str, vec_col: str, least: float = 0.72, min_size: int = 5, k: int = NEIGHBOURS, settled: float = SETTLED, seed: int = 42) -> DataFrame:
     """The communities that pass the exact check: at least `min_size` rows, every pair of them at least
-    `least` similar, no row outside found that similar. Columns id, community (its smallest id)."""
-    rows = checkpoint(grouped(checkpoint(clean_vectors(df, id_col, vec_col)), least, k, rounds, seed)[0])
-    large = rows.groupBy("community").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_size)
-    dense = least_similarity(rows.join(large, "community", "left_semi")).where(F.col("least_sim") >= least).select("community")
-    good = dense.join(outside_links(rows, least, seed), "community", "left_anti").join(large, "community")
-    return rows.select("id", "community").join(good, "community").select("id", F.col("first_id").alias("community"))
+    `least` similar, no row outside that similar. Columns id, community (its smallest id).
+
+    Wherever the check finds a row outside that is as similar as that, its community is joined to the other one and both
+    are checked again; so what graph, modularity and means left apart comes together, and no cluster is reported with
+    a similar row outside. Copies are compared once and count as rows.
+    """
+    heads, members = one_of_each(checkpoint(clean_vectors(df, id_col, vec_col)))
+    members, found = checkpoint(members), []
+    for part in by_length(heads):
+        rows = grouped(part, least, k, settled, seed)[0]
+        sizes = members.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("n"))
+        sized = lambda now: now.join(sizes, "id").groupBy("community").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size).select("community")  # noqa: B023,E731
+        to_check, loose = sized(rows), None
+        while True:
+            groups = checkpoint(community_means(rows).join(to_check, "community", "left_semi"))
+            all_suspects = checkpoint(suspects(rows, groups, least))
+            fails = checkpoint(loose_targets(all_suspects.where("community = target"), least))
+            loose = fails if loose is None else checkpoint(loose.union(fails))
+            links = checkpoint(outer_links(all_suspects.where("community <> target"), rows, least))
+            if links.isEmpty():
+                break
+            names = connected_components(links)
+            bad = names.join(loose.select(F.col("target").alias("id")), "id", "left_semi").select(F.col("component").alias("target")).distinct()
+            loose = checkpoint(loose.union(bad))  # what is joined to a loose community is loose
+            rows = checkpoint(relabelled(rows, links))
+            changed = names.select(F.col("component").alias("community")).distinct()
+            to_check = checkpoint(sized(rows).join(changed, "community", "left_semi").join(loose.select(F.col("target").alias("community")), "community", "left_anti"))
+        good = sized(rows).join(loose.select(F.col("target").alias("community")), "community", "left_anti")
+        found.append(rows.join(good, "community", "left_semi").select(F.col("id").alias("rep"), "community"))
+    all_rows = members.join(reduce(DataFrame.unionByName, found), "rep").select("id", "community")
+    first = all_rows.groupBy("community").agg(F.min("id").alias("first_id"))
+    return all_rows.join(first, "community").select("id", F.col("first_id").alias("community"))
 
 
 def describe(found: DataFrame, samples: DataFrame, typical: int = 3) -> DataFrame:

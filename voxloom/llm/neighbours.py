@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from voxloom.common import checkpoint, first_delivery, internal, valid_vector
 CURVES, DIMS, BITS = 4, 6, 10
 #: Rows that a row is compared with on either side along a curve, at least.
 HALF_WINDOW = 2048
-#: Curves and half window of a search for few queries, where distant neighbours count too.
-QUERY_CURVES, QUERY_HALF_WINDOW = 8, 32_768
+#: Curves of a search for few queries, and of one for neighbours that are hardly similar.
+QUERY_CURVES, FAR_CURVES = 8, 12
+#: Parts of a group of exact copies.
+SALTS = 64
 #: Half windows in a block of a curve; a block is searched by one task and also gets the half windows before and after it.
 BLOCK_HALVES = 8
 
@@ -188,57 +191,52 @@ def best_of(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return cols, vals
 
 
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks that `curve_blocks` gives, each as one batch; a block is of bounded size."""
+    now, parts = None, []
+    for batch in batches:
+        for block, piece in by_block(batch):
+            if block != now and parts:
+                yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                parts = []
+            now = block
+            parts.append(piece)
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def window_neighbours(k: int, half: int, least: float, every: int = 1):
     """A mapInArrow function: k best partners of each row among its neighbours in the order of the rows.
 
-    Rows come as `curve_blocks` gives them. Inside a block windows of 2 x half rows move on by half, so each
-    row meets all rows within `half` places; the results of its two windows are merged before they are emitted.
-    Only core rows whose id is divisible by `every` look for partners.
+    Rows come as `curve_blocks` gives them. Half a half window of core rows at a time is compared with these and the
+    `half` rows before and after them, so every row meets its window once. Only core rows whose id is divisible by
+    `every` look for partners, and only pairs of `least` and more are kept.
     """
-
-    def score(ids: np.ndarray, unit: np.ndarray, core: np.ndarray):
-        cols, vals, m = np.zeros((len(ids), k), np.int64), np.full((len(ids), k), -3.0, np.float32), min(k, len(ids))
-        asks = np.flatnonzero(core & (ids % every == 0))
-        step = max(1, (1 << 21) // len(ids))
-        for lo in range(0, len(asks), step):
-            at = asks[lo : lo + step]
-            sims = unit[at] @ unit.T
-            sims[np.arange(len(at)), at] = -3.0
-            cols[at, :m], vals[at, :m] = best_of(sims, m)
-        return ids[cols], vals
-
-    def emit(ids: np.ndarray, partner: np.ndarray, sim: np.ndarray) -> pa.RecordBatch:
-        a, b, s = np.repeat(ids, partner.shape[1]), partner.reshape(-1), sim.reshape(-1)
-        keep = s >= max(least, -2.0)
-        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(s[keep])], names=["a", "b", "sim"])
+    chunk = max(1, half // 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, unit, core = None, np.empty(0, np.int64), None, np.empty(0, bool)
-        waiting = None  # partners and similarities of the first `half` rows from the window before
-
-        def rest() -> Iterator[pa.RecordBatch]:
-            if len(ids):
-                partner, sim = score(ids, unit, core)
-                if waiting is not None:
-                    yield emit(ids[: len(waiting[0])], *waiting)
-                yield emit(ids, partner, sim)
-
-        for batch in batches:
-            for block, piece in by_block(batch):
-                if block != now:
-                    yield from rest()
-                    now, ids, unit, core, waiting = block, np.empty(0, np.int64), None, np.empty(0, bool), None
-                fresh = unit_rows(matrix(piece.column("vec")))
-                ids = np.concatenate([ids, piece.column("id").to_numpy()])
-                core = np.concatenate([core, piece.column("core").to_numpy(zero_copy_only=False)])
-                unit = fresh if unit is None else np.concatenate([unit, fresh])
-                while len(ids) >= 2 * half:
-                    partner, sim = score(ids[: 2 * half], unit[: 2 * half], core[: 2 * half])
-                    first = (partner[:half], sim[:half]) if waiting is None else (np.hstack([waiting[0], partner[:half]]), np.hstack([waiting[1], sim[:half]]))
-                    yield emit(ids[:half], *first)
-                    waiting = (partner[half:], sim[half:])
-                    ids, unit, core = ids[half:], unit[half:], core[half:]
-        yield from rest()
+        for block in whole_blocks(batches):
+            ids, unit = block.column("id").to_numpy(), unit_rows(matrix(block.column("vec")))
+            asks = np.flatnonzero(block.column("core").to_numpy(zero_copy_only=False) & (ids % every == 0))
+            a, b, s = [], [], []
+            for lo in range(0, len(ids), chunk):
+                at = asks[np.searchsorted(asks, lo) : np.searchsorted(asks, lo + chunk)]
+                if not len(at):
+                    continue
+                first = max(0, lo - half)
+                sims = unit[at] @ unit[first : lo + chunk + half].T
+                sims[np.arange(len(at)), at - first] = -3.0
+                if least > 0:  # few rows have a partner at all
+                    busy = np.flatnonzero(sims.max(axis=1) >= least)
+                    at, sims = at[busy], sims[busy]
+                if len(at):
+                    cols, vals = best_of(sims, min(k, sims.shape[1]))
+                    row, col = np.nonzero(vals >= max(least, -2.0))
+                    a.append(ids[at[row]])
+                    b.append(ids[first + cols[row, col]])
+                    s.append(vals[row, col])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, s)], names=["a", "b", "sim"])
 
     return run
 
@@ -262,30 +260,32 @@ def curve_neighbours(vectors: DataFrame, k: int, least: float = -2.0, curves: in
 
 
 def clean_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id bigint, vec array<float>) of the rows with an id and a valid vector of the usual length.
-
-    Null, all-zero, NaN and infinite vectors drop out; so do vectors whose length differs from the most
-    frequent one, since no similarity is defined for them. First deliveries count.
-    """
+    """(id bigint, vec array<float>) of the rows with an id and a valid vector; null, all-zero, NaN and infinite vectors
+    drop out. First deliveries count."""
     cols = [id_col, vec_col] + (["loaded_at"] if "loaded_at" in df.columns else [])
-    vec = F.col(f"`{vec_col}`").cast("array<float>")
-    sizes = df.select(vec.alias("vec")).where(valid_vector(F.col("vec"))).groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = internal(first_delivery(df.select(*cols), id_col), id=F.col(f"`{id_col}`").cast("bigint"), vec=vec)
-    return rows.where(F.col("id").isNotNull()).where(valid_vector(F.col("vec")) & (F.size("vec") == (sizes[0]["n"] if sizes else 0)))
+    rows = internal(first_delivery(df.select(*cols), id_col), id=F.col(f"`{id_col}`").cast("bigint"), vec=F.col(f"`{vec_col}`").cast("array<float>"))
+    return rows.where(F.col("id").isNotNull() & valid_vector(F.col("vec")))
+
+
+def by_length(vectors: DataFrame) -> list[DataFrame]:
+    """The rows of (vec, ...) split by the length of the vector: similarity is defined among equal lengths only."""
+    lengths = sorted(r["n"] for r in vectors.select(F.size("vec").alias("n")).distinct().collect())
+    return [vectors] if len(lengths) <= 1 else [vectors.where(F.size("vec") == n) for n in lengths]
 
 
 def collapse_copies(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """Exact copies: the k + 1 smallest ids of each vector stand for all; the rest follow from them.
 
     Gives (representatives, rest): `rest` has id and the k smallest ids of its vector. A group of copies
-    is ranked by salted parts first, so a third of all rows being one vector is no hot task.
+    is ranked and joined by salted parts, so a third of all rows being one vector is no hot task.
     """
-    keyed = vectors.withColumn("copy", F.xxhash64(F.transform("vec", lambda x: x + F.lit(0.0)))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    keyed = vectors.withColumn("copy", F.xxhash64("vec")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     w = Window.partitionBy("copy", "salt").orderBy("id")
     parts = keyed.select("id", "copy", "salt").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
     heads = parts.withColumn("r", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("r") <= k + 1)
     groups = heads.groupBy("copy").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > k)
-    marked = keyed.join(groups, "copy", "left")
+    spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    marked = keyed.join(spread, ["copy", "salt"], "left")
     inside = F.col("ids").isNull() | F.array_contains("ids", F.col("id"))
     return marked.where(inside).select("id", "vec"), marked.where(~inside).select("id", F.slice("ids", 1, k).alias("ids"))
 
@@ -295,10 +295,10 @@ def nearest_vectors(df: DataFrame, id_col: str, vec_col: str, k: int, least: flo
 
     `least` leaves out partners below that cosine before they are shuffled. Exact copies are searched
     through k + 1 representatives and joined back, so equal vectors get the smallest other ids of their
-    group. Null, zero and NaN vectors, and vectors of unusual length, take no part; repeated deliveries
+    group. Null, zero and NaN vectors take no part; vectors of different lengths have no similarity; repeated deliveries
     count once; an empty table gives no rows; other columns are dropped. `search` sets the curves.
     """
     heads, rest = collapse_copies(clean_vectors(df, id_col, vec_col), k)
-    near = curve_neighbours(checkpoint(heads), k, least, **search)
+    near = reduce(DataFrame.unionByName, [curve_neighbours(part, k, least, **search) for part in by_length(checkpoint(heads))])
     follow = rest.where(F.col("id") % search.get("every", 1) == 0).select(F.col("id").alias("a"), F.posexplode("ids").alias("p", "b")).select("a", "b", F.lit(1.0).cast("float").alias("sim"), (F.col("p") + 1).alias("rank"))
     return near.unionByName(follow)

@@ -35,10 +35,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_samples(spark: SparkSession, d: str) -> DataFrame:
     """The 3 nearest of every sample whose id is divisible by 100, among all samples."""
-    near = neighbours.nearest_vectors(table(spark, d, "samples"), "sample_id", "enhanced_features", 3, every=100, curves=neighbours.QUERY_CURVES, half=neighbours.QUERY_HALF_WINDOW)
+    near = neighbours.nearest_vectors(table(spark, d, "samples"), "sample_id", "enhanced_features", 3, every=100, curves=neighbours.QUERY_CURVES)
     return near.select(F.col("a").alias("sample_id"), "rank", F.col("b").alias("neighbour_id"), F.round(F.col("sim").cast("double"), 4).alias("sim"))
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 3 nearest of every recalculated vector whose merged_id is divisible by 100, among all, however little similar they are."""
+    near = neighbours.nearest_vectors(table(spark, d, "recalculated_features"), "merged_id", "dvectors", 3, every=100, curves=neighbours.FAR_CURVES)
+    return near.select(F.col("a").alias("merged_id"), "rank", F.col("b").alias("neighbour_id"), F.round(F.col("sim").cast("double"), 4).alias("sim"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = communities.tight_clusters(table(spark, d, "samples"), "sample_id", "enhanced_features")
     return found.where("id <> community").select(F.col("community").alias("first_sample_id"), F.col("id").alias("sample_id"))
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_samples": p4_samples,
+    "p4_neighbours": p4_neighbours,
     "p5_found": p5_found,
     "p5_communities": p5_communities,
     "p6_turns": p6_turns,
