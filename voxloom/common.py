@@ -49,13 +49,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Compute a table once and cut its lineage: written as Parquet to the session's checkpoint folder, and read again.
 
     The folder is the one that spark.checkpoint.dir names, which all executors share, so the table
-    outlives lost executors; a folder of our own is set only where the session names none (as in tests).
+    outlives lost executors; a folder of our own is set only where the session names none and runs in one process (as in tests).
     Compressed columns take less room than checkpointed rows, and readers fetch only what they need.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: a folder of this machine would be lost to them")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/voxloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -100,19 +102,25 @@ def is_sentinel(cleaned: Column) -> Column:
 def first_delivery(df: DataFrame, key: str, arrived: str = "loaded_at") -> DataFrame:
     """Keep of the rows of one id the one that arrived first (null arrivals last, then by all columns).
 
-    Rows without an id cannot be recognised as re-deliveries and are all kept. Spark limits every
-    group to one row before the shuffle, so one id repeated in a third of the rows does no harm.
+    Rows without an id cannot be recognised as re-deliveries and are all kept: each gets a number of its own, which
+    also spreads them. Spark limits every group to one row before the shuffle, so one id repeated in a third of the
+    rows does no harm. The table is read once.
     """
     order = [F.col(arrived).asc_nulls_last()] if arrived in df.columns else []
     rest = [F.col(c) for c, t in df.dtypes if c not in (key, arrived) and not t.startswith("map")]
-    w = Window.partitionBy(key).orderBy(*order, *rest)
-    once = df.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return once.unionByName(df.where(F.col(key).isNull()))
+    own = df.withColumn("__own", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    w = Window.partitionBy(key, "__own").orderBy(*order, *rest)
+    return own.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn", "__own")
 
 
 def valid_vector(v: Column, dim: int | None = None) -> Column:
-    """True for vectors without null, NaN or infinite values that are not all zero."""
-    ok = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > F.lit(3.0e38))) & F.exists(v, lambda x: x != 0)
+    """True for vectors without null, NaN or infinite values that are not all zero.
+
+    Built of array functions that Spark compiles; `array_contains` is null where a null may hide the value, and NaN
+    counts as the largest value.
+    """
+    high, low = F.array_max(v), F.array_min(v)
+    ok = ~F.array_contains(v, F.lit(float("inf")).cast("float")) & ~F.isnan(high) & (high < F.lit(3.0e38)) & (low > F.lit(-3.0e38)) & ((high != 0) | (low != 0))
     return F.coalesce(ok & (F.size(v) == dim if dim else F.lit(True)), F.lit(False))
 
 

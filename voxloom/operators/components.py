@@ -64,4 +64,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50, solo_edges: int
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components are not finished after {max_rounds} rounds")
     return nodes.join(now.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))

@@ -116,6 +116,8 @@ def minimum_spanning_forest(edges: DataFrame, max_rounds: int = 40, solo_edges:
         to = lambda c: home.select(F.col("id").alias(c), F.col("component").alias(f"to_{c}"))  # noqa: B023,E731
         moved = now.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"), "e").where("a <> b")
         now = checkpoint(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "e").groupBy("a", "b").agg(F.min("e").alias("e")))
+    else:
+        raise RuntimeError(f"the forest is not finished after {max_rounds} rounds")
     if chosen is None:
         return edges.select("i", "j", "d").limit(0)
     return chosen.select("e.i", "e.j", "e.d")
