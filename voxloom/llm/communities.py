@@ -21,6 +21,8 @@ from voxloom.operators.components import connected_components
 NEIGHBOURS, SEED_CURVES, SEED_HALF = 5, 3, 1024
 #: Descent ends with a round that changes at most this share of the neighbours.
 SETTLED = 0.1
+#: Sweeps over a block of the graph end with one that moves at most one node in so many.
+CALM = 100
 #: Nodes of a block of the graph, about.
 BLOCK_NODES = 20_000
 #: Rows of one side of an exact comparison, and communities whose means are broadcast at a time.
@@ -100,54 +102,56 @@ def neighbour_graph(vectors: DataFrame, k: int, least: float, settled: float = S
 def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, volume: dict[int, float], total: float) -> dict[int, int]:
     """Communities of one block of a graph by moves of best modularity gain; node -> smallest member.
 
-    `volume` holds a node's weighted degree in the whole graph, `total` the sum of all degrees. Communities are
-    contracted and moved again until nothing improves.
+    `volume` holds a node's weighted degree in the whole graph, `total` the sum of all degrees. A sweep over all nodes is
+    repeated as long as it moves more than one node in `CALM`; then communities are contracted and moved again, until
+    nothing improves.
     """
-    near: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-    for x, y, v in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
-        if x != y:
-            near[x][y] += v
-            near[y][x] += v
-    member = {x: x for x in near}
-    vol = dict(volume)
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, two, w = at[: len(a)], at[len(a) :], np.asarray(w, np.float64)
+    vol = np.array([volume[x] for x in nodes.tolist()])
+    member = np.arange(len(nodes))  # the community of each node, among those of the present level
     while True:
-        home, mass, moved = {x: x for x in near}, {x: vol[x] for x in near}, False
-        for _ in range(20):
+        n = len(vol)
+        apart = one != two
+        src, dst, wt = np.concatenate([one[apart], two[apart]]), np.concatenate([two[apart], one[apart]]), np.concatenate([w[apart], w[apart]])
+        order = np.argsort(src, kind="stable")
+        cut = np.searchsorted(src[order], np.arange(n + 1)).tolist()
+        near, weight = dst[order].tolist(), wt[order].tolist()
+        home, mass, own, moved = list(range(n)), vol.tolist(), vol.tolist(), False
+        while True:
             changed = 0
-            for x in sorted(near):
-                links: dict[int, float] = defaultdict(float)
-                for y, v in near[x].items():
-                    links[home[y]] += v
-                old = home[x]
-                mass[old] -= vol[x]
-                best, gain = old, links.get(old, 0.0) - vol[x] * mass[old] / total
-                for c in sorted(links):
-                    g = links[c] - vol[x] * mass[c] / total
-                    if g > gain + 1e-12:
+            for x in range(n):
+                lo, hi = cut[x], cut[x + 1]
+                if lo == hi:
+                    continue
+                links: dict[int, float] = {}
+                for y, v in zip(near[lo:hi], weight[lo:hi], strict=True):
+                    c = home[y]
+                    links[c] = links.get(c, 0.0) + v
+                old, part = home[x], own[x] / total
+                mass[old] -= own[x]
+                best, gain = old, links.get(old, 0.0) - part * mass[old] + 1e-12
+                for c, v in links.items():
+                    g = v - part * mass[c]
+                    if g > gain or g == gain and best != old and c < best:
                         best, gain = c, g
-                mass[best] += vol[x]
+                mass[best] += own[x]
                 if best != old:
                     home[x] = best
                     changed += 1
             moved |= changed > 0
-            if not changed:
+            if changed * CALM <= n:
                 break
-        least: dict[int, int] = {}
-        for x, c in home.items():
-            least[c] = min(x, least.get(c, x))
-        home = {x: least[c] for x, c in home.items()}
-        member = {x: home[c] for x, c in member.items()}
         if not moved:
-            return member
-        vol = defaultdict(float)
-        grown: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
-        for x, c in home.items():
-            vol[c] += volume.get(x, 0.0)
-            grown[c]
-            for y, v in near[x].items():
-                if home[y] != c:
-                    grown[c][home[y]] += v
-        volume, near = vol, grown
+            break
+        kept, to = np.unique(np.array(home), return_inverse=True)
+        member = to[member]
+        vol = np.bincount(to, vol, len(kept))
+        pairs, where = np.unique(to[one] * np.int64(len(kept)) + to[two], return_inverse=True)
+        one, two, w = pairs // len(kept), pairs % len(kept), np.bincount(where, w, len(pairs))
+    least = np.full(member.max() + 1 if len(member) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, member, nodes)
+    return dict(zip(nodes.tolist(), least[member].tolist(), strict=True))
 
 
 def block_solver(total: float):
