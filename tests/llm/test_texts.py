@@ -99,6 +99,37 @@ def test_held_out_accuracy():
     assert hit / true > 0.97 and hit / found > 0.97
 
 
+def test_another_source():
+    """Sentences the generator has no part in; none of the given names is on its list."""
+    from tests.llm import heldout
+
+    assert not {g.lower() for g in heldout.GIVEN} & P.GIVEN_NAMES
+    w, counts = P.fitted_weights(), {}
+    for text, spans in heldout.sentences(1500):
+        got = {tuple(s[:3]) for s in P.decode(P.segments(text), w)}
+        for k in P.TYPES:
+            mine, theirs = {x for x in got if x[2] == k}, {x for x in spans if x[2] == k}
+            c = counts.setdefault(k, [0, 0, 0])
+            c[0], c[1], c[2] = c[0] + len(theirs), c[1] + len(mine), c[2] + len(mine & theirs)
+    print(counts)
+    for true, found, hit in counts.values():
+        assert hit / true >= 0.9 and hit / found >= 0.9
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Chidi Okonkwo opened the door.", "I spoke with Irina Volkov yesterday.", "Thabo Mbeki was here.", "Jean-Luc Picard sat down.", "We met Brandon Taylor.", "Please ask Ashley Johnson.", "Signed by Adeyemi, Folake", "Bjorn Lindqvist opened the door", "my name is folake adeyemi and i live here", "Peter van Dyk left", "Maria de la Cruz stayed"],
+)
+def test_names_off_the_list(text):
+    got = [s for s in P.decode(P.segments(text), P.fitted_weights()) if s[2] == "person_name"]
+    assert len(got) == 1 and len(text[got[0][0] : got[0][1]].split()) >= 2
+
+
+@pytest.mark.parametrize("text", ["Victor Harbor is a town.", "IBAN DE89 3704 0044 0532 0130 00 is mine.", "Lake Zelmor Park is large.", "The Kordal team met in Room 12."])
+def test_what_is_nobody(text):
+    assert P.decode(P.segments(text), P.fitted_weights()) == []
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [

@@ -3,13 +3,20 @@
 Whole spans are scored: a grammar proposes candidate segments of bounded length, features of the whole
 span and its surroundings score each one for its type, and dynamic programming over the candidates
 chooses boundaries and types jointly. The weights are fitted here, by gradient steps on the exact
-log-likelihood of the segmentation, on invented sentences from the generator below; no text of the
-corpus and no label is used.
+log-likelihood of the segmentation, on invented sentences from the generator below. Its frames, nouns and number
+formats are general ones; words come from a public vocabulary file or are made up of syllables.
+
+Names are proposed by their shape - two or three words that are not function words, in title case or unlike common
+words, with initials, particles and hyphens - and by titles and cue words before them. Whether a word is a common one
+(its lower-case form is a token of the vocabulary), a proper one (only its title-case form is) or an unknown one is a
+feature, and so is a list of frequent given names; no list decides.
 """
 
 from __future__ import annotations
 
+import base64
 import math
+import os
 import random
 import re
 from bisect import bisect_right
@@ -21,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Invented sentences the weights are fitted on, passes over them, and the seed of the generator.
-TRAIN_SENTENCES, EPOCHS, SEED = 3000, 4, 7
+TRAIN_SENTENCES, EPOCHS, SEED = 5000, 4, 7
+#: Folder of the public vocabulary files, and the files whose words count as known.
+VOCABULARIES, KNOWN_WORDS = "/opt/tokenizers", ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
 # Word lists of the grammar (lower case).
 GIVEN_NAMES = frozenset("""
@@ -36,6 +45,10 @@ pamela patricia paul paula pedro peter petra philip priya rafael raj rebecca ric
 sergio simon sofia sophie stefan stephen susan sven teresa thomas tom ursula valentina victor walter william wolfgang yuki yusuf
 """.split())
 FUNCTION_WORDS = frozenset("""
+qué quién quiénes cómo cuándo dónde cuál porque antes después entonces aquí allí todo toda todos todas otro otra este esta estos estas
+wer wen wem wessen wohin woher zuerst danach davor weil dass daß denn doch jeder jede jedes kein keine man mal schon jetzt immer wieder sehr
+uh um erm eh er ah oh hm hmm mm äh ähm öh
+every each another such only own through into onto between without within against yes okay ok hello hi dear well sure hence thus
 a about after again all also am an and are around as ask asked at back be because before best but by call can could did do does
 during else ever first for from had has have he her here hier him his how i if in is it its joined kind last late left list look me met
 my never new next no nobody nor not now of off on one or our out over please put said same says see she signed so some speaking
@@ -47,18 +60,23 @@ eine er es gestern hat heute ich ihr im ist kommt mit nach nicht noch oder sie s
 war warum was wie will wir wird wohnt zu zum zur zweimal dot punkt punto arroba
 """.split())
 TITLES = frozenset("dr mr mrs ms miss prof professor herr frau señor señora sr sra don doña".split())
-NAME_CUES = frozenset("""with is thank ask annotator regards to hier ist soy señora señor frau herr dr mr mrs ms con mit name named called
-by signed speaking nombre llamo heiße coder tutor teacher from attention attn sincerely grüße saludos""".split())
-ID_CUES = frozenset("""passport identity id social security national number card pass ausweis ausweisnummer pasaporte identidad dni nie
-ssn steuernummer cpf licence license insurance personalausweis reads says número numero lautet tax""".split())
-PHONE_CUES = frozenset("""call text phone tel telephone telefon teléfono telefono mobile number ring desk ruf unter llámame llama contact
-fax cell móvil handy whatsapp reach dial sms""".split())
-ADDRESS_CUES = frozenset("""address lives flat live recorder ship at to anschrift dirección direccion wohnt vive en in moved from was
-adresse deliver send home house new residence""".split())
-EMAIL_CUES = frozenset("email mail e-mail mailto write to address reply-to form formulario correo".split())
-CODE_CUES = frozenset("""ticket checksum build row sample epoch cluster sheet version sign node group gruppe grupo count chunk chunks hash
-invoice order part room raum sala question frage pregunta minute der dated on handle score""".split())
-THING_WORDS = frozenset("lake park hill team project room wing hall corpus school song market river mount tower station university".split())
+PARTICLES = frozenset("de del la las los da dos van von der den di du bin ibn al el ter y zu".split())
+ARTICLES = frozenset("the a an this that these those der die das den dem ein eine el la los las un una our your their my his her its every each".split())
+PLACE_WORDS = frozenset("in near towards outside around across nach aus bei en desde hacia cerca".split())
+PLACE_NOUNS = frozenset("""harbor harbour bay beach island islands valley falls springs heights cape point creek city town station airport square
+street road avenue bridge river lake park forest mountain hill hills castle hall museum university college hotel church platz see insel plaza""".split())
+NAME_CUES = frozenset("""with is by thank thanks ask call called named name signed speaking regards attention attn sincerely author
+contact mit von ist heiße heisst gruß grüße nombre llamo llama firma firmado con soy es saludos atentamente and und y""".split())
+ID_CUES = frozenset("""passport identity id social security national card pass ausweis personalausweis ausweisnummer reisepass pasaporte identidad dni nie
+ssn nif steuernummer steuer cpf licence license insurance tax fiscal citizen resident registration""".split())
+PHONE_CUES = frozenset("""call text phone tel telephone telefon teléfono telefono mobile ring ruf rufen anrufen telefonnummer llame llama llamar llámame contact
+fax cell cellphone móvil handy whatsapp reach dial sms hotline""".split())
+ADDRESS_CUES = frozenset("""address lives live flat apartment home house residence street moved deliver send ship parcel letter at to anschrift adresse
+wohnt wohnen umgezogen dirección direccion domicilio vive vivo""".split())
+EMAIL_CUES = frozenset("email mail e-mail mailto write to address reply-to correo contact".split())
+CODE_CUES = frozenset("""order invoice serial version build ticket case model part item page room flight batch lot code key token reference sum total count
+score row line section chapter unit edition number group step release revision nummer version zeile seite raum gruppe
+número versión línea página sala grupo""".split())
 
 # The grammar of addresses, e-mail, phone and identity numbers.
 H = r"[^\S\r\n]"
@@ -101,7 +119,7 @@ DIGITS = re.compile(r"\d+")
 DIGIT_CHAIN = re.compile(r"\d[\d .()/\-]{5,}\d")
 CODE = re.compile(r"(?<![\w.@#-])(?:[A-Za-z]{1,3}-?\d{6,9}(?:-?[A-Za-z])?|[A-Za-z]\d{2,3} \d{3,4} \d{2,4}|\d{7,9}-?[A-Za-z])(?![\w@]|-\w)")
 WORDS = re.compile(W)
-NAME_JOIN = re.compile(rf"['’\-]{W}")
+CLOCK = re.compile(r"\d:\d\d(?::\d\d)?(?:[.,]\d+)?[\])]?[ \t]+$")
 TYPES = ("email", "phone", "id_number", "address", "person_name")
 
 
@@ -138,9 +156,16 @@ def _edges(text: str, s: int, e: int, kind: str) -> list[str]:
     return out
 
 
+def _email_matches(text: str, at: int, stop: int) -> Iterator[re.Match]:
+    """Every place an address may begin at; spelled out, the words before it can look like a part of it."""
+    while m := EMAIL.search(text, at, stop):
+        yield m
+        at = m.end() if m.group().count("@") == 1 and " " not in m.group() else m.start() + 1
+
+
 def email_segments(text: str) -> Iterator[Segment]:
     lines = [m.span() for m in LINE.finditer(text) if MAYBE_EMAIL.search(m.group())] if "@" in text or MAYBE_EMAIL.search(text) else []
-    for m in (m for span in lines for m in EMAIL.finditer(text, *span)):
+    for m in (m for span in lines for m in _email_matches(text, *span)):
         body = m.group()
         f = ["email:bias", "email:at:" + ("sign" if "@" in body else "spelled"), "email:dots:" + ("spelled" if re.search(r"dot|punkt|punto", body, re.I) else "plain")]
         f += _cues(_before(text, m.start()), "email", {"email": EMAIL_CUES}) + _edges(text, m.start(), m.end(), "email")
@@ -237,103 +262,171 @@ def _line_addresses(text: str, begin: int, stop_at: int, low: str, kinds: list[s
                     f.append(f"address:townwords:{len(names)}")
                     f += ["address:townfunction"] if any(w in FUNCTION_WORDS or w in TITLES for w in names) else []
                     f += ["address:towncase"] if len({w[:1].isupper() for w in town.split()}) > 1 or (town[:1].isupper() != m.group()[-3:-1][:1].isupper() and kind == "en" and m.group().lower() != m.group() and not town[:1].isupper()) else []
-                    f += ["address:townthing"] if any(w in THING_WORDS or w in CODE_CUES or w in PHONE_CUES or w in GIVEN_NAMES for w in names) else []
+                    f += ["address:townthing"] if any(w in CODE_CUES or w in PHONE_CUES or w in GIVEN_NAMES for w in names) else []
                 if re.match(rf"{COMMA}(?:{POST})|{H}{POST}", text[e:], re.I):
                     f.append("address:postfollows")
                 stop = len(text[:e].rstrip(".")) if text[e - 1] == "." else e
                 yield Segment((s, stop, "address", f))
 
 
-def name_segments(text: str) -> Iterator[Segment]:
-    """Names: two to four words around a given name or an initial, in either order."""
+class Lexicon(dict):
+    """What is known of a word as written: (lower case, function word, listed given name, capital, class); class C is a common
+    word (its lower-case form is in the vocabulary), P a proper one (only its title-case form is), U an unknown one."""
+
+    def __init__(self, common: frozenset[str], proper: frozenset[str]) -> None:
+        super().__init__()
+        self.common, self.proper = common, proper
+
+    def __missing__(self, word: str) -> tuple[str, bool, bool, bool, str]:
+        if len(self) > 300_000:
+            self.clear()
+        low = word.lower()
+        kind = "C" if low in self.common else "P" if low in self.proper else "U"
+        got = self[word] = (low, low in FUNCTION_WORDS or low in TITLES, low in GIVEN_NAMES, word[:1].isupper(), kind)
+        return got
+
+
+_LEXICA: dict = {}
+
+
+def known_words(folder: str = VOCABULARIES, files: tuple[str, ...] = KNOWN_WORDS) -> tuple[frozenset[str], frozenset[str]]:
+    """The common and the proper words of the vocabularies, the first that knows a word deciding; empty sets where there are none, every word is unknown then."""
+    key = (folder, files)
+    if key not in _LEXICA:
+        common: set[str] = set()
+        proper: set[str] = set()
+        for name in files:
+            path = os.path.join(folder, name)
+            if os.path.exists(path):
+                with open(path, "rb") as lines:
+                    tokens = (base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in lines)
+                    whole = {x[1:] for x in tokens if len(x) > 3 and x[0] == " " and x[1:].isalpha()}
+                here = {x for x in whole if x.islower()}
+                common |= here - proper
+                proper |= {x.lower() for x in whole if x.istitle()} - here - common
+        _LEXICA[key] = frozenset(common), frozenset(proper)
+    return _LEXICA[key]
+
+
+_DEFAULT: list[Lexicon] = []
+
+
+def default_lexicon() -> Lexicon:
+    if not _DEFAULT:
+        _DEFAULT.append(Lexicon(*known_words()))
+    return _DEFAULT[0]
+
+
+def name_features(form: str, given: str, family: str, case: str, before: str, after: str, hyphen: bool, particle: bool, place: bool) -> list[str]:
+    """Features of a name: `given` and `family` are L (listed), C, P, U, or I for an initial; what stands before and after;
+    whether it ends like the name of a place."""
+    f = ["name:bias", f"name:form:{form}", f"name:words:{form}:{given}{family}", f"name:case:{case}", f"name:before:{before}", f"name:after:{after}"]
+    f += [f"name:given:{given}:{case}", f"name:family:{family}:{case}", f"name:{given}{family}:{before}", f"name:{form}:{before}", f"name:{form}:{after}", f"name:{given}:{before}:{after}"]
+    return f + ["name:hyphen"] * hyphen + ["name:particle"] * particle + ["name:place"] * place
+
+
+def name_segments(text: str, lexicon: Lexicon) -> Iterator[Segment]:
+    """Names: a given name or initials and a family name, in either order, by shape and surroundings."""
     words = [(m.start(), m.end(), m.group()) for m in WORDS.finditer(text)]
     n = len(words)
-    low = [w[2].lower() for w in words]
-    known: dict[int, tuple[int, int]] = {}
-
-    def end(i: int) -> tuple[int, int]:
-        """The end of a word with its hyphenated parts, and the index of the next word."""
-        if i not in known:
-            j, e = i + 1, words[i][1]
-            while j < n and text[e : words[j][0]] in ("-", "'", "’"):
-                e, j = words[j][1], j + 1
-            known[i] = (e, j)
-        return known[i]
-
-    def sep(a: int, b: int) -> str:
-        return text[ends_at(a) : words[b][0]]
-
-    def ends_at(i: int) -> int:
-        return end(i)[0]
-
-    def family(i: int) -> bool:
-        return i < n and words[i][1] - words[i][0] >= 2
-
-    def emit(i: int, j: int, form: str, given: int | None, fam: int, initial: int | None) -> Segment:
-        s, e = words[i][0], ends_at(j)
-        f = ["name:bias", f"name:form:{form}"]
-        if given is not None:
-            f.append(f"name:known:{low[given] in GIVEN_NAMES}")
-            a, b = words[given][2], words[fam][2]
-            style = lambda w: "U" if w.isupper() and len(w) > 1 else "T" if w[:1].isupper() else "l"
-            f.append(f"name:case:{style(a)}{style(b)}")
-        else:
-            f.append(f"name:initialcase:{words[initial][2].isupper()}{words[fam][2][:1].isupper()}")
-            f += ["name:afterdigit"] if re.search(r"(?:^|[^\d:])[\d.,]*\d\s?$", text[max(0, s - 12) : s]) else []
-        f += ["name:functionfamily"] if low[fam] in FUNCTION_WORDS else []
-        f += ["name:familything"] if low[fam] in THING_WORDS or low[fam] in CODE_CUES or low[fam] in TITLES else []
-        f += ["name:familygiven"] if low[fam] in GIVEN_NAMES else []
-        f += ["name:hyphen"] if end(fam)[1] > fam + 1 else []
-        before = _before(text, s, 2)
-        f += _cues(before, "name", {"cue": NAME_CUES, "title": TITLES, "thing": THING_WORDS, "code": CODE_CUES})
-        left, right = text[s - 1 : s], text[e : e + 1]
-        f += [f"name:left:{left if left in '.@-+_' and left else 'ok'}", f"name:right:{right if right in '@-+_' and right else 'ok'}"]
-        nxt = end(j)[1]
-        if nxt < n and text[e : words[nxt][0]] == " ":
-            f += ["name:nextthing"] if low[nxt] in THING_WORDS else []
-            f += ["name:nextname"] if words[nxt][2][:1].isupper() and low[nxt] not in FUNCTION_WORDS else []
-        elif nxt < n and text[e : words[nxt][0]] == ". " and j == i and words[nxt][2][:1].isupper():
-            f.append("name:nextname")
-        return Segment((s, e, "person_name", f))
-
-    starts = set()
-    for i, w in enumerate(low):
-        if w in GIVEN_NAMES:
-            k = i - 1  # a family name before it may have hyphenated parts
-            while k > 0 and text[words[k - 1][1] : words[k][0]] in ("-", "'", "’"):
-                k -= 1
-            starts.update((max(k, 0), i))
-        elif len(w) == 1 or i and low[i - 1] in NAME_CUES:
-            starts.add(i)
-    for i in sorted(starts):
-        if i and text[words[i - 1][1] : words[i][0]] in ("-", "'", "’"):
+    info = [lexicon[w[2]] for w in words]
+    joined = [i > 0 and text[words[i - 1][1] : words[i][0]] in ("-", "'", "’") for i in range(n)]
+
+    def after(i: int) -> int:
+        """The index behind a word and its hyphenated parts."""
+        j = i + 1
+        while j < n and joined[j]:
+            j += 1
+        return j
+
+    def style(i: int) -> str:
+        w = words[i][2]
+        return ("I" if info[i][3] else "i") if len(w) == 1 else "U" if w.isupper() else "T" if info[i][3] else "l"
+
+    def kind(i: int) -> str:
+        return "I" if len(words[i][2]) == 1 else "L" if info[i][2] else info[i][4]
+
+    def before(i: int) -> str:
+        if not i:
+            return "start"
+        gap = text[words[i - 1][1] : words[i][0]]
+        low = info[i - 1][0]
+        if low in TITLES and gap in (" ", ". "):
+            return "title"
+        if gap == " ":
+            kinds = (("article", ARTICLES), ("place", PLACE_WORDS), ("cue", NAME_CUES))
+            named = next((name for name, listed in kinds if low in listed), None)
+            return named or ("function" if info[i - 1][1] else "capital" if info[i - 1][3] else "word")
+        mark = gap.rstrip(" \t")[-1:] or " "
+        if CLOCK.search(text, max(0, words[i][0] - 12), words[i][0]):
+            return "start"
+        if low in NAME_CUES and mark in (":", ","):
+            return "cue"
+        return "digit" if mark.isdigit() else "joined" if gap[-1:] in "@_.-/" and gap else "start" if mark in ".!?\n" else "mark"
+
+    def behind(j: int) -> str:
+        """What follows the word before index j."""
+        e = words[j - 1][1]
+        if text[e : e + 1] in ("@", "_", "-", "/") and text[e : e + 1]:
+            return "joined"
+        if j < n and text[e : words[j][0]] == " ":
+            return "capital" if info[j][3] and not info[j][1] else "function" if info[j][1] else "common" if info[j][4] == "C" else "word"
+        return "digit" if re.match(r" ?\d", text[e : e + 2]) else "mark"
+
+    def emit(i: int, stop: int, form: str, given: int, family: int, end: int | None = None, particle: bool = False) -> Segment:
+        case = style(given) + style(family)
+        if "U" in case and any(0 <= x < n and len(words[x][2]) > 1 and words[x][2].isupper() for x in (i - 1, stop)):
+            case += "V"  # the words around are in capitals too, so these say nothing
+        f = name_features(form, kind(given), kind(family), case, before(i), behind(stop) if end is None else "mark", after(family) > family + 1, particle, info[family][0] in PLACE_NOUNS)
+        return Segment((words[i][0], words[stop - 1][1] if end is None else end, "person_name", f))
+
+    def fits(i: int) -> bool:
+        return i < n and words[i][1] - words[i][0] >= 2 and not info[i][1]
+
+    for i in range(n):
+        low, function, listed, capital, cls = info[i]
+        j = after(i)
+        if joined[i] or j >= n:
+            continue
+        gap = text[words[j - 1][1] : words[j][0]]
+        if words[i][1] - words[i][0] == 1:
+            if gap in (". ", "."):
+                if fits(j):
+                    yield emit(i, after(j), "I.L", i, j)
+                elif words[j][1] - words[j][0] == 1 and after(j) < n and text[words[j][1] : words[after(j)][0]] in (". ", ".") and fits(after(j)):
+                    yield emit(i, after(after(j)), "I.I.L", i, after(j))
             continue
-        j = end(i)[1]
-        if j >= n:
+        if function and not listed:
             continue
-        gap = sep(i, j)
-        one = words[i][1] - words[i][0] == 1 and gap in (". ", ".")
-        if one and family(j):
-            yield emit(i, j, "I.L", None, j, i)
-        if one and j < n and words[j][1] - words[j][0] == 1 and end(j)[1] < n and sep(j, end(j)[1]) in (". ", ".") and family(end(j)[1]):
-            yield emit(i, end(j)[1], "I.I.L", None, end(j)[1], i)
-        cued = i > 0 and low[i - 1] in NAME_CUES and text[ends_at(i - 1) : words[i][0]] in (" ", ": ", ", ", ". ") and words[i][2][:1].isupper() and low[i] not in FUNCTION_WORDS
-        if gap == " " and (low[i] in GIVEN_NAMES or cued) and family(j):
-            yield emit(i, j, "FL", i, j, None)
-        if gap == " " and (low[i] in GIVEN_NAMES or cued) and words[j][1] - words[j][0] == 1:
-            k = end(j)[1]
-            if k < n and sep(j, k) in (". ", " ") and family(k):
-                yield emit(i, k, "FIL", i, k, None)
-        if gap == ", " and low[j] in GIVEN_NAMES and family(i):
-            yield emit(i, j, "L,F", j, i, None)
-            k = end(j)[1]
-            if k < n and sep(j, k) == " " and words[k][1] - words[k][0] == 1 and text[words[k][1] : words[k][1] + 1] == ".":
-                yield Segment((words[i][0], words[k][1] + 1, "person_name", [*emit(i, j, "L,F", j, i, None)[3], "name:middle"]))
-
-
-def segments(text: str) -> list[Segment]:
+        cued = i > 0 and (info[i - 1][0] in TITLES or info[i - 1][0] in NAME_CUES)
+        if gap == " ":
+            if words[j][1] - words[j][0] == 1 and info[j][3] == capital and (listed or capital or cls != "C"):
+                k = after(j)
+                dotted = k < n and text[words[j][1] : words[k][0]] == ". "
+                if k < n and (dotted or info[j][3] and (capital or listed) and text[words[j][1] : words[k][0]] == " ") and fits(k):
+                    yield emit(i, after(k), "FIL", i, k)
+            k = j
+            while k < n and k < j + 3 and info[k][0] in PARTICLES and text[words[k - 1][1] : words[k][0]] == " ":
+                k += 1
+            if k > j and (listed or capital or cued and cls != "C") and fits(k) and text[words[k - 1][1] : words[k][0]] == " " and (info[k][3] or not capital):
+                yield emit(i, after(k), "FpL", i, k, particle=True)
+            if fits(j):
+                likely = listed or info[j][2] or capital and info[j][3] or cls != "C" and info[j][4] != "C" and capital == info[j][3] or cued and cls != "C" and capital == info[j][3]
+                if likely:
+                    yield emit(i, after(j), "FL", i, j)
+                    k = after(j)
+                    if k < n and fits(k) and text[words[k - 1][1] : words[k][0]] == " " and info[k][3] == info[j][3] and (info[k][3] or info[k][4] != "C" and listed):
+                        yield emit(i, after(k), "FLL", i, k)
+        elif gap == ", " and fits(j) and capital == info[j][3] and (info[j][2] or capital or cued and cls != "C" and info[j][4] != "C"):
+            yield emit(i, after(j), "L,F", j, i)
+            k = after(j)
+            if k < n and text[words[k - 1][1] : words[k][0]] == " " and words[k][1] - words[k][0] == 1 and text[words[k][1] : words[k][1] + 1] == ".":
+                yield emit(i, after(j), "L,FI", j, i, words[k][1] + 1)
+
+
+def segments(text: str, lexicon: Lexicon | None = None) -> list[Segment]:
     """All candidate segments of a text, sorted by end."""
-    found = [*email_segments(text), *number_segments(text), *address_segments(text), *name_segments(text)]
+    found = [*email_segments(text), *number_segments(text), *address_segments(text), *name_segments(text, lexicon or default_lexicon())]
     return sorted(found, key=lambda s: (s[1], s[0], s[2]))
 
 
@@ -391,15 +484,37 @@ def _digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
+def _drawn(r: random.Random, kind: str) -> str:
+    """A word of a class, in lower case: listed given name, common or proper word of the vocabulary, or made up."""
+    if kind == "L":
+        return r.choice(_LISTS["given"])
+    pool = _LISTS.get(kind)
+    return r.choice(pool) if pool else _word(r, r.randint(2, 3))
+
+
+_LISTS: dict[str, list[str]] = {"given": sorted(GIVEN_NAMES), "article": sorted(ARTICLES), "place": sorted(w.title() for w in PLACE_NOUNS), "code": sorted(CODE_CUES)}
+
+
+def _fill_lists() -> None:
+    common, proper = known_words()
+    _LISTS["C"] = sorted(w for w in common if len(w) >= 4 and w not in FUNCTION_WORDS and w not in GIVEN_NAMES)
+    _LISTS["P"] = sorted(w for w in proper if len(w) >= 4 and w not in FUNCTION_WORDS and w not in GIVEN_NAMES)
+
+
 def _name(r: random.Random) -> str:
-    given, fam, i = r.choice(sorted(GIVEN_NAMES)).title(), _word(r, r.randint(2, 3)).title(), r.choice("ABCDEFGHJKLMNPRSTVW")
+    given_kind = r.choices("LPU", [5, 2, 4])[0]
+    family_kind = r.choices("UPC", [7, 3, 1 if given_kind == "L" else 0])[0]
+    given, fam, i = _drawn(r, given_kind).title(), _drawn(r, family_kind).title(), r.choice("ABCDEFGHJKLMNPRSTVW")
     if r.random() < 0.2:
         fam += "-" + _word(r, 2).title()
-    return r.choices([f"{given} {fam}", f"{fam}, {given}", f"{given} {i}. {fam}", f"{i}. {fam}"], [5, 2, 2, 2])[0]
+    if r.random() < 0.08:
+        given += "-" + _drawn(r, "L").title()
+    forms = [f"{given} {fam}", f"{fam}, {given}", f"{given} {i}. {fam}", f"{i}. {fam}", f"{given} {r.choice(['de', 'van', 'de la', 'von', 'van der'])} {fam}", f"{given} {fam} {_drawn(r, 'U').title()}", f"{fam} {given}", f"{i}. {r.choice('ABCDEM')}. {fam}", f"{fam}, {given} {i}."]
+    return r.choices(forms, [9, 3, 3, 3, 1, 0.5, 0.5 if given_kind == "L" else 0, 1, 0.7])[0]
 
 
 def _email(r: random.Random) -> str:
-    given = r.choice(sorted(GIVEN_NAMES))
+    given = _drawn(r, "L")
     local = r.choice([_word(r), f"{given}.{_word(r)}", f"{given}-{_word(r)}", f"{_word(r)}_{given}+{_word(r, 1)}", f"{_word(r, 1)}.{_word(r)}", f"{_word(r, 1)}_{_word(r)}+{_word(r, 1)}", f"{_word(r, 1)}-{_word(r)}", f"{_word(r)}{r.randint(1, 99)}"])
     host = r.choice([f"{_word(r)}.{r.choice(['com', 'org', 'test', 'example', 'de'])}", f"{_word(r)}-lab.example", f"{_word(r)}.mail.test", f"{_word(r)}.invalid"])
     style = r.randrange(5)
@@ -437,29 +552,65 @@ def _address(r: random.Random) -> str:
     ])
 
 
+# Frames of the invented sentences.
 CONTEXTS = {
-    "person_name": ["We met {} at the gate.", "Thanks to {} for the help.", "Mr. {} was here.", "Frau {} kommt heute.", "El señor {} no vino.", "Signed by {}", "My name is {}, hello.", "{} opened the door.", "Kind regards, {}", "Reviewer: {}", "I saw {} and nobody else.", "Hoy viene {} con la llave.", "Das ist {} am Telefon.", "Give it to {}, who waits."],
-    "email": ["Mail {} today.", "e-mail: {}", "My contact is {}, thanks.", "Reply to {} please.", "Escribe a {} por favor.", "{} does not answer."],
-    "phone": ["Phone: {}", "Ring {} after lunch.", "My number is {}, ok?", "Ruf {} an.", "{} is the hotline.", "Llama al {} mañana.", "Text {} now.", "The desk has {}."],
-    "id_number": ["Passport {} expired.", "Her identity number is {}.", "ID {} was copied.", "Ausweis {} liegt vor.", "Pasaporte {} visto.", "The tax number reads {}.", "{} stands on the card.", "Social security number {} noted."],
-    "address": ["Send it to {}.", "She lives at {}.", "Address: {}", "Er wohnt in {}.", "Vive en {}.", "We moved to {} last week.", "From {} to the lake.", "Anschrift: {}", "We left {} in the morning.", "He waits at {} around noon."],
+    "person_name": ["{} bought two tickets.", "A parcel came for {} today.", "The keys are with {} now.", "Mr. {} paid the bill.", "Dr {} will see you.", "Frau {} hat angerufen.", "Herr {} war im Haus.", "La señora {} llega tarde.", "Signed by {}", "Hello, my name is {}.", "I am {} from the office.", "Best regards, {}", "Author: {}", "Name: {}", "{}", "This song is by {}.", "Yesterday {} closed the shop and left.", "Con {} fuimos al cine.", "Wir haben {} gefragt.", "Das Buch gehört {} allein.", "Did {} win?", "Everyone thanked {} for dinner.", "She handed the book to {}, who smiled.", "A letter from {} arrived.", "give this to {} please", "Wir gingen zu {} nach Hause.", "Le di la carta a {} ayer.", "well {} knows it", "so {} and the others stayed", "ah {} said no.", "Is that for {}?", "Gestern hatte {} Besuch.", "Morgen bekommt {} Blumen von uns.", "Dort war {} Lehrer.", "The photo was made by {}", "Was {} there too?", "It is {} again.", "Has {} paid?", "Hoy fue {} quien pagó.", "Aber {} kam nie an.", "The house that {} built fell down.", "How {} laughed!", "The painter {} died young.", "Der Maler {} starb jung.", "His sister {} sings.", "Only {} knew.", "We told {} everything.", "The answer went to {} first.", "Anoche llamó {} otra vez.", "Vor dem Haus stand {} allein.", "A note for {}, written in haste.", "Wir sahen {} im Garten.", "what did {} say", "as {} put it", "El libro es de {}.", "A friend called {} moved away.", "We met {} and {} at noon.", "{} and {} were late.", "Here speaks {}, good evening.", "hier spricht {}", "habla {}"],
+    "email": ["Send a mail to {}.", "email: {}", "You can reach me at {}, thanks.", "Answer to {} soon.", "Mi correo es {}.", "Meine Adresse ist {}.", "{} bounced.", "<{}>"],
+    "phone": ["Tel. {}", "Phone: {}", "Dial {} after six.", "My mobile number is {}, ok?", "Bitte {} anrufen.", "{} is the hotline.", "Mi teléfono es {}.", "Text me on {} later.", "The fax line is {}.", "Rufen Sie {} an.", "{}"],
+    "id_number": ["Passport {} has expired.", "My identity number is {}.", "ID {}", "Personalausweis {} liegt vor.", "El pasaporte {} caducó.", "The tax number on file is {}.", "{} is on the card.", "Social security number {} was given.", "Her licence says {}.", "DNI {}"],
+    "address": ["Deliver the parcel to {}.", "We live at {}.", "Address: {}", "Sie wohnt in {}.", "Vivimos en {}.", "They moved to {} in spring.", "{} was sold.", "Anschrift: {}", "The party is at {} tonight.", "A fire broke out at {} at noon.", "Home address {}", "Wir treffen uns {}.", "{}"],
 }
+VERBS = "opened closed found lost painted kept sold bought moved checked needs has was met took left".split()
 
 
-def _plain(r: random.Random) -> str:
-    n, big = r.randint(1, 999), _word(r).title()
+def _noun(r: random.Random) -> str:
+    return _drawn(r, "C")
+
+
+def _thing(r: random.Random) -> str:
+    """Something with a name that is no person: a common word in title case beside another word, often behind an article."""
+    a, b = _noun(r).title(), _drawn(r, r.choice("UUP")).title()
+    other, article = _drawn(r, r.choice("UUPC")).title(), r.choice(_LISTS["article"])
+    return r.choice([
+        f"{a} {b}", f"{b} {a}", f"{article} {b} {a}", f"{article} {a} {b}", f"{article} {b} {other}", f"{article} {other} {b}", f"{article} {b} {other} {_noun(r)}", f"the {b} {_noun(r)}", f"{a} {_noun(r).title()}", f"{article} {a} of {b}",
+        f"{a} {b} {_noun(r).title()}", f"{b}", f"{b} {_noun(r)}", f"{a} {r.randint(1, 99)}", f"{_drawn(r, 'L').title()} {r.choice(_LISTS['place'])}",
+    ])
+
+
+def _figure(r: random.Random) -> str:
+    """A number that is neither a telephone nor an identity number."""
+    n = r.randint(1, 999)
+    chain = r.choice([" ", "-", ".", "/"]).join(_digits(r, r.randint(1, 5)) for _ in range(r.randint(2, 4)))
+    alike = r.choice(" -").join(_digits(r, k) for k in [r.randint(2, 4)] * r.randint(2, 4))
+    bank = f"{_word(r, 1)[:2].upper()}{_digits(r, 2)} " + " ".join(_digits(r, 4) for _ in range(r.randint(3, 5))) + f" {_digits(r, 2)}"
+    return r.choice([str(n), f"{n}.{_digits(r, 3)}", chain, alike, alike, bank, " ".join(_digits(r, 4) for _ in range(4)), _digits(r, r.choice([4, 5, 6])), f"20{_digits(r, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(1, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", f"{_word(r, 1)}_{n}_{_digits(r, 3)}", f"{_word(r, 1).upper()[:2]}{n}_{_digits(r, 2)}", f"{r.randint(1, 9)}.{n}.{r.randint(0, 9)}"])
+
+
+def _foreign(r: random.Random) -> str:
+    """A sentence of words that no vocabulary knows, as inflected forms often are: lower case but for the nouns of German."""
+    u, big = lambda: _drawn(r, r.choice("UUUPC")), lambda: _drawn(r, r.choice("UUPPC")).title()
+    name = _drawn(r, "U").title()
     return r.choice([
-        f"Ticket {n}-{r.randint(1, 999)} is open.", f"Checksum {n}-{r.randint(1, 999)}-{r.randint(1, 999)} fits node {big}{n}.", f"Call sign {big} {r.randint(100, 999)} {r.randint(100, 999)} was heard.", f"Row {n} of rec_{n}_{r.randint(1, 99)} is empty.",
-        f"Handle @annot_{n} merged the file.", f"Lake {big} and {_word(r).title()} Park are near.", f"Team {big} met in {_word(r).title()} Wing room {n}.", f"Project {big} moved to room {n}.", f"The {big} {_word(r).title()} corpus has {n} hours.",
-        f"On 2024-0{r.randint(1, 9)}-{r.randint(10, 28)} it was late.", f"Build 2.{n}.0 of the tool ran.", f"Sample M{n}_{r.randint(1, 999)} carries label 99.", f"The sheet reads {n}.{r.randint(100, 999)}, not {n}.{r.randint(100, 999)}.", f"Call me at 12:{r.randint(10, 59)} please.",
-        f"We ran {n} rounds at a step of 0.{r.randint(1, 9)} s. {r.choice(['They', 'Nothing', 'Mail', 'Row', big])} was next.", f"My number is {n}, and yours?", f"Ship it to {big} Hall.", f"We were in {big} yesterday.", f"The pupil called {big} sang.", f"Put {n} of them in the second row please.", f"Version {n} {r.randint(100, 999)} {r.randint(100, 999)} failed.", f"Order {_digits(r, 6)} and {_digits(r, 5)} came.",
-        f"{big} and the visitor left.", f"Wir sahen {n} im Raum {big}.", f"Am Montag {r.randint(1, 9)} Stunden in {big}.", f"La sala {big} tiene {n} sillas.", f"At {r.randint(1, 12)}:{r.randint(10, 59)} in the {_word(r)} hall {n} people sat.", f"As in “{n} and why {big} did” so on.",
+        f"{r.choice(['der', 'die', 'das', 'ein', 'eine'])} {big()} {u()} {r.choice(['den', 'die', 'das', 'mit', 'am'])} {big()} {r.choice(['der', 'des', 'von', 'zu', 'und', 'mit'])} {big()}", f"{r.choice(['am', 'zum', 'im', 'bitte', 'zuerst'])} {big()} der {big()} {u()} {u()} wir",
+        f"{r.choice(['el', 'la', 'un', 'una', 'todo'])} {u()} {u()} {r.choice(['la', 'el', 'los', 'de', 'con', 'y el'])} {u()} {r.choice(['de', 'del', 'por', 'y', 'en'])} {u()}", f"{u()} {u()}, {u()} {u()} {r.choice(['und', 'y', 'and'])} {u()} {u()}", f"bitte {u()} {u()}", f"{u()}, {u()} {u()} {r.randint(1, 99)}",
+        f"quiero {u()} las {u()} y luego {u()} la {u()}", f"{u()} {r.choice(['de', 'von', 'in', 'zu', 'a'])} {name} {u()}", f"so i {u()} and i {u()} it, {r.choice(['you', 'we', 'they'])} {u()} {u()}", f"{u()} {u()} {u()} {u()}", f"{r.choice(['der', 'die', 'das', 'den', 'el', 'la'])} {big()} {name} {u()} {r.randint(1, 999)} {big()}", f"{u()} {r.choice(['den', 'das', 'die', 'los', 'la'])} {u()} {name} {_drawn(r, 'U').title()} {u()}", f"{u()} {r.choice(['das', 'die', 'der'])} {big()} {name} {big()} {u()}", f"the {_noun(r)} for {u()} {u()} and the {_noun(r)} {u()}", f"{big()} {u()} {u()} {r.choice(['la', 'der', 'the'])} {u()}", f"{r.choice(['mit', 'con', 'von', 'por', 'und'])} {r.choice(['der', 'die', 'la', 'el', 'dem'])} {big()} {u()}",
     ])
 
 
+def _plain(r: random.Random) -> str:
+    """A sentence without personal information, from a small grammar."""
+    subject = r.choice([_thing(r), f"the {_noun(r)}", f"every {_noun(r)}", f"a {_noun(r)} {_noun(r)}", "we", "nobody", _thing(r)])
+    rest = r.choice([f"the {_noun(r)}", _thing(r), f"{_figure(r)} {_noun(r)}", f"{r.choice(_LISTS['code'])} {_figure(r)}", f"a {_noun(r)} at {_figure(r)}", f"a {_noun(r)} in {_drawn(r, 'U').title()}", f"it near {_thing(r)}", f"{_drawn(r, 'U').title()}, {_drawn(r, 'P').title()} and {_drawn(r, 'U').title()}", f"the {_noun(r)} at {_thing(r)}"])
+    end = r.choice(["", "", f" in {_drawn(r, 'U').title()}", f" with the {_noun(r)}", f" near {_thing(r)}", f" from {_drawn(r, 'U').title()}, {_drawn(r, 'P').title()}", f" {r.choice(['in', 'near', 'of', 'toward'])} {_drawn(r, 'U').title()} {_drawn(r, 'U').title()}", " on Monday", f" {_figure(r)}", f" for {_noun(r)} {_figure(r)}"])
+    s = f"{subject} {r.choice(VERBS)} {rest}{end}"
+    s = r.choice([s, s, s, f"then {s}", f"{r.choice(_LISTS['code'])} {_figure(r)}: {s}", f"{_noun(r)} {_figure(r)} {r.choice(VERBS)} {rest}", f"{_noun(r)} {_figure(r)} is {_noun(r)}", f"{_thing(r)}: {_figure(r)}", f"at {_figure(r)} {s}", _foreign(r), _foreign(r), f"hay {r.randint(1, 99)} {_noun(r)} en la {_noun(r)} {_drawn(r, 'U').title()}", f"am Montag waren {r.randint(1, 99)} {_noun(r).title()} im {_noun(r).title()}", f"{_noun(r)} @{_word(r)}_{r.randint(1, 99)} {r.choice(VERBS)} it"])
+    return s[:1].upper() + s[1:] + r.choice([".", ".", ".", "!", "?", ""])
+
+
 def invented(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Labelled sentences of the generator; a third of them with several items in one line, some in one case."""
     r = random.Random(seed)
+    _fill_lists()
     make = {"person_name": _name, "email": _email, "phone": _phone, "id_number": _identity, "address": _address}
     out = []
     for _ in range(n):
@@ -475,16 +626,19 @@ def invented(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         else:
             for _ in range(r.randint(1, 3)):
                 text += " " if text else ""
-                if r.random() < 0.45:
+                if r.random() < 0.5:
                     text += _plain(r)
                     continue
-                k = r.choice(TYPES)
-                item, (left, right) = make[k](r), r.choice(CONTEXTS[k]).split("{}")
-                spans.append((len(text + left), len(text + left) + len(item), k))
-                text += left + item + right
-        spans = [(s, s + len(text[s:e].rstrip(".")), k) for s, e, k in spans]
+                k = r.choice((*TYPES, "person_name"))
+                first, *others = r.choice(CONTEXTS[k]).split("{}")
+                text += first
+                for part in others:
+                    item = make[k](r)
+                    spans.append((len(text), len(text) + len(item), k))
+                    text += item + part
+        spans = [(s, e if re.search(r" [A-Z]\.$", text[s:e]) else s + len(text[s:e].rstrip(".")), k) for s, e, k in spans]
         case = r.random()
-        text = text.lower() if case < 0.3 and len(text.lower()) == len(text) else text.upper() if 0.3 <= case < 0.36 and len(text.upper()) == len(text) else text
+        text = text.lower() if case < 0.3 and len(text.lower()) == len(text) else text.upper() if 0.3 <= case < 0.4 and len(text.upper()) == len(text) else text
         out.append((text, spans))
     return out
 
@@ -522,38 +676,52 @@ def fitted_weights(sentences: int = TRAIN_SENTENCES, epochs: int = EPOCHS, seed:
 
 
 # ------------------------------------------------------------------ over a table
-def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **fit) -> DataFrame:
+def recogniser(docs: DataFrame, folder: str, fit: dict):
+    """A function for the workers: the segments found in a text. Weights and known words are broadcast; both are bounded, by
+    the features of the grammar and by the size of the vocabularies."""
+    shared = docs.sparkSession.sparkContext.broadcast((fitted_weights(**fit), known_words(folder)))
+    held: list[Lexicon] = []
+
+    def find(text: str) -> list[Segment]:
+        weights, words = shared.value
+        if not held:
+            held.append(Lexicon(*words))
+        return decode(segments(text, held[0]), weights)
+
+    return find
+
+
+def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = VOCABULARIES, **fit) -> DataFrame:
     """Every piece of personal information of every text: doc_id, pii_type, pii_text, start, end (characters).
 
     Whole texts are read. Null and blank texts have none; equal pieces of one document come once for each
     place; repeated rows repeat their pieces; rows without an id are left out; an empty table gives no
-    rows; other columns are dropped.
+    rows; other columns are dropped. Telephone and identity numbers have 7 to 16 digits in at most six groups, names up
+    to three words besides initials and particles.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fitted_weights(**fit))
+    find = recogniser(docs, folder, fit)
     src = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("doc_id is not null and text is not null")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
         for pdf in batches:
             out = []
             for i, t in zip(pdf.doc_id, pdf.text, strict=True):
-                out += [(i, k, t[s:e], s, e) for s, e, k, _ in decode(segments(t), weights)]
+                out += [(i, k, t[s:e], s, e) for s, e, k, _ in find(t)]
             yield pd.DataFrame(out, columns=["doc_id", "pii_type", "pii_text", "start", "end"])
 
     return src.mapInPandas(search, "doc_id bigint, pii_type string, pii_text string, start int, end int")
 
 
-def redact_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **fit) -> DataFrame:
+def redact_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = VOCABULARIES, **fit) -> DataFrame:
     """The texts with a typed placeholder such as [EMAIL] in place of each piece: doc_id, text, n_pii. Null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted_weights(**fit))
+    find = recogniser(docs, folder, fit)
     src = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = shared.value
         for pdf in batches:
             texts, counts = [], []
             for t in pdf.text:
-                at, parts, found = 0, [], decode(segments(t), weights) if t else []
+                at, parts, found = 0, [], find(t) if t else []
                 for s, e, k, _ in found:
                     parts += [t[at:s], f"[{k.upper()}]"]
                     at = e
