@@ -20,7 +20,6 @@ import os
 import random
 import re
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Invented sentences the weights are fitted on, passes over them, and the seed of the generator.
-TRAIN_SENTENCES, EPOCHS, SEED = 5000, 4, 7
+TRAIN_SENTENCES, EPOCHS, SEED = 8000, 3, 7
 #: Folder of the public vocabulary files, and the files whose words count as known.
 VOCABULARIES, KNOWN_WORDS = "/opt/tokenizers", ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")
 
@@ -456,22 +455,23 @@ def decode(found: list[Segment], weights: dict[str, float]) -> list[Segment]:
 
 def _marginals(found: list[Segment], weights: dict[str, float]) -> list[float]:
     """Probability of each candidate under the model, by forward and backward sums over the lattice."""
-    prior, n = _lattice(found), len(found)
-    score = [sum(weights.get(f, 0.0) for f in s[3]) for s in found]
+    return _chances(_lattice(found), [sum(weights.get(f, 0.0) for f in s[3]) for s in found])
 
-    def plus(a: float, b: float) -> float:
-        m = max(a, b)
-        return m + math.log(math.exp(a - m) + math.exp(b - m))
 
-    forward = [0.0]
+def _chances(prior: list[int], score: list[float]) -> list[float]:
+    """The same from the lattice and the scores of the candidates."""
+    n, exp, log1p = len(prior), math.exp, math.log1p
+    forward = [0.0] * (n + 1)
     for k in range(n):
-        forward.append(plus(forward[k], forward[prior[k]] + score[k]))
+        a, b = forward[k], forward[prior[k]] + score[k]
+        forward[k + 1] = a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
     backward = [-math.inf] * n + [0.0]
     for k in range(n, 0, -1):
-        backward[k - 1] = plus(backward[k - 1], backward[k])
-        p = prior[k - 1]
-        backward[p] = plus(backward[p], backward[k] + score[k - 1])
-    return [math.exp(min(0.0, forward[prior[k]] + score[k] + backward[k + 1] - forward[n])) for k in range(n)]
+        here = backward[k]
+        for to, b in ((k - 1, here), (prior[k - 1], here + score[k - 1])):
+            a = backward[to]
+            backward[to] = a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
+    return [exp(min(0.0, forward[prior[k]] + score[k] + backward[k + 1] - forward[n])) for k in range(n)]
 
 
 # ------------------------------------------------------------------ invented sentences
@@ -650,28 +650,26 @@ def fitted_weights(sentences: int = TRAIN_SENTENCES, epochs: int = EPOCHS, seed:
     """Weights of the features: stochastic gradient on the conditional log-likelihood (AdaGrad steps)."""
     key = (sentences, epochs, seed, rate, shrink)
     if key not in _WEIGHTS:
-        data = []
+        data, number = [], {}
         for text, spans in invented(sentences, seed):
             found, truth = segments(text), set(spans)
-            data.append((found, [tuple(s[:3]) in truth for s in found]))
-        weights: dict[str, float] = defaultdict(float)
-        power: dict[str, float] = defaultdict(lambda: 1e-6)
+            if found:
+                data.append((_lattice(found), [[number.setdefault(f, len(number)) for f in s[3]] for s in found], [tuple(s[:3]) in truth for s in found]))
+        weights, power = [0.0] * len(number), [1e-6] * len(number)
         order = random.Random(seed)
         for _ in range(epochs):
             order.shuffle(data)
-            for found, true in data:
-                if not found:
-                    continue
-                slope: dict[str, float] = defaultdict(float)
-                for seg, p, t in zip(found, _marginals(found, weights), true, strict=True):
+            for prior, features, true in data:
+                slope: dict[int, float] = {}
+                for own, p, t in zip(features, _chances(prior, [sum([weights[f] for f in own]) for own in features]), true, strict=True):
                     if abs(t - p) > 1e-4:
-                        for f in seg[3]:
-                            slope[f] += t - p
+                        for f in own:
+                            slope[f] = slope.get(f, 0.0) + t - p
                 for f, g in slope.items():
                     g -= shrink * weights[f]
                     power[f] += g * g
                     weights[f] += rate * g / math.sqrt(power[f])
-        _WEIGHTS[key] = dict(weights)
+        _WEIGHTS[key] = {f: weights[i] for f, i in number.items()}
     return _WEIGHTS[key]
 
 
