@@ -36,8 +36,8 @@ def test_leaks(spark):
     want = {(i, d) for i, t, _ in items for d, u, _ in docs if d is not None and grams(t) & grams(u)}
     dd, ii = spark.createDataFrame(docs, "doc_id bigint, text string, item_id int"), spark.createDataFrame(items, "item_id bigint, text string, doc_id string")
     assert len(want) > 10
-    for block in (2000, 5):
-        got = K.leaked_items(dd, ii, block_items=block)
+    for bits in (27, 10):  # a filter far too small only lets more candidates through
+        got = K.leaked_items(dd, ii, filter_bits=bits)
         assert {(x.item_id, x.doc_id) for x in got.collect()} == want and got.count() == len(want)
     assert K.leaked_items(dd.limit(0), ii).count() == 0 and K.leaked_items(dd, ii.limit(0)).count() == 0
 
@@ -71,6 +71,18 @@ def test_mixture(spark):
         taken["a"] = now
 
 
+def test_mixture_feasible(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, r.choice("aaaab"), r.randint(1, 9)) for i in range(4000)], "id bigint, source string, tokens bigint")
+    have = {x.source: x.t for x in df.groupBy("source").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "t").collect()}
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 1), ("gone", 0.1, 3)], "source string, target_share double, max_repeats int")
+    got = {x.source: x for x in M.mix_to_targets(df, t, "feasible")[1].collect()}
+    total = int(min(have["a"] / 0.5, have["b"] / 0.4))
+    assert abs(got["a"].used_tokens - total * 0.5) < 10 and abs(got["b"].used_tokens - total * 0.4) < 10
+    over = {x.source: x.actual_share for x in M.mix_to_targets(df, t)[1].collect()}
+    assert over["a"] / over["b"] > 1.3 > got["a"].actual_share / got["b"].actual_share
+
+
 def test_mixture_few_bits_and_empty(spark):
     df = spark.createDataFrame([(i, "a", 10) for i in range(500)], "id bigint, source string, tokens bigint")
     t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")

@@ -13,12 +13,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.common import checkpoint
+
 #: Consecutive words that make a leak, words of a shingle.
 RUN_WORDS, SHINGLE = 13, 5
 #: Chance that the search misses one leaked run.
 MISS = 1e-7
-#: Items searched in one pass over the documents.
-BLOCK_ITEMS = 2000
+#: Largest filter of item keys, in bits (as a power of two), and bits for each key as long as that suffices.
+FILTER_BITS, BITS_PER_KEY = 27, 16
 
 WORD = re.compile(r"[^\W_]+")
 MARKS = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
@@ -86,107 +88,128 @@ def band_keys(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: i
     return out
 
 
-class ItemIndex:
-    """Keys of every run of `run` consecutive words of the items, and the runs themselves."""
-
-    def __init__(self, items: list[tuple[int, str]], run: int, shingle: int) -> None:
-        self.run, self.shingle, self.classes = run, shingle, size_classes(run, shingle)
-        self.runs: dict[int, list[str]] = {}
-        cache, keys, owner = WordHashes(), [], []
-        hashes = self.classes[-1][1]
-        for item, text in items:
-            words = words_of(text)
-            n = len(words) - run + 1
-            if n <= 0:
-                continue
-            self.runs[item] = [" ".join(words[i : i + run]) for i in range(n)]
-            grams = shingles(np.array([cache[w] for w in words], np.uint64), shingle)
-            starts = np.arange(n)
-            k = band_keys(grams, starts, starts + run - shingle + 1, hashes)
-            keys.append(k.reshape(-1))
-            owner.append(np.full(k.size, item, np.int64))
-        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        own = np.concatenate(owner) if owner else np.empty(0, np.int64)
-        pairs = np.unique(np.rec.fromarrays([flat, own], names="k,o")) if len(flat) else np.rec.fromarrays([flat, own], names="k,o")
-        self.keys, self.owner = np.ascontiguousarray(pairs["k"]), np.ascontiguousarray(pairs["o"])
-        self.near = np.zeros(1 << 22, bool)
-        self.near[(self.keys >> np.uint64(42)).astype(np.int64)] = True
-
-    def candidates(self, docs: list[list[str]], cache: WordHashes) -> set[tuple[int, int]]:
-        """(position of the document, item) pairs that share a key.
-
-        Documents of at most two runs are one segment; longer ones are cut into segments of two runs that
-        overlap by one, so every run lies whole in some segment however long the document is.
-        """
-        step, most = self.run, 2 * self.run
-        doc, starts, ends, grams, at = [], [], [], [], 0
-        for d, words in enumerate(docs):
-            n = len(words)
-            if n < self.run:
-                continue
-            grams.append(shingles(np.fromiter((cache[w] for w in words), np.uint64, n), self.shingle))
-            for s in range(0, max(1, n - step), step):
-                doc.append(d)
-                starts.append(at + s)
-                ends.append(at + min(s + most, n) - self.shingle + 1)
-            at += n - self.shingle + 1
-        if not doc or not len(self.keys):
-            return set()
-        doc, starts, ends, grams = np.array(doc), np.array(starts), np.array(ends), np.concatenate(grams)
-        found, smaller = set(), 0
-        for size, hashes in self.classes:
-            mine = np.flatnonzero((ends - starts > smaller) & (ends - starts <= size))
-            smaller = size
-            for lo in range(0, len(mine), 20_000):
-                part = mine[lo : lo + 20_000]
-                k = band_keys(grams, starts[part], ends[part], hashes)
-                row, col = np.nonzero(self.near[(k >> np.uint64(42)).astype(np.int64)])
-                key = k[row, col]
-                left, right = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-                for r, x, y in zip(row[right > left], left[right > left], right[right > left], strict=True):
-                    found.update((int(doc[part[r]]), int(o)) for o in self.owner[x:y])
-        return found
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN_WORDS, shingle: int = SHINGLE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def item_keys(items: DataFrame, run: int, shingle: int) -> DataFrame:
+    """Keys of every run of `run` consecutive words of the items, under the hash functions of the largest size class: item_id, key."""
+    hashes = size_classes(run, shingle)[-1][1]
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
+        for pdf in batches:
+            for item, text in zip(pdf.item_id, pdf.text, strict=True):
+                words = words_of(text)
+                n = len(words) - run + 1
+                if n > 0:
+                    grams = shingles(np.fromiter((cache[w] for w in words), np.uint64, len(words)), shingle)
+                    keys = np.unique(band_keys(grams, np.arange(n), np.arange(n) + run - shingle + 1, hashes))
+                    yield pd.DataFrame({"item_id": item, "key": keys.view(np.int64)})
+
+    return items.mapInPandas(keyed, "item_id bigint, key bigint")
+
+
+def key_filter(keys: DataFrame, bits: int) -> tuple[int, np.ndarray]:
+    """A bitmap of the keys' leading bits, of at most 2**bits bits whatever their number: (shift, bits as booleans)."""
+    n = keys.count()
+    width = max(10, min(bits, math.ceil(math.log2(max(2, n * BITS_PER_KEY)))))
+    slot = F.shiftrightunsigned("key", 64 - width)
+    chunks = keys.select(slot.alias("slot")).distinct().groupBy(F.floor(F.col("slot") / 65_536).alias("chunk")).agg(F.collect_list((F.col("slot") % 65_536).cast("int")).alias("at"))
+    held = np.zeros(1 << width, bool)
+    for r in chunks.toLocalIterator():
+        held[r["chunk"] * 65_536 + np.array(r["at"], np.int64)] = True
+    return 64 - width, np.packbits(held)
+
+
+def suspicious_segments(docs: DataFrame, run: int, shingle: int, shift: int, bitmap: np.ndarray) -> DataFrame:
+    """The segments of the documents with a key that may be an item's: doc_id, text (the words of the segment), key.
+
+    Documents of at most two runs are one segment; longer ones are cut into segments of two runs that
+    overlap by one, so every run lies whole in some segment however long the document is. Segments are partitioned by
+    size: the shorter one is, the fewer hash functions it takes to find a run in it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    classes = size_classes(run, shingle)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near, cache = np.unpackbits(shared.value).view(bool), WordHashes()
+        for pdf in batches:
+            ids, words = pdf.doc_id.to_numpy(), [words_of(t) for t in pdf.text]
+            doc, first, starts, ends, grams, at = [], [], [], [], [], 0
+            for d, own in enumerate(words):
+                n = len(own)
+                if n < run:
+                    continue
+                grams.append(shingles(np.fromiter((cache[w] for w in own), np.uint64, n), shingle))
+                for s in range(0, max(1, n - run), run):
+                    doc.append(d)
+                    first.append(s)
+                    starts.append(at + s)
+                    ends.append(at + min(s + 2 * run, n) - shingle + 1)
+                at += n - shingle + 1
+            out = []
+            if doc:
+                starts_, ends_, flat = np.array(starts), np.array(ends), np.concatenate(grams)
+                smaller = 0
+                for size, hashes in classes:
+                    mine = np.flatnonzero((ends_ - starts_ > smaller) & (ends_ - starts_ <= size))
+                    smaller = size
+                    for lo in range(0, len(mine), 20_000):
+                        part = mine[lo : lo + 20_000]
+                        keys = band_keys(flat, starts_[part], ends_[part], hashes)
+                        row, col = np.nonzero(near[(keys >> np.uint64(shift)).astype(np.int64)])
+                        out += [(part[r], k) for r, k in zip(row, keys[row, col].view(np.int64).tolist(), strict=True)]
+            yield pd.DataFrame([(ids[doc[s]], " ".join(words[doc[s]][first[s] : first[s] + 2 * run]), k) for s, k in out], columns=["doc_id", "text", "key"])
+
+    return docs.mapInPandas(search, "doc_id bigint, text string, key bigint")
+
+
+def shared_runs(pairs: DataFrame, run: int) -> DataFrame:
+    """Exact containment, word by word: where in the item its runs of `run` words lie that a segment holds.
+
+    `pairs`: item_id, doc_id, text, item_text. Gives item_id, doc_id, at (places), n_runs; pairs without a run drop out.
+    """
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict[int, tuple[dict[str, list[int]], int]] = {}
+        for pdf in batches:
+            out = []
+            for item, doc, text, item_text in zip(pdf.item_id, pdf.doc_id, pdf.text, pdf.item_text, strict=True):
+                if item not in places:
+                    if len(places) > 1000:
+                        places.clear()
+                    words, where = words_of(item_text), {}
+                    for i in range(len(words) - run + 1):
+                        where.setdefault(" ".join(words[i : i + run]), []).append(i)
+                    places[item] = where, len(words) - run + 1
+                where, n = places[item]
+                own = text.split(" ")
+                at = sorted({p for i in range(len(own) - run + 1) for p in where.get(" ".join(own[i : i + run]), ())})
+                if at:
+                    out.append((item, doc, at, n))
+            yield pd.DataFrame(out, columns=["item_id", "doc_id", "at", "n_runs"])
+
+    return pairs.mapInPandas(check, "item_id bigint, doc_id bigint, at array<int>, n_runs int")
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN_WORDS, shingle: int = SHINGLE, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Documents that share at least `run` consecutive words with an item: item_id, doc_id, shared_runs,
     item_share (part of the item's runs found), longest_words (longest common stretch, in words).
 
-    Items are the stated query set; they are searched in blocks of `block_items`, each broadcast and held
-    against all documents. MinHash keys of the items' runs find candidates among size-partitioned segments
-    of the documents, and the runs themselves, word by word, decide. Whole texts are read. Null and empty
-    texts share nothing; items shorter than a run cannot leak; copies of a document are reported each;
-    repeated rows once; an empty table on either side gives no rows; other columns are dropped.
+    MinHash keys of the items' runs are a table, and a bitmap of bounded size tells which segments of the documents can
+    have one of them; the documents are read once, whole, however many items there are. Segments and items that share a
+    key are joined, and the runs themselves, word by word, decide. Null and empty texts share nothing; items shorter
+    than a run cannot leak; copies of a document are reported each; rows of one id are one document or item; an empty
+    table on either side gives no rows; other columns are dropped.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where("doc_id is not null and text is not null")
-    todo = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-todo.count() // block_items))
-    found = None
-    for b in range(blocks):
-        rows = todo.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in rows), run, shingle))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index, cache = shared.value, WordHashes()
-            for pdf in batches:
-                words = [words_of(t) for t in pdf.text]
-                ids, out = pdf.doc_id.to_numpy(), []
-                by_doc: dict[int, list[int]] = {}
-                for d, item in index.candidates(words, cache):
-                    by_doc.setdefault(d, []).append(item)
-                for d in sorted(by_doc):
-                    own = {" ".join(words[d][i : i + run]) for i in range(len(words[d]) - run + 1)}
-                    for item in sorted(by_doc[d]):
-                        hits = [r in own for r in index.runs[item]]
-                        if any(hits):
-                            longest = now = 0
-                            for h in hits:
-                                now = now + 1 if h else 0
-                                longest = max(longest, now)
-                            out.append((item, ids[d], sum(hits), sum(hits) / len(hits), longest + run - 1))
-                yield pd.DataFrame(out, columns=["item_id", "doc_id", "shared_runs", "item_share", "longest_words"])
-
-        part = src.mapInPandas(search, "item_id bigint, doc_id bigint, shared_runs int, item_share double, longest_words int")
-        found = part if found is None else found.union(part)
-    return found.distinct()
+    todo = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
+    todo = todo.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("text")), " | ").alias("text"))
+    keys = checkpoint(item_keys(todo, run, shingle))
+    shift, bitmap = key_filter(keys, filter_bits)
+    hits = suspicious_segments(src, run, shingle, shift, bitmap).join(keys, "key").select("item_id", "doc_id", "text").distinct()
+    found = shared_runs(hits.join(todo.withColumnRenamed("text", "item_text"), "item_id"), run)
+    whole = found.groupBy("item_id", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max("n_runs").alias("n_runs"))
+    stretch = F.aggregate(
+        "at", F.struct(F.lit(-9).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, x: F.struct(x.alias("last"), F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1).alias("now"), F.greatest(s["most"], F.when(x == s["last"] + 1, s["now"] + 1).otherwise(1)).alias("most")),
+        lambda s: s["most"],
+    )
+    return whole.select("item_id", "doc_id", F.size("at").alias("shared_runs"), (F.size("at") / F.col("n_runs")).alias("item_share"), (stretch + run - 1).cast("int").alias("longest_words"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,28 +21,36 @@ HASH_BITS, HISTOGRAM_BITS = 60, 12
 _ENCODINGS: dict = {}
 
 
-def encoding(folder: str, vocabulary: str):
+def vocabulary_parts(folder: str, vocabulary: str) -> tuple[str, bytes]:
+    """The pattern that splits texts and the rank file, read on the driver; the folder need not exist on the executors."""
+    spec = importlib.util.spec_from_file_location("_vocabularies", os.path.join(folder, "__init__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    with open(os.path.join(folder, vocabulary), "rb") as file:
+        return module.PATTERN, file.read()
+
+
+def encoding(name: str, pattern: str, ranks: bytes):
     """The tiktoken encoding of a rank file, built once in each worker."""
-    key = (folder, vocabulary)
+    key = (name, len(ranks))
     if key not in _ENCODINGS:
         import tiktoken
 
-        spec = importlib.util.spec_from_file_location("_vocabularies", os.path.join(folder, "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        sys.modules[spec.name] = module
-        spec.loader.exec_module(module)
-        with open(os.path.join(folder, vocabulary), "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _ENCODINGS[key] = tiktoken.Encoding(vocabulary, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        pairs = (line.split() for line in ranks.splitlines())
+        _ENCODINGS[key] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
     return _ENCODINGS[key]
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Tokens of each whole text: id, the columns `keep`, tokens (0 for null). Strings of special tokens are ordinary text."""
+    """Tokens of each whole text: id, the columns `keep`, tokens (0 for null). Strings of special tokens are ordinary text.
+
+    The vocabulary, a file of about a megabyte, is broadcast.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), *keep, F.col(f"`{text_col}`").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_parts(folder, vocabulary))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(folder, vocabulary)
+        enc = encoding(vocabulary, *shared.value)
         for batch in batches:
             tokens = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", *keep)], pa.array(tokens, pa.int64())], names=["id", *keep, "tokens"])
@@ -52,11 +59,12 @@ def token_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str], f
     return rows.mapInArrow(count, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *keep)) + ", tokens bigint")
 
 
-def mix_to_targets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42, bits: int = HISTOGRAM_BITS) -> tuple[DataFrame, DataFrame]:
+def mix_to_targets(sized: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = 42, bits: int = HISTOGRAM_BITS) -> tuple[DataFrame, DataFrame]:
     """Choose how often each record of (id, source, tokens) is used so that every source reaches its share.
 
-    `targets`: source, target_share, max_repeats. A source is to give target_share of `total_tokens` (by
-    default all tokens that the sources have). It is used whole as often as fits, at most max_repeats
+    `targets`: source, target_share, max_repeats. A source is to give target_share of `total_tokens`: a number, by
+    default all tokens that the sources have, or "feasible", the largest total at which no source that has records is
+    held below its share by max_repeats; all shares are met there, to a record. A source is used whole as often as fits, at most max_repeats
     times, and the rest of its budget is filled by the records whose hash lies below a threshold. The
     threshold comes from token sums by hash bucket: the bucket in which the budget runs out is resolved
     by the next bits, and so on until it holds one record, so nothing is sorted or gathered and a larger
@@ -73,7 +81,8 @@ def mix_to_targets(sized: DataFrame, targets: DataFrame, total_tokens: int | Non
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 64 - HASH_BITS))
     have = rows.groupBy("source").agg(F.sum("tokens").alias("available"))
     plan = goal.join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available")).toPandas()
-    total = int(plan.available.sum()) if total_tokens is None else total_tokens
+    able = [int(a * r / s) for _, s, r, a in plan.itertuples(index=False) if a and s > 0]
+    total = int(plan.available.sum()) if total_tokens is None else (min(able) if able else 0) if total_tokens == "feasible" else total_tokens
     spark = sized.sparkSession
     wanted, whole, rest, threshold = {}, {}, {}, {}
     for s, share, repeats, available in plan.itertuples(index=False):
@@ -107,7 +116,7 @@ def mix_to_targets(sized: DataFrame, targets: DataFrame, total_tokens: int | Non
     return records, shares.withColumn("actual_share", F.when(everything > 0, F.round(F.col("used_tokens") / everything, 9)))
 
 
-def corpus_mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def corpus_mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The mixture of the documents table: sources are compared without regard to case, blanks and `-`."""
     named = docs.select("doc_id", clean_label(F.col("source")).alias("source"), "text")
     sized = checkpoint(token_counts(named, "doc_id", "text", ["source"], folder, vocabulary))

@@ -87,4 +87,12 @@ d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{
 gi AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)),
 gd AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13))
 SELECT DISTINCT item_id, doc_id FROM gi JOIN gd USING (g)""",
+    "p8_leaks": """
+WITH i AS (SELECT item_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+gi AS (SELECT item_id, k, len(w) - 12 AS runs, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM i WHERE len(w) >= 13)),
+gd AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 12), ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)),
+h AS (SELECT item_id, doc_id, k, runs, k - row_number() OVER (PARTITION BY item_id, doc_id ORDER BY k) AS island FROM gi JOIN gd USING (g)),
+s AS (SELECT item_id, doc_id, max(runs) AS runs, island, count(*) AS n FROM h GROUP BY item_id, doc_id, island)
+SELECT item_id, doc_id, CAST(sum(n) AS INTEGER) AS shared_runs, sum(n) / CAST(max(runs) AS DOUBLE) AS item_share, CAST(max(n) + 12 AS INTEGER) AS longest_words FROM s GROUP BY item_id, doc_id""",
 }

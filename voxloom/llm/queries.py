@@ -93,6 +93,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.corpus_mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
 
 
+def p9_feasible(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached at the largest total that lets every source have its share."""
+    return mixture.corpus_mixture(table(spark, d, "documents"), table(spark, d, "source_targets"), "feasible")[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_pii(table(spark, d, "documents")).select("doc_id", "pii_type", "pii_text").distinct()
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_leaks": p8_leaks,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_feasible": p9_feasible,
     "p10_found": p10_found,
     "p10_redacted": p10_redacted,
 }
