@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ RUN_WORDS, SHINGLE = 13, 5
 #: Chance that the search misses one leaked run.
 MISS = 1e-7
 #: Largest filter of item keys, in bits (as a power of two), and bits for each key as long as that suffices.
-FILTER_BITS, BITS_PER_KEY = 27, 16
+FILTER_BITS, BITS_PER_KEY = 27, 64
 
 WORD = re.compile(r"[^\W_]+")
 MARKS = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
@@ -106,19 +107,39 @@ def item_keys(items: DataFrame, run: int, shingle: int) -> DataFrame:
     return items.mapInPandas(keyed, "item_id bigint, key bigint")
 
 
+def key_slots(keys: np.ndarray, width: int) -> list[np.ndarray]:
+    """The two places of each key in a filter of 2**width bits."""
+    shift = np.uint64(64 - width)
+    return [(keys >> shift).astype(np.int64), (_mix(keys) >> shift).astype(np.int64)]
+
+
 def key_filter(keys: DataFrame, bits: int) -> tuple[int, np.ndarray]:
-    """A bitmap of the keys' leading bits, of at most 2**bits bits whatever their number: (shift, bits as booleans)."""
-    n = keys.count()
-    width = max(10, min(bits, math.ceil(math.log2(max(2, n * BITS_PER_KEY)))))
-    slot = F.shiftrightunsigned("key", 64 - width)
-    chunks = keys.select(slot.alias("slot")).distinct().groupBy(F.floor(F.col("slot") / 65_536).alias("chunk")).agg(F.collect_list((F.col("slot") % 65_536).cast("int")).alias("at"))
+    """A Bloom filter of the keys, of at most 2**bits bits whatever their number: (width, packed bits)."""
+    width = max(16, min(bits, math.ceil(math.log2(max(2, keys.count() * BITS_PER_KEY)))))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(key_slots(batch.column("key").to_numpy().view(np.uint64), width))))], names=["slot"])
+
+    slots = keys.select("key").mapInArrow(places, "slot bigint").distinct()
     held = np.zeros(1 << width, bool)
-    for r in chunks.toLocalIterator():
+    for r in slots.groupBy(F.floor(F.col("slot") / 65_536).alias("chunk")).agg(F.collect_list((F.col("slot") % 65_536).cast("int")).alias("at")).toLocalIterator():
         held[r["chunk"] * 65_536 + np.array(r["at"], np.int64)] = True
-    return 64 - width, np.packbits(held)
+    return width, np.packbits(held)
 
 
-def suspicious_segments(docs: DataFrame, run: int, shingle: int, shift: int, bitmap: np.ndarray) -> DataFrame:
+def maybe_held(keys: np.ndarray, width: int, bitmap: np.ndarray) -> np.ndarray:
+    """Which keys the filter has; all that were put in, and few others."""
+    one, two = key_slots(keys, width)
+    there = (bitmap[one >> 3] >> (7 - (one & 7)).astype(np.uint8)) & 1 > 0
+    at = np.flatnonzero(there)
+    two = two.reshape(-1)[at]
+    there.reshape(-1)[at] = (bitmap[two >> 3] >> (7 - (two & 7)).astype(np.uint8)) & 1 > 0
+    return there
+
+
+def suspicious_segments(docs: DataFrame, run: int, shingle: int, width: int, bitmap: np.ndarray) -> DataFrame:
     """The segments of the documents with a key that may be an item's: doc_id, text (the words of the segment), key.
 
     Documents of at most two runs are one segment; longer ones are cut into segments of two runs that
@@ -129,7 +150,7 @@ def suspicious_segments(docs: DataFrame, run: int, shingle: int, shift: int, bit
     classes = size_classes(run, shingle)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, cache = np.unpackbits(shared.value).view(bool), WordHashes()
+        cache = WordHashes()
         for pdf in batches:
             ids, words = pdf.doc_id.to_numpy(), [words_of(t) for t in pdf.text]
             doc, first, starts, ends, grams, at = [], [], [], [], [], 0
@@ -154,7 +175,7 @@ def suspicious_segments(docs: DataFrame, run: int, shingle: int, shift: int, bit
                     for lo in range(0, len(mine), 20_000):
                         part = mine[lo : lo + 20_000]
                         keys = band_keys(flat, starts_[part], ends_[part], hashes)
-                        row, col = np.nonzero(near[(keys >> np.uint64(shift)).astype(np.int64)])
+                        row, col = np.nonzero(maybe_held(keys, width, shared.value))
                         out += [(part[r], k) for r, k in zip(row, keys[row, col].view(np.int64).tolist(), strict=True)]
             yield pd.DataFrame([(ids[doc[s]], " ".join(words[doc[s]][first[s] : first[s] + 2 * run]), k) for s, k in out], columns=["doc_id", "text", "key"])
 
@@ -203,8 +224,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     todo = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     todo = todo.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("text")), " | ").alias("text"))
     keys = checkpoint(item_keys(todo, run, shingle))
-    shift, bitmap = key_filter(keys, filter_bits)
-    hits = suspicious_segments(src, run, shingle, shift, bitmap).join(keys, "key").select("item_id", "doc_id", "text").distinct()
+    width, bitmap = key_filter(keys, filter_bits)
+    hits = suspicious_segments(src, run, shingle, width, bitmap).join(keys, "key").select("item_id", "doc_id", "text").distinct()
     found = shared_runs(hits.join(todo.withColumnRenamed("text", "item_text"), "item_id"), run)
     whole = found.groupBy("item_id", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max("n_runs").alias("n_runs"))
     stretch = F.aggregate(
