@@ -45,14 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute a table once and cut its lineage: written as Parquet to the session's checkpoint folder, and read again.
-
-    The folder is the one that spark.checkpoint.dir names, which all executors share, so the table
-    outlives lost executors; a folder of our own is set only where the session names none and runs in one process (as in tests).
-    Compressed columns take less room than checkpointed rows, and readers fetch only what they need.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, deleted with the checkpoints."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,9 +54,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share: a folder of this machine would be lost to them")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="voxloom-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/voxloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _WRITTEN.append((sc, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Compute a table once and cut its lineage: written as Parquet to the session's checkpoint folder, and read again.
+
+    The folder is the one that spark.checkpoint.dir names, which all executors share, so the table
+    outlives lost executors; a folder of our own is set only where the session names none and runs in one process (as in tests).
+    Compressed columns take less room than checkpointed rows, and readers fetch only what they need.
+    """
+    path = scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _WRITTEN: list = []

@@ -114,3 +114,19 @@ def euclidean(a: Column, b: Column) -> Column:
 def manhattan(a: Column, b: Column) -> Column:
     d = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     return F.aggregate(d, F.lit(0.0), lambda s, x: s + x)
+
+
+def list_difference(a: Column, b: Column) -> Column:
+    """The values of `a` that `b` lacks, in order and with their repetitions; a null `b` takes nothing away."""
+    return F.when(b.isNull(), a).otherwise(F.filter(a, lambda x: ~F.coalesce(F.array_contains(b, x), F.lit(False))))
+
+
+def map_get(m: Column, key: Column, default: Column) -> Column:
+    """The value of a key, `default` where the map lacks it."""
+    return F.coalesce(F.try_element_at(m, key), default)
+
+
+def map_invert(m: Column) -> Column:
+    """Values to keys; of keys with one value the largest."""
+    entries = F.map_entries(m)
+    return F.map_from_entries(F.transform(F.array_distinct(F.transform(entries, lambda e: e["value"])), lambda v: F.struct(v.alias("key"), F.array_max(F.transform(F.filter(entries, lambda e: e["value"] == v), lambda e: e["key"])).alias("value"))))

@@ -20,13 +20,15 @@ from voxloom.operators.vectors import exact_neighbours, fit_pca, apply_matrix
 MAX_TREE_EDGES = 5_000_000
 
 
-def condense(i: np.ndarray, j: np.ndarray, d: np.ndarray, nodes: np.ndarray, min_size: int, leaf: bool = False) -> pd.DataFrame:
+def condense(i: np.ndarray, j: np.ndarray, d: np.ndarray, nodes: np.ndarray, min_size: int, leaf: bool = False, profile: bool = False) -> pd.DataFrame:
     """Flat clusters from the edges of a spanning forest: id, cluster (-1 noise), prob, outlier.
 
     The edges are merged in order of (d, i, j). Of the merge tree only branches of at least `min_size`
     rows are clusters; a row leaves its cluster at 1 / d of the merge that drops it. Clusters are chosen by
     excess of mass (or as leaves), never the root. prob is a row's lambda over its cluster's largest,
-    outlier 1 - its lambda over the largest below the branch it left. Clusters are numbered by smallest id.
+    outlier 1 - its lambda over the largest below the branch it left. Clusters are numbered by smallest id. With
+    `profile` one row for each cluster instead: size, birth and largest lambda, stability (its mass) and persistence (stability
+    over size times the largest lambda of all).
     """
     n = len(nodes)
     at = {x: k for k, x in enumerate(nodes.tolist())}
@@ -104,19 +106,27 @@ def condense(i: np.ndarray, j: np.ndarray, d: np.ndarray, nodes: np.ndarray, min
     peak = {c: max(drop[cluster == c].max(), 1e-300) for c in set(cluster.tolist()) - {-1}}
     first = {c: min(nodes[cluster == c]) for c in peak}
     name = {c: k for k, c in enumerate(sorted(peak, key=lambda c: first[c]))}
+    if profile:
+        last = max([x for x in drop.tolist() if not math.isinf(x)], default=0.0)
+        held = lambda c: int((cluster == c).sum())
+        return pd.DataFrame({
+            "cluster": list(name.values()), "size": [held(c) for c in name], "birth_lambda": [birth[c] for c in name], "max_lambda": [float(peak[c]) for c in name],
+            "stability": [mass[c] for c in name], "persistence": [mass[c] / (held(c) * last) if last > 0 else 1.0 for c in name],
+        })
     return pd.DataFrame({
         "id": nodes, "cluster": [name.get(c, -1) for c in cluster.tolist()], "prob": [min(1.0, drop[k] / peak[c]) if c in peak else 0.0 for k, c in enumerate(cluster.tolist())],
         "outlier": [1 - drop[k] / below_max[home[k]] if below_max[home[k]] > 0 else 0.0 for k in range(n)],
     })
 
 
-def density_clusters(vectors: DataFrame, min_cluster_size: int = 25, min_samples: int = 5, k: int = 30, metric: str = "euclidean", leaf: bool = False, knn: DataFrame | None = None) -> DataFrame:
+def density_clusters(vectors: DataFrame, min_cluster_size: int = 25, min_samples: int = 5, k: int = 30, metric: str = "euclidean", leaf: bool = False, knn: DataFrame | None = None, profile: bool = False) -> DataFrame:
     """Density clustering of (id, vec): id, cluster (-1 noise), prob, outlier.
 
     Core distance is the distance to the `min_samples`-th other row. The spanning tree of the mutual reachability of
     all pairs is built by distributed rounds: the k nearest neighbours (exact; given or computed) spare most of the
     search, what they can't decide is searched among all rows. Only its n - 1 edges go to the task that condenses
-    the hierarchy, at most `MAX_TREE_EDGES`, else an error is raised.
+    the hierarchy, at most `MAX_TREE_EDGES`, else an error is raised. With `profile` (C8) one row for each cluster:
+    cluster, size, birth_lambda, max_lambda, stability, persistence.
     """
     near = checkpoint(knn if knn is not None else exact_neighbours(vectors, vectors, max(k, min_samples), metric))
     core = near.where(F.col("rank") <= min_samples).groupBy(F.col("i").alias("id")).agg(F.max("dist").alias("core"))
@@ -130,9 +140,9 @@ def density_clusters(vectors: DataFrame, min_cluster_size: int = 25, min_samples
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         edge = pdf[pdf.i != pdf.j]
-        return condense(edge.i.to_numpy(), edge.j.to_numpy(), edge.d.to_numpy(), np.sort(pdf.loc[pdf.i == pdf.j, "i"].unique()), min_cluster_size, leaf)
+        return condense(edge.i.to_numpy(), edge.j.to_numpy(), edge.d.to_numpy(), np.sort(pdf.loc[pdf.i == pdf.j, "i"].unique()), min_cluster_size, leaf, profile)
 
-    schema = "id bigint, cluster int, prob double, outlier double"
+    schema = "cluster int, size bigint, birth_lambda double, max_lambda double, stability double, persistence double" if profile else "id bigint, cluster int, prob double, outlier double"
     whole = tree.select("i", "j", "d").union(alone).withColumn("part", F.lit(0))
     return whole.groupBy("part").applyInPandas(lambda pdf: solve(pdf.drop(columns="part")), schema)
 
@@ -160,7 +170,7 @@ def kmeans(vectors: DataFrame, k: int = 10, n_init: int = 10, seed: int = 42) ->
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    data = vectors.withColumn("features", array_to_vector("vec")).persist()
+    data = checkpoint(vectors.withColumn("features", array_to_vector("vec")))
     fits = [KMeans(k=k, seed=seed + t, maxIter=50, tol=1e-4).fit(data) for t in range(n_init)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
     return best.transform(data).select("id", "vec", F.col("prediction").alias("cluster"))
@@ -172,6 +182,12 @@ def cluster_profile(rows: DataFrame, label: str, prob: str, outlier: str) -> Dat
     return rows.where(F.col(label).isNotNull() & (F.col(label) != -1)).groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean_prob"), F.round(F.min(p), 6).alias("min_prob"), F.round(F.max(p), 6).alias("max_prob"), F.round(F.avg(o), 6).alias("mean_outlier"))
 
 
+def cluster_histogram(rows: DataFrame, label: str, truth: str) -> DataFrame:
+    """A5: of each cluster its size and the counts of the true labels in it, as a map (null and -1 clusters and null truths don't count)."""
+    cells = rows.where(F.col(label).isNotNull() & (F.col(label) != -1) & F.col(truth).isNotNull()).groupBy(label, F.col(truth).cast("string").alias("t")).agg(F.count("*").alias("n"))
+    return cells.groupBy(label).agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n")))).alias("histogram"))
+
+
 def neighbour_diagnostics(knn: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
     """For each row the distance to its k-th neighbour, its inverse, and the label entropy (natural) of the k neighbours."""
     near = knn.where(F.col("rank") <= k).join(labels.select(F.col("id").alias("j"), F.col("cluster")), "j", "left")

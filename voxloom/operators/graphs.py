@@ -65,6 +65,36 @@ def mutual_reachability(knn: DataFrame, min_samples: int, self_counts: bool = Fa
     return both.select("i", "j", F.greatest("core", "other", "dist").alias("d"))
 
 
+def reachability_kernel(knn: DataFrame, k: int, self_weight: float = 0.1) -> DataFrame:
+    """Affinities exp(-max(core_i, core_j, d)) over the k nearest neighbours, averaged over both directions (a missing
+    one counts 0), and `self_weight` on the diagonal: i, j, w. Core distance = distance to the k-th neighbour."""
+    near = knn.where(F.col("rank") <= k)
+    core = near.groupBy("i").agg(F.max("dist").alias("core"))
+    far = F.greatest("core", "other", "dist")
+    one = near.join(core, "i").join(core.select(F.col("i").alias("j"), F.col("core").alias("other")), "j").select("i", "j", (F.exp(-far) / 2).alias("w"))
+    both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return both.unionByName(core.select("i", F.col("i").alias("j"), F.lit(float(self_weight)).alias("w")))
+
+
+def adaptive_graph(knn: DataFrame, k: int, sigma: str = "kth", vectors: DataFrame | None = None, metric: str = "cosine") -> DataFrame:
+    """Affinities exp(-d^2 / (s_i s_j)) over the k nearest neighbours, averaged over both directions: i, j, w.
+
+    `sigma`: a row's `kth`, `median` or `mean` neighbour distance, or `global`, the median of all. With `vectors` components
+    are joined by the lightest edges (`connect`). The info of the graph is `graph_stats`.
+    """
+    near = knn.where(F.col("rank") <= k)
+    if sigma == "global":
+        middle = near.agg(F.percentile("dist", F.lit(0.5))).first()[0] or 0.0
+        one = near.select("i", "j", F.exp(-F.col("dist") * F.col("dist") / (middle * middle + 1e-8)).alias("w"))
+    else:
+        pick = {"kth": F.max("dist"), "median": F.percentile("dist", F.lit(0.5)), "mean": F.avg("dist")}[sigma]
+        scale = near.groupBy("i").agg(F.greatest(pick, F.lit(1e-8)).alias("s"))
+        one = near.join(scale, "i").join(scale.select(F.col("i").alias("j"), F.col("s").alias("t")), "j").select("i", "j", F.exp(-F.col("dist") * F.col("dist") / (F.col("s") * F.col("t") + 1e-8)).alias("w"))
+    half = one.withColumn("w", F.col("w") / 2)
+    both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return both if vectors is None else connect(both, near.select("i", "j", F.col("dist").alias("d")), vectors=vectors, metric=metric)
+
+
 def row_stochastic(edges: DataFrame) -> DataFrame:
     """Weights divided by their row sum; rows that sum to 0 stay 0."""
     total = edges.groupBy("i").agg(F.sum("w").alias("t"))

@@ -92,13 +92,21 @@ def label_chunks(chunks: DataFrame, gt: DataFrame, chunk_id: str, keys: list[str
     return rows.select(*chunks.columns, F.coalesce("g_label", F.lit(default)).alias("label"), F.round(F.coalesce("ratio", F.lit(0.0)), 6).alias("ratio"), F.coalesce(F.round(F.col("ratio") - F.col("second"), 9) <= margin, F.lit(False)).alias("ambiguous"))
 
 
-def overlap_matrix(system: DataFrame, gt: DataFrame, keys: list[str], sys_label: str, gt_label: str) -> DataFrame:
-    """Total overlap in milliseconds of each system label and ground-truth label of a recording (pairs without overlap are left out)."""
+def overlap_matrix(system: DataFrame, gt: DataFrame, keys: list[str], sys_label: str, gt_label: str, zeros: bool = False) -> DataFrame:
+    """Total overlap in milliseconds of each system label and ground-truth label of a recording.
+
+    Pairs without overlap are left out, or 0 with `zeros`; the labels of a recording, not its rows, are paired then.
+    """
     g = gt.select(*keys, F.col("start_ms").alias("g_s"), F.col("end_ms").alias("g_e"), F.col(gt_label).alias("gt_label"))
     s = system.select(*keys, "start_ms", "end_ms", F.col(sys_label).alias("sys_label"))
     pairs = interval_pairs(s, g, keys, "start_ms", "end_ms", "g_s", "g_e")
     ov = overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("g_s"), F.col("g_e"))
-    return pairs.groupBy(*keys, "sys_label", "gt_label").agg(F.sum(ov).alias("overlap_ms")).where("overlap_ms > 0")
+    found = pairs.groupBy(*keys, "sys_label", "gt_label").agg(F.sum(ov).alias("overlap_ms")).where("overlap_ms > 0")
+    if not zeros:
+        return found
+    names = s.groupBy(*keys).agg(F.collect_set("sys_label").alias("a")).join(g.groupBy(*keys).agg(F.collect_set("gt_label").alias("b")), keys)
+    cells = names.select(*keys, F.explode("a").alias("sys_label"), "b").select(*keys, "sys_label", F.explode("b").alias("gt_label"))
+    return cells.join(found, [*keys, "sys_label", "gt_label"], "left").na.fill(0, ["overlap_ms"])
 
 
 def diarization_error(pred: DataFrame, gt: DataFrame, keys: list[str], pred_id: str, gt_id: str, collar: int = 250) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.common import checkpoint
 from voxloom.functions.scalars import safe_divide
-from voxloom.operators.periods import sweep_periods
+from voxloom.operators.ordered import bucket_of, carried
 
 
 def contingency(df: DataFrame, y: str, p: str, keys: list[str] | None = None) -> DataFrame:
@@ -178,18 +179,59 @@ def equal_error_rate(df: DataFrame, score: str, label: str, scale: int = 10_000)
     ).select(F.col("e.fpr").alias("eer"), F.round(-F.col("e.neg") / scale, 6).alias("threshold"), "dcf01", "dcf001")
 
 
-def speech_detection(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
-    """Detection quality by interval coverage: covered milliseconds of truth, hypothesis and both, miss, false alarm, precision, recall.
+def speech_detection(gt: DataFrame, pred: DataFrame, keys: list[str], durations: DataFrame | None = None) -> DataFrame:
+    """Detection quality by interval coverage: covered milliseconds of truth, hypothesis and both, miss, false alarm,
+    precision, recall, error rate (miss and false alarm over truth; null without truth).
 
-    Speech is the union of the intervals (start_ms, end_ms) whoever speaks; the common part follows from
-    the three unions, each one sweep.
+    Speech is the union of the intervals (start_ms, end_ms) whoever speaks. One sweep counts both sides: events of one
+    instant are added up, the running counts tell for each stretch whether either side is active. With `durations`
+    (keys, duration_ms) intervals are cut to [0, duration] and accuracy (right stretches of speech and silence over the
+    duration; null if unknown) is added.
     """
-    cover = lambda df, n: sweep_periods(df, keys, "start_ms", "end_ms").where("kind = 'covered'").groupBy(*keys).agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias(n))
-    g, p = gt.select(*keys, "start_ms", "end_ms"), pred.select(*keys, "start_ms", "end_ms")
-    got = cover(g.unionByName(p), "either_ms").join(cover(g, "gt_ms"), keys, "left").join(cover(p, "pred_ms"), keys, "left").na.fill(0)
-    both = F.col("gt_ms") + F.col("pred_ms") - F.col("either_ms")
-    got = got.select(*keys, "gt_ms", "pred_ms", both.alias("both_ms"))
-    return got.select("*", (F.col("gt_ms") - F.col("both_ms")).alias("miss_ms"), (F.col("pred_ms") - F.col("both_ms")).alias("false_alarm_ms"), F.round(safe_divide(F.col("both_ms"), F.col("pred_ms")), 6).alias("precision"), F.round(safe_divide(F.col("both_ms"), F.col("gt_ms")), 6).alias("recall"))
+
+    def side(df: DataFrame, g: int, p: int) -> DataFrame:
+        rows = df.select(*keys, "start_ms", "end_ms")
+        if durations is not None:
+            rows = rows.join(durations.select(*keys, "duration_ms"), keys, "left").select(*keys, F.greatest("start_ms", F.lit(0)).alias("start_ms"), F.least("end_ms", F.coalesce("duration_ms", "end_ms")).alias("end_ms"))
+        rows = rows.where("end_ms > start_ms").dropna(subset=keys)
+        at = lambda c, s: F.struct(F.col(c).alias("t"), F.lit(s * g).alias("g"), F.lit(s * p).alias("p"))
+        return rows.select(*keys, F.explode(F.array(at("start_ms", 1), at("end_ms", -1))).alias("v"))
+
+    events = side(gt, 1, 0).unionByName(side(pred, 0, 1)).groupBy(*keys, F.col("v.t").alias("t")).agg(F.sum("v.g").alias("g"), F.sum("v.p").alias("p")).withColumn("b", bucket_of(F.col("t")))
+    run = carried(checkpoint(events), keys, "b", ["t"], {"in_g": ("sum", F.col("g")), "in_p": ("sum", F.col("p")), "next": ("lead", F.col("t"))})
+    spent = lambda when: F.coalesce(F.sum(F.when(when, F.col("next") - F.col("t"))), F.lit(0).cast("bigint"))
+    g, p = F.col("in_g") > 0, F.col("in_p") > 0
+    got = run.groupBy(*keys).agg(spent(g).alias("gt_ms"), spent(p).alias("pred_ms"), spent(g & p).alias("both_ms"))
+    miss, false = F.col("gt_ms") - F.col("both_ms"), F.col("pred_ms") - F.col("both_ms")
+    got = got.select("*", miss.alias("miss_ms"), false.alias("false_alarm_ms"), F.round(safe_divide(F.col("both_ms"), F.col("pred_ms")), 6).alias("precision"), F.round(safe_divide(F.col("both_ms"), F.col("gt_ms")), 6).alias("recall"))
+    if durations is None:
+        return got
+    whole = got.join(durations.select(*keys, "duration_ms"), keys, "left")
+    right = F.col("duration_ms") - F.col("miss_ms") - F.col("false_alarm_ms")
+    return whole.select("*", F.round(F.when(F.col("gt_ms") > 0, (F.col("miss_ms") + F.col("false_alarm_ms")) / F.col("gt_ms")), 6).alias("error_rate"), F.round(F.when(F.col("duration_ms") > 0, right / F.col("duration_ms")), 6).alias("accuracy"))
+
+
+def file_report(df: DataFrame, file: str, y: str, p: str) -> DataFrame:
+    """What `accuracy_macro` says of each file and overall (null file), from one table of counts."""
+    table = checkpoint(contingency(df.where(F.col(file).isNotNull()), y, p, [file]))
+    whole = table.groupBy("y", "p").agg(F.sum("n").alias("n"))
+    return accuracy_macro(table, [file]).unionByName(accuracy_macro(whole).withColumn(file, F.lit(None).cast(dict(df.dtypes)[file])))
+
+
+def label_entropies(df: DataFrame, labels: dict[str, str], keys: list[str], base: float | None = None) -> DataFrame:
+    """Entropy and its share of the maximum of several label columns side by side: `labels` maps a name to a column."""
+    got = None
+    for name, column in labels.items():
+        one = label_entropy(df, column, keys, base).select(*keys, F.col("entropy").alias(f"{name}_entropy"), F.col("normalized").alias(f"{name}_normalized"))
+        got = one if got is None else got.join(one, keys, "full")
+    return got
+
+
+def episode_accuracy(df: DataFrame, episode: str, right: Column) -> DataFrame:
+    """Accuracy of each episode, then mean, deviation (sample) and half width of the 95 % interval over the episodes."""
+    each = df.where(F.col(episode).isNotNull() & right.isNotNull()).groupBy(episode).agg(F.avg(F.when(right, 1.0).otherwise(0.0)).alias("a"))
+    n = F.count("*")
+    return each.agg(n.alias("n_episodes"), F.round(F.avg("a"), 6).alias("accuracy"), F.round(F.stddev("a"), 6).alias("std"), F.round(1.96 * F.stddev("a") / F.sqrt(n), 6).alias("ci95"))
 
 
 def detector_report(df: DataFrame, prob: str, truth: Column, threshold: float = 0.5) -> DataFrame:

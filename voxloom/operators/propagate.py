@@ -96,6 +96,22 @@ def propagate(
     return state.select("i", "f"), history
 
 
+def propagate_anchored(edges: DataFrame, nodes: DataFrame, n_classes: int, *, alpha: float = 0.5, anchor: float = 0.9, max_iter: int = 100, tol: float = 1e-6) -> tuple[DataFrame, list[float]]:
+    """f = alpha W f + (1 - alpha) y, then anchor * y + (1 - anchor) * f on labelled nodes, until the largest change of a
+    score is below `tol`; returns (i, f) and the changes. `nodes`: i, label, y. Every step is checkpointed."""
+    state, changes = checkpoint(nodes.select("i", "label", "y", F.col("y").alias("f"))), []
+    for _ in range(max_iter):
+        s = F.coalesce("s", F.array_repeat(F.lit(0.0), n_classes))
+        mixed = F.zip_with(s, F.col("y"), lambda a, b: alpha * a + (1 - alpha) * b)
+        new = F.when(F.col("label").isNotNull(), F.zip_with(mixed, F.col("y"), lambda a, b: (1 - anchor) * a + anchor * b)).otherwise(mixed)
+        moved = checkpoint(state.join(spread(edges, state, n_classes), "i", "left").select("i", "label", "y", F.col("f").alias("old"), new.alias("f")))
+        changes.append(moved.agg(F.max(F.array_max(F.zip_with("f", "old", lambda a, b: F.abs(a - b))))).first()[0] or 0.0)
+        state = moved.drop("old")
+        if changes[-1] < tol:
+            break
+    return state.select("i", "f"), changes
+
+
 def decide(scores: DataFrame, classes: list[str]) -> DataFrame:
     """Class of the largest score (ties: first class) and its score; `unlabeled` where all are 0."""
     names = F.array(*[F.lit(c) for c in classes])

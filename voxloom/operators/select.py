@@ -9,16 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.common import checkpoint
 from voxloom.functions.scalars import euclidean
 from voxloom.operators.cluster import kmeans
-from voxloom.operators.vectors import closest_per_cluster, reduce_pca, standardize, with_centroid_distance
+from voxloom.operators.vectors import closest_per_cluster, mean_distances, reduce_pca, standardize, with_centroid_distance
 
 
 def select_for_labelling(rows: DataFrame, label: str, prob: str, per_cluster: int = 3, many: int = 10) -> DataFrame:
     """Of each cluster of (id, vec, label, prob) the row nearest its centroid, the least certain one, and the one farthest
     from both: label, id, reason.
 
-    Two per cluster if there are more than `many` clusters. Clusters smaller than that are taken whole
+    If the least certain row is the nearest one, clusters of more than 5 rows give the row of the largest mean distance to
+    the others as their third (`edge_boundary`). Two per cluster if there are more than `many` clusters. Clusters smaller than that are taken whole
     (`small_cluster`). Noise (-1) and null labels don't count; a null or NaN probability counts as 1. Ties go
     to the smaller id. Every choice is an aggregate, so a large cluster is no hot task.
     """
@@ -37,6 +39,13 @@ def select_for_labelling(rows: DataFrame, label: str, prob: str, per_cluster: in
         far = data.join(large.where("n > 2"), "c").join(at("center", "v1"), "center").join(at("unsure", "v2"), "unsure").where("id <> center and id <> unsure")
         gap = F.round(F.least(euclidean(F.col("vec"), F.col("v1")), euclidean(F.col("vec"), F.col("v2"))), 9)
         got = got.union(far.groupBy("c").agg(F.max(F.struct(gap.alias("g"), (-F.col("id")).alias("neg")))["neg"].alias("neg")).select("c", (-F.col("neg")).alias("id"), F.lit("boundary_diverse").alias("reason")))
+        # where the least certain row is the central one, two are chosen so far; the third is the row farthest from all on average
+        edge = large.where((F.col("n") > 5) & (F.col("unsure") == F.col("center"))).select("c", "center")
+        todo = data.join(edge, "c")
+        if not edge.isEmpty():
+            taken = got.select("c", "id")
+            apart = mean_distances(todo.select("id", "vec", F.col("c").cast("string").alias("g"))).join(todo.select("id", "c"), "id").join(taken, ["c", "id"], "left_anti")
+            got = got.union(apart.groupBy("c").agg(F.max(F.struct(F.round("mean_dist", 9).alias("g"), (-F.col("id")).alias("neg")))["neg"].alias("neg")).select("c", (-F.col("neg")).alias("id"), F.lit("edge_boundary").alias("reason")))
     return got.select(F.col("c").alias(label), "id", "reason")
 
 
@@ -71,11 +80,40 @@ def uncertainty(rows: DataFrame, label: str, seed: int = 42) -> DataFrame:
     head = rows.select(F.size("vec").alias("n")).first()
     if head is None:
         return rows.select("id", F.lit(0.0).alias("uncertainty"))
-    data = rows.withColumn("features", array_to_vector(fourier_features(F.col("vec"), head["n"], seed=seed))).withColumn("label", F.col(label).cast("double")).persist()
+    data = rows.withColumn("features", array_to_vector(fourier_features(F.col("vec"), head["n"], seed=seed))).withColumn("label", F.col(label).cast("double"))
+    data = checkpoint(data)
     model = LogisticRegression(maxIter=50, regParam=1e-3, family="multinomial").fit(data.select("features", "label"))
     return model.transform(data).select("id", label, F.round(1 - F.array_max(vector_to_array("probability")), 9).alias("uncertainty")) if label != "label" else model.transform(data).select("id", F.round(1 - F.array_max(vector_to_array("probability")), 9).alias("uncertainty"))
 
 
+def svm_uncertainty(rows: DataFrame, label: str, features: int = 128, seed: int = 42) -> DataFrame:
+    """1 - largest class probability of an RBF support vector machine fitted to the labels of (id, vec, label).
+
+    The kernel is lifted by random Fourier features; each class has a linear machine against the rest, whose margins a
+    logistic curve (Platt) turns into probabilities that are scaled to sum to 1. The number of classes is small.
+    """
+    from pyspark.ml.classification import LinearSVC, LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    head = rows.select(F.size("vec").alias("n")).first()
+    if head is None:
+        return rows.select("id", F.lit(0.0).alias("uncertainty"))
+    data = rows.select("id", F.col(label).alias("__y"), array_to_vector(fourier_features(F.col("vec"), head["n"], features, seed=seed)).alias("features"))
+    scored = checkpoint(data)
+    classes = [r[0] for r in scored.where("__y is not null").select("__y").distinct().orderBy("__y").collect()]
+    for c, value in enumerate(classes):
+        one = scored.withColumn("label", (F.col("__y") == value).cast("double"))
+        margin = LinearSVC(maxIter=30, regParam=1e-3, rawPredictionCol="raw", predictionCol="said").fit(one.where("label is not null").select("features", "label")).transform(one)
+        margin = margin.select("*", F.array(vector_to_array("raw")[1]).alias("m")).withColumn("margin", array_to_vector("m"))
+        platt = LogisticRegression(featuresCol="margin", maxIter=30, probabilityCol="p", rawPredictionCol="r", predictionCol="q").fit(margin.where("label is not null").select("margin", "label")).transform(margin)
+        scored = checkpoint(platt.select(*scored.columns, vector_to_array("p")[1].alias(f"__p{c}")))
+    if len(classes) < 2:
+        return scored.select("id", F.lit(0.0).alias("uncertainty"))
+    p = [F.col(f"__p{c}") for c in range(len(classes))]
+    total = sum(p[1:], p[0])
+    return scored.select("id", F.round(1 - F.greatest(*p) / total, 9).alias("uncertainty"))
+
+
 def hybrid_selection(vectors: DataFrame, total: int = 20, k: int = 10, n_init: int = 10, seed: int = 42) -> DataFrame:
     """Standardise, reduce, k-means, uncertainty of a kernel model, then the best of each cluster and of the rest."""
     z = standardize(vectors, "vec", "z").select("id", F.col("z").alias("vec"))

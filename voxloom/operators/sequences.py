@@ -39,6 +39,27 @@ def smooth_labels(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     return run_ids(df, keys, bucket, order, label, "run").join(fill, [*keys, "run"]).drop("run")
 
 
+def smoothing_report(df: DataFrame, keys: list[str], bucket: str, order: str, before: str, after: str, tolerance: int = 2, step_s: float = 0.4, brief_s: float = 1.2) -> DataFrame:
+    """The runs of `before` that no run of `after` of the same label matches within `tolerance` places at both ends.
+
+    `order` numbers the places of a sequence. Returns keys, label, first, last, n, seconds (n x step_s), brief (at
+    most `brief_s`: likely an interjection). A run is offered to the places around its start, so the match is an
+    equi-join; runs of one label don't overlap, so few meet.
+    """
+    one = lambda label: label_runs(df, keys, bucket, [order], label).select(*keys, F.col(label).alias("label"), "n", F.col("first")[order].alias("first"), F.col("last")[order].alias("last"))
+    old = one(before)
+    new = one(after).select(*keys, "label", F.explode(F.sequence(F.col("first") - tolerance, F.col("first") + tolerance)).alias("first"), F.col("last").alias("__to"))
+    kept = old.join(new, [*keys, "label", "first"]).where(F.abs(F.col("last") - F.col("__to")) <= tolerance).select(*keys, "label", "first").distinct()
+    gone = old.join(kept, [*keys, "label", "first"], "left_anti")
+    return gone.select(*keys, "label", "first", "last", "n", F.round(F.col("n") * step_s, 6).alias("seconds"), (F.round(F.col("n") * step_s, 6) <= brief_s).alias("brief"))
+
+
+def time_window(df: DataFrame, keys: list[str], from_ms: int, length_ms: int, tie: str) -> DataFrame:
+    """The rows that start in a window of time, with their rank in it from 0 (first) to 1 (last) by start, then `tie`."""
+    inside = df.where((F.col("start_ms") >= from_ms) & (F.col("start_ms") < from_ms + length_ms))
+    return inside.withColumn("place", F.round(F.percent_rank().over(Window.partitionBy(*keys).orderBy("start_ms", tie)), 6))
+
+
 def label_ids(df: DataFrame, label: str, order: str, prefix: str = "S") -> DataFrame:
     """Running id inside each label, `{prefix}{label}_{number from 0}`, padded to 2, 3 or 4 digits by the number of all rows.
 

@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from voxloom.common import valid_vector
 
@@ -109,7 +110,7 @@ def fit_lda(df: DataFrame, vec_col: str, label: str, ridge: float = 1e-6) -> tup
     mean = sum(x[1] for x in by.values()) / n
     within = sum(o - np.outer(s, s) / m for m, s, o in by.values()) / n
     between = sum(m * np.outer(s / m - mean, s / m - mean) for m, s, _ in by.values()) / n
-    root = np.linalg.cholesky(within + ridge * np.trace(within) / len(within) * np.eye(len(within)))
+    root = np.linalg.cholesky(within + ridge * max(np.trace(within) / len(within), 1e-6) * np.eye(len(within)))
     half = np.linalg.solve(root, np.linalg.solve(root, between).T)
     _, axes = np.linalg.eigh((half + half.T) / 2)
     return mean, np.linalg.solve(root.T, axes[:, ::-1][:, : min(len(by) - 1, len(within))])
@@ -225,6 +226,116 @@ def cluster_indices(df: DataFrame, label: str, vec_col: str = "vec", block: int
     return top.agg(dbi.alias("davies_bouldin")).select(F.lit(k).alias("k"), F.lit(n).cast("bigint").alias("n"), "davies_bouldin", F.lit(score).cast("double").alias("calinski_harabasz"))
 
 
+def mean_distances(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Mean euclidean distance of each row of (id, vec, g) to the other rows of its group: id, mean_dist (null if alone).
+
+    Exact: groups are cut into blocks, each pair of blocks is one group of work that emits a sum for each row.
+    """
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n")).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    cut = rows.join(sizes, "g").withColumn("p", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    spread = cut.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    ask = spread.select("g", F.col("p").alias("i"), F.col("q").alias("j"), F.lit(True).alias("asks"), "id", "vec")
+    told = spread.select("g", F.col("q").alias("i"), F.col("p").alias("j"), F.lit(False).alias("asks"), "id", "vec")
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.asks], pdf[~pdf.asks]
+        x, y = (np.stack(s.vec.to_list()) if len(s) else np.zeros((0, 1)) for s in (a, b))
+        total = [distances(x[lo : lo + 1024], y, "euclidean").sum(axis=1) for lo in range(0, len(x), 1024)] if len(y) else []
+        return pd.DataFrame({"id": a.id, "total": np.concatenate(total) if total else np.zeros(len(a))})
+
+    parts = ask.unionByName(told).groupBy("g", "i", "j").applyInPandas(lambda pdf: sums(pdf), "id bigint, total double")
+    return parts.groupBy("id").agg(F.sum("total").alias("total")).join(cut.select("id", "n"), "id").select("id", F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)).alias("mean_dist"))
+
+
+def soft_memberships(df: DataFrame, label: str, top: int = 5, vec_col: str = "vec") -> DataFrame:
+    """The `top` labels each row of (id, vec) belongs to most: id, rank, cluster, share.
+
+    The share of a label falls with the distance to its centroid: 1 / d over the sum of 1 / d (d at least 1e-9). Equal shares
+    rank by label. One row for each label is broadcast; more than `BLOCK_ROWS` labels are refused.
+    """
+    held = centroids(df.where(F.col(label).isNotNull()), label, vec_col).select(label, "centroid").limit(BLOCK_ROWS + 1).toPandas().sort_values(label)
+    if len(held) > BLOCK_ROWS:
+        raise ValueError(f"memberships in more than {BLOCK_ROWS} clusters are not computed")
+    kind, arrow = dict(df.dtypes)[label], to_arrow_type(df.schema[label].dataType)
+    shared = df.sparkSession.sparkContext.broadcast((held[label].to_list(), np.stack(held.centroid.to_list()) if len(held) else None))
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, centre = shared.value
+        for batch in batches:
+            if not batch.num_rows or not names:
+                continue
+            near = 1.0 / np.maximum(distances(as_matrix(batch.column("vec")), centre, "euclidean"), 1e-9)
+            near = np.round(near / near.sum(axis=1, keepdims=True), 12)
+            order = np.argsort(-near, axis=1, kind="stable")[:, :top]
+            ids = np.repeat(batch.column("id").to_numpy(), order.shape[1])
+            out = [pa.array(ids), pa.array(np.tile(np.arange(1, order.shape[1] + 1), len(near)).astype(np.int32)), pa.array([names[c] for c in order.reshape(-1)], arrow), pa.array(np.take_along_axis(near, order, 1).reshape(-1))]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "rank", "cluster", "share"])
+
+    return df.select(F.col("id").cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).mapInArrow(share, f"id bigint, rank int, cluster {kind}, share double")
+
+
+def min_max(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns scaled to [0, 1] by their least and largest value (nulls and NaN don't count and become null); a column
+    without range becomes 0. Two figures for each column come to the driver."""
+    real = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    ends = df.agg(*[f(real[c]).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    scaled = {}
+    for c in columns:
+        lo, hi = ends[f"lo_{c}"], ends[f"hi_{c}"]
+        scaled[c] = real[c] if lo is None else F.when(real[c].isNotNull(), (real[c] - lo) / (hi - lo) if hi > lo else F.lit(0.0))
+    return df.withColumns(scaled)
+
+
+def fit_lmnn(df: DataFrame, vec_col: str, label: str, sample: int = 2000, targets: int = 3, rounds: int = 60, pull: float = 0.5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and matrix of a large-margin transform: rows are drawn to their `targets` nearest of the same label and rows
+    of other labels pushed out by a margin.
+
+    Fitted by gradient steps on at most `sample` labelled rows, those with the smallest hash of their vector; falls back to
+    `fit_lda` where no label has more than one row among them. Starts from the identity; the step is kept only if it helps.
+    """
+    got = df.where(F.col(label).isNotNull() & valid_vector(F.col(vec_col))).select(F.col(vec_col).cast("array<double>").alias("v"), F.col(label).cast("string").alias("l")).orderBy(F.xxhash64("v", F.lit(seed))).limit(sample).toPandas()
+    y = got.l.to_numpy()
+    _, counts = np.unique(y, return_counts=True)
+    if len(counts) < 2 or counts.max() < 2:
+        return fit_lda(df, vec_col, label)
+    x = np.stack(got.v.to_list())
+    mean = x.mean(axis=0)
+    x = (x - mean) / max(np.sqrt(((x - mean) ** 2).sum(axis=1)).mean(), 1e-12)
+    same = y[:, None] == y[None, :]
+    d = distances(x, x, "euclidean") + np.where(same & ~np.eye(len(x), dtype=bool), 0.0, np.inf)
+    near = np.argsort(d, axis=1)[:, :targets]
+    i = np.repeat(np.arange(len(x)), near.shape[1])
+    j = near.reshape(-1)
+    ok = np.isfinite(d[i, j])
+    i, j = i[ok], j[ok]
+    transform, step = np.eye(x.shape[1]), 1e-2
+
+    def cost(m: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ m
+        sq = distances(z, z, "euclidean") ** 2
+        own = sq[i, j]
+        viol = 1.0 + own[:, None] - sq[i]
+        viol = np.where(same[i], 0.0, np.maximum(viol, 0.0))
+        active = (viol > 0).astype(np.float64)
+        pulls = pull + (1 - pull) * active.sum(axis=1) / len(x)
+        diff = x[i] - x[j]
+        grad = diff.T @ (diff * pulls[:, None])
+        weight = np.zeros((len(x), len(x)))
+        np.add.at(weight, i, active * (1 - pull) / len(x))
+        grad -= x.T @ (weight.sum(axis=1)[:, None] * x) + x.T @ (weight.sum(axis=0)[:, None] * x) - x.T @ (weight + weight.T) @ x
+        return pull * own.sum() + (1 - pull) * viol.sum() / len(x), 2 * grad @ m / len(x)
+
+    now, grad = cost(transform)
+    for _ in range(rounds):
+        tried = transform - step * grad
+        value, slope = cost(tried)
+        if value < now:
+            transform, now, grad, step = tried, value, slope, step * 1.2
+        else:
+            step /= 3
+    return mean, transform
+
+
 def silhouettes(df: DataFrame, label: str, block: int = BLOCK_ROWS) -> DataFrame:
     """Silhouette (euclidean) of each row of (id, vec, label): id, label, silhouette; exact.
 

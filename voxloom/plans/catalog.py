@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxloom.common import table
 from voxloom.operators import periods
-from voxloom.plans import reference
+from voxloom.plans import extended, reference
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,10 +38,11 @@ reach AS (
   SELECT *, max(e) OVER (PARTITION BY rec_id, speaker_label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_e FROM ok)
 """
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_periods": p1_periods, **reference.QUERIES}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_periods": p1_periods, **reference.QUERIES, **extended.QUERIES}
 
 SQL: dict[str, str] = {
     **reference.SQL,
+    **extended.SQL,
     "p1_found": SPEAKING + "SELECT rec_id, speaker_label, before_e AS gap_start_ms, s AS gap_end_ms FROM reach WHERE s > before_e",
     "p1_periods": SPEAKING + """, grouped AS (
   SELECT *, sum(CASE WHEN s <= before_e THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, speaker_label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM reach)

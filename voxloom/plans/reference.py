@@ -607,8 +607,10 @@ def hybrid_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CENTRE}, p AS (SELECT id, label, round(d, 9) AS d, (id % 97) / 97.0 AS p FROM cd), s AS (SELECT label, arg_min(id, struct_pack(d := d, id := id)) AS center, arg_min(id, struct_pack(p := p, id := id)) AS unsure, count(*) AS n FROM p GROUP BY label), f AS (
-  SELECT e.label, e.id, round(least(list_distance(e.vec, a.vec), list_distance(e.vec, b.vec)), 9) AS g FROM emb e JOIN s USING (label) JOIN emb a ON a.id = s.center JOIN emb b ON b.id = s.unsure WHERE e.id <> s.center AND e.id <> s.unsure AND s.n > 2)
-SELECT label, center AS id, 'centroid' AS reason FROM s UNION ALL SELECT label, unsure, 'uncertain' FROM s WHERE unsure <> center UNION ALL SELECT label, arg_min(id, struct_pack(g := -g, id := id)), 'boundary_diverse' FROM f GROUP BY label""")
+  SELECT e.label, e.id, round(least(list_distance(e.vec, a.vec), list_distance(e.vec, b.vec)), 9) AS g FROM emb e JOIN s USING (label) JOIN emb a ON a.id = s.center JOIN emb b ON b.id = s.unsure WHERE e.id <> s.center AND e.id <> s.unsure AND s.n > 2),
+bd AS (SELECT label, arg_min(id, struct_pack(g := -g, id := id)) AS id FROM f GROUP BY label), av AS (SELECT e.label, e.id, round(sum(list_distance(e.vec, o.vec)) / (count(*) - 1), 9) AS g FROM emb e JOIN s USING (label) JOIN emb o ON o.label = e.label WHERE s.unsure = s.center AND s.n > 5 GROUP BY e.label, e.id),
+ed AS (SELECT label, arg_min(id, struct_pack(g := -g, id := id)) AS id FROM av WHERE id NOT IN (SELECT center FROM s) AND id NOT IN (SELECT id FROM bd) GROUP BY label)
+SELECT label, center AS id, 'centroid' AS reason FROM s UNION ALL SELECT label, unsure, 'uncertain' FROM s WHERE unsure <> center UNION ALL SELECT label, id, 'boundary_diverse' FROM bd UNION ALL SELECT label, id, 'edge_boundary' FROM ed""")
 def label_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates for labelling; the certainty is (id mod 97) / 97"""
     e = embeddings(spark, d).withColumn("p", (F.col("id") % 97) / 97.0)

@@ -90,6 +90,19 @@ def directory_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("what", what).where("what is not null")
 
 
+def compare_directories(folders: dict[str, DataFrame]) -> DataFrame:
+    """The differences between any two of up to three speaker directories: left, right, and the columns of
+    `directory_differences`; entries of a base that one side lacks altogether count as missing there."""
+    if not 2 <= len(folders) <= 3:
+        raise ValueError("two or three folders can be compared")
+    names, got = list(folders), None
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            pair = directory_differences(folders[a], folders[b]).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "*")
+            got = pair if got is None else got.unionByName(pair)
+    return got
+
+
 def pair_files(gt: DataFrame, pred: DataFrame, path: str = "path") -> DataFrame:
     """Paths of equal base name: base, gt_path, pred_path; a base name that occurs twice on a side is an error."""
     named = lambda df, out: df.select(base_name(F.col(path)).alias("base"), F.col(path).alias(out))
