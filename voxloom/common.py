@@ -19,8 +19,8 @@ NOISE_CLUSTER = -1
 PLACEHOLDER_LABEL = 77
 SENTINEL_NUMBERS = (77, 88, 99)
 
-#: Blanks of any kind, among them the no-break space, which trim() leaves alone.
-BLANKS = r"[\s   ﻿]"
+#: Blanks of any kind, among them the no-break spaces, which trim() leaves alone.
+BLANK_CHARS = "\t\n\x0b\f\r\u00a0\u2007\u202f\ufeff"
 
 
 _SHIPPED: set[str] = set()
@@ -93,9 +93,13 @@ def to_ms(seconds: Column) -> Column:
 
 
 def clean_label(label: Column) -> Column:
-    """Lower case, outer blanks cut, any separator (blanks, `-`, `_`) as one `_`; null if nothing is left."""
-    s = F.regexp_replace(F.lower(label), f"^{BLANKS}+|{BLANKS}+$", "")
-    s = F.regexp_replace(s, r"[\s   ﻿_\-]+", "_")
+    """Lower case, outer blanks cut, any separator (blanks, `-`, `_`) as one `_`; null if nothing is left.
+
+    Single characters are mapped; only labels with two separators in a row meet a regular expression.
+    """
+    s = F.trim(F.translate(F.lower(label), BLANK_CHARS, " " * len(BLANK_CHARS)))
+    s = F.translate(s, " -", "__")
+    s = F.when(F.contains(s, F.lit("__")), F.regexp_replace(s, "_+", "_")).otherwise(s)
     return F.when(s == "", F.lit(None)).otherwise(s)
 
 

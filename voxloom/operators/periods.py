@@ -43,8 +43,9 @@ def speaking_intervals(gt: DataFrame) -> DataFrame:
     Labels are cleaned (`clean_label`); sentinels, missing labels, null or NaN times and ends not
     after the start drop out. Columns: seg_id, rec_id, speaker_label, start_ms, end_ms.
     """
-    rows = first_delivery(gt.select("seg_id", "rec_id", "speaker_label", "start_time", "end_time", "loaded_at"), "seg_id")
-    rows = rows.select("seg_id", "rec_id", clean_label(F.col("speaker_label")).alias("speaker_label"), to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"))
+    # cleaned before the first deliveries are told apart: conditions on the result then wait above that window, and labels are cleaned once
+    rows = gt.select("seg_id", "rec_id", clean_label(F.col("speaker_label")).alias("speaker_label"), to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"), "loaded_at")
+    rows = first_delivery(rows, "seg_id").drop("loaded_at")
     return rows.where("rec_id is not null and speaker_label is not null and end_ms > start_ms").where(~is_sentinel(F.col("speaker_label")))
 
 
