@@ -195,13 +195,14 @@ def clean_utterances(azure: DataFrame, texts: bool = True) -> DataFrame:
     transcript; rows without either, or without a recording, are passed over. Confidences above 1 are
     taken as percentages; NaN becomes null.
     """
-    a = first_delivery(azure.select("az_id", "rec_id", "speaker_id", "start_time", "end_time", "transcript", "confidence", "lang", "loaded_at"), "az_id")
-    a = a.select("rec_id", "az_id", to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"), plain_variant(F.col("speaker_id")).alias("field"), bare_text(F.col("transcript")).alias("bare"), "confidence", "lang")
-    a = a.where("rec_id is not null and start_ms is not null and end_ms is not null and bare is not null")
-    a = a.select("*", F.when(F.col("field").isNull(), plain_variant(head_label(F.col("bare")))).otherwise(F.col("field")).alias("variant"), words_only(F.col("bare")).alias("words"))
-    a = a.where(F.col("variant").isNotNull() & has_speech(F.col("words")))
+    # texts are cleaned before the first deliveries are told apart: conditions on the result wait above that window, so nothing is done twice
+    a = azure.select("az_id", "rec_id", to_ms(F.col("start_time")).alias("start_ms"), to_ms(F.col("end_time")).alias("end_ms"), plain_variant(F.col("speaker_id")).alias("field"), bare_text(F.col("transcript")).alias("bare"), "confidence", "lang", "loaded_at")
+    a = a.select("*", F.when(F.col("field").isNull(), plain_variant(head_label(F.col("bare")))).otherwise(F.col("field")).alias("variant"), words_only(F.col("bare")).alias("words")).drop("bare", "field")
+    a = a.withColumn("speech", has_speech(F.col("words")))
     conf = F.when(~F.isnan("confidence"), F.when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence")))
-    return a.select("rec_id", "az_id", "start_ms", "end_ms", "variant", *([spoken_text(F.col("words"), F.col("lang")).alias("text"), conf.alias("confidence")] if texts else []))
+    extra = [spoken_text(F.col("words"), F.col("lang")).alias("text"), conf.alias("confidence")] if texts else []
+    a = first_delivery(a.select("az_id", "rec_id", "start_ms", "end_ms", "variant", "speech", "loaded_at", *extra), "az_id")
+    return a.where("rec_id is not null and start_ms is not null and end_ms is not null and variant is not null and speech").drop("speech", "loaded_at")
 
 
 def speaker_turns(azure: DataFrame, texts: bool = True) -> DataFrame:
