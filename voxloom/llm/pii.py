@@ -269,19 +269,21 @@ def _line_addresses(text: str, begin: int, stop_at: int, low: str, kinds: list[s
 
 
 class Lexicon(dict):
-    """What is known of a word as written: (lower case, function word, listed given name, capital, class); class C is a common
-    word (its lower-case form is in the vocabulary), P a proper one (only its title-case form is), U an unknown one."""
+    """What is known of a word as written: (lower case, function word, listed given name, capital, class, whether a name may
+    begin with it whatever follows); class C is a common word (its lower-case form is in the vocabulary), P a proper one (only its
+    title-case form is), U an unknown one."""
 
     def __init__(self, common: frozenset[str], proper: frozenset[str]) -> None:
         super().__init__()
         self.common, self.proper = common, proper
 
-    def __missing__(self, word: str) -> tuple[str, bool, bool, bool, str]:
+    def __missing__(self, word: str) -> tuple[str, bool, bool, bool, str, bool]:
         if len(self) > 300_000:
             self.clear()
         low = word.lower()
         kind = "C" if low in self.common else "P" if low in self.proper else "U"
-        got = self[word] = (low, low in FUNCTION_WORDS or low in TITLES, low in GIVEN_NAMES, word[:1].isupper(), kind)
+        function, listed, capital = low in FUNCTION_WORDS or low in TITLES, low in GIVEN_NAMES, word[:1].isupper()
+        got = self[word] = (low, function, listed, capital, kind, listed or len(word) == 1 or not function and (capital or kind != "C"))
         return got
 
 
@@ -329,12 +331,14 @@ def name_segments(text: str, lexicon: Lexicon) -> Iterator[Segment]:
     words = [(m.start(), m.end(), m.group()) for m in WORDS.finditer(text)]
     n = len(words)
     info = [lexicon[w[2]] for w in words]
-    joined = [i > 0 and text[words[i - 1][1] : words[i][0]] in ("-", "'", "’") for i in range(n)]
+
+    def joined(i: int) -> bool:
+        return i > 0 and words[i][0] - words[i - 1][1] == 1 and text[words[i - 1][1]] in "-'’"
 
     def after(i: int) -> int:
         """The index behind a word and its hyphenated parts."""
         j = i + 1
-        while j < n and joined[j]:
+        while j < n and joined(j):
             j += 1
         return j
 
@@ -382,10 +386,17 @@ def name_segments(text: str, lexicon: Lexicon) -> Iterator[Segment]:
     def fits(i: int) -> bool:
         return i < n and words[i][1] - words[i][0] >= 2 and not info[i][1]
 
-    for i in range(n):
-        low, function, listed, capital, cls = info[i]
+    starts = [i for i in range(n) if info[i][5]]
+    for i in [i for i in starts if info[i][2]]:  # a family name, even a common word, may stand before a listed name
+        i -= 1
+        while i > 0 and joined(i):
+            i -= 1
+        if i >= 0 and not info[i][5]:
+            starts.append(i)
+    for i in starts:
+        low, function, listed, capital, cls, _ = info[i]
         j = after(i)
-        if joined[i] or j >= n:
+        if j >= n or joined(i):
             continue
         gap = text[words[j - 1][1] : words[j][0]]
         if words[i][1] - words[i][0] == 1:
