@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxloom.common import checkpoint
 from voxloom.functions.scalars import cluster_count_score, membership_score
 from voxloom.operators.components import connected_components
-from voxloom.operators.graphs import joining_edges, mutual_reachability, with_bound
+from voxloom.operators.graphs import joining_edges, middle_distance, mutual_reachability, with_bound
 from voxloom.operators.vectors import exact_neighbours, fit_pca, apply_matrix
 
 #: Largest tree whose hierarchy one task condenses; `density_clusters` refuses larger input.
@@ -203,7 +203,7 @@ def mapper_nodes(vectors: DataFrame, knn: DataFrame, cubes: int = 10, overlap: f
     lens = apply_matrix(vectors, "vec", mean, axes, "z").select("id", F.col("z")[0].alias("z"))
     low, high = lens.agg(F.min("z"), F.max("z")).first()
     if radius is None:
-        radius = knn.agg(F.percentile("dist", F.lit(0.5))).first()[0] or 0.0
+        radius = middle_distance(knn) or 0.0
     width = max((high or 0.0) - (low or 0.0), 1e-12) / (cubes - (cubes - 1) * overlap)
     step = width * (1 - overlap)
     cube = F.explode(F.transform(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("z") - low - width) / step - 1e-9)), F.least(F.lit(cubes - 1), F.floor((F.col("z") - low) / step + 1e-9))), lambda c: c.cast("bigint")))

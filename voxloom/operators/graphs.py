@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint
 from voxloom.operators.components import SOLO_EDGES, connected_components
+from voxloom.operators.ordered import exact_quantiles
 from voxloom.operators.vectors import BLOCK_ROWS, as_matrix, distances
 
 
@@ -24,6 +25,12 @@ def self_edges(nodes: DataFrame, weight: float = 0.1) -> DataFrame:
     return nodes.select("i", F.col("i").alias("j"), F.lit(weight).alias("w"))
 
 
+def middle_distance(knn: DataFrame) -> float | None:
+    """Exact median of the distances, None of none."""
+    got = exact_quantiles(knn.where("dist is not null"), [], "dist", [0.5]).first()
+    return got["q"][0] if got else None
+
+
 def affinity(knn: DataFrame, method: str = "rbf", sigma: float | None = None, symmetric: bool = True) -> DataFrame:
     """G1: neighbour distances (i, j, dist) as affinities, with 0.1 on the diagonal.
 
@@ -31,7 +38,7 @@ def affinity(knn: DataFrame, method: str = "rbf", sigma: float | None = None, sy
     `symmetric` takes the mean of both directions (a missing one counts 0).
     """
     if method == "rbf" and sigma is None:
-        sigma = knn.where("dist > 0").agg(F.percentile("dist", F.lit(0.5))).first()[0] or 1.0
+        sigma = middle_distance(knn.where("dist > 0")) or 1.0
     w = F.exp(-F.col("dist") * F.col("dist") / (2 * sigma * sigma)) if method == "rbf" else 1 / (1 + F.col("dist"))
     edges = knn.select("i", "j", w.alias("w"))
     if symmetric:
@@ -84,7 +91,7 @@ def adaptive_graph(knn: DataFrame, k: int, sigma: str = "kth", vectors: DataFram
     """
     near = knn.where(F.col("rank") <= k)
     if sigma == "global":
-        middle = near.agg(F.percentile("dist", F.lit(0.5))).first()[0] or 0.0
+        middle = middle_distance(near) or 0.0
         one = near.select("i", "j", F.exp(-F.col("dist") * F.col("dist") / (middle * middle + 1e-8)).alias("w"))
     else:
         pick = {"kth": F.max("dist"), "median": F.percentile("dist", F.lit(0.5)), "mean": F.avg("dist")}[sigma]

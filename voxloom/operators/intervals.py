@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.scalars import overlap_ms, overlap_pct
-from voxloom.operators.ordered import bucket_of, carried
+from voxloom.operators.ordered import bucket_of, carried, ranked
 
 #: Width of the time cells of interval joins in milliseconds.
 CELL_MS = 60_000
@@ -169,6 +169,5 @@ def keep_frequent(df: DataFrame, label: str, least: int = 5) -> DataFrame:
 
 def keep_top_percent(df: DataFrame, keys: list[str], score: str, tie: str, percent: int = 90) -> DataFrame:
     """of each key the floor(n * percent / 100) rows with the highest score (ties by `tie`); null scores come last."""
-    w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last(), F.col(tie))
-    n = F.count("*").over(Window.partitionBy(*keys))
-    return df.withColumn("__rn", F.row_number().over(w)).withColumn("__n", n).where(F.col("__rn") <= F.floor(F.col("__n") * percent / 100)).drop("__rn", "__n")
+    rows = ranked(df, keys, [F.col(score).desc_nulls_last(), F.col(tie)], "__rn", "__n")
+    return rows.where(F.col("__rn") <= F.floor(F.col("__n") * percent / 100)).drop("__rn", "__n")

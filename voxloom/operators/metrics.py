@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint
 from voxloom.functions.scalars import safe_divide
-from voxloom.operators.ordered import bucket_of, carried
+from voxloom.operators.ordered import bucket_of, carried, exact_quantiles
 
 
 def contingency(df: DataFrame, y: str, p: str, keys: list[str] | None = None) -> DataFrame:
@@ -49,11 +49,15 @@ def accuracy_by_file(df: DataFrame, file: str, y: str, p: str) -> DataFrame:
 
 def distribution_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Count, mean, population deviation, min, quartiles (linear interpolation), max; nulls and NaN don't count."""
-    x = F.col(value).cast("double")
-    rows = df.where(x.isNotNull() & ~F.isnan(x)).withColumn("__x", x)
-    q = F.percentile("__x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = rows.groupBy(*(keys or [])).agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), F.min("__x").alias("min"), F.max("__x").alias("max"), q.alias("q"))
-    return got.select(*(keys or []), "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    x, k = F.col(value).cast("double"), keys or []
+    rows = checkpoint(df.where(x.isNotNull() & ~F.isnan(x)).select(*k, x.alias("__x")))
+    q = exact_quantiles(rows, k, "__x", [0.25, 0.5, 0.75]).select(*[F.col(c).alias(f"__q{i}") for i, c in enumerate(k)], "q")
+    got = rows.groupBy(*k).agg(F.count("*").alias("n"), F.avg("__x").alias("mean"), F.stddev_pop("__x").alias("std"), F.min("__x").alias("min"), F.max("__x").alias("max"))
+    same = F.lit(True)
+    for i, c in enumerate(k):
+        same = same & F.col(c).eqNullSafe(F.col(f"__q{i}"))
+    both = got.join(q, same) if k else got.join(F.broadcast(q), F.lit(True), "left")  # one row each without keys
+    return both.select(*k, "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
 
 
 def label_entropy(df: DataFrame, label: str, keys: list[str] | None = None, base: float | None = None) -> DataFrame:

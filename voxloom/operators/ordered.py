@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxloom.common import checkpoint
+
 #: Width of a time bucket in milliseconds (10 minutes).
 BUCKET_MS = 600_000
 
@@ -99,3 +101,35 @@ def run_ids(df: DataFrame, keys: list[str], bucket: str, order: list[str], label
         (F.coalesce(F.sum(F.col("__n") + F.col("__new")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__new")).alias("__base"),
     )
     return rows.join(heads, [*keys, bucket]).select(*df.columns, (F.col("__base") + F.col("__local")).alias(out))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str = "place", total: str | None = None) -> DataFrame:
+    """Number the rows of each key from 1 in the given order (a total order), with the rows of the key as `total`.
+
+    Rows are cut into ranges of (keys, order); a row's number is its place in its range plus what the ranges before hold of
+    its key, so a key of any size is numbered in parallel. Keys may be null; no keys number the whole table.
+    """
+    rows = checkpoint(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__p", F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order))
+    along = Window.partitionBy(*keys).orderBy("__p")
+    sizes = rows.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    sizes = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), (F.coalesce(F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"), F.sum("__n").over(Window.partitionBy(*keys)).alias("__all"))
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    joined = rows.withColumn("__l", local).join(sizes, same)
+    return joined.select(*df.columns, (F.col("__l") + F.col("__before")).alias(out), *([F.col("__all").alias(total)] if total else []))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Quantiles of `value` (no nulls, no NaN) by key, linearly interpolated between places: keys, q (array in the order of `shares`).
+    From places in `ranked` order, so neither a key nor the table gathers its values."""
+    rows = ranked(df.select(*keys, F.col(value).alias("__v")).withColumn("__t", F.monotonically_increasing_id()), keys, [F.col("__v"), F.col("__t")], "__r", "__m")
+    picks = []
+    for i, share in enumerate(shares):
+        at = (F.col("__m") - 1) * F.lit(share)
+        low = F.floor(at) + 1
+        picks += [F.max(F.when(F.col("__r") == low, F.col("__v"))).alias(f"__a{i}"), F.max(F.when(F.col("__r") == low + 1, F.col("__v"))).alias(f"__b{i}"), F.max(at - F.floor(at)).alias(f"__f{i}")]
+    got = rows.groupBy(*keys).agg(*picks)
+    mix = [F.col(f"__a{i}") + F.when(F.col(f"__f{i}") > 0, F.col(f"__f{i}") * (F.col(f"__b{i}") - F.col(f"__a{i}"))).otherwise(0.0) for i in range(len(shares))]
+    return got.select(*keys, F.array(*mix).alias("q"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxloom.common import checkpoint
 from voxloom.functions.scalars import euclidean
 from voxloom.operators.cluster import kmeans
+from voxloom.operators.ordered import ranked
 from voxloom.operators.vectors import closest_per_cluster, mean_distances, reduce_pca, standardize, with_centroid_distance
 
 
@@ -136,9 +137,8 @@ def representatives(vectors: DataFrame, total: int = 20, k: int = 10, n_init: in
 
 def stratified_split(df: DataFrame, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Mark about `test_share` of each label's rows, at least one, as test: adds `is_test`. The order is a hash of the id."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    n = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("is_test", F.row_number().over(w) <= F.greatest(F.lit(1), F.floor(n * test_share)))
+    rows = ranked(df, [label], [F.xxhash64("id", F.lit(seed)), F.col("id")], "__rn", "__n")
+    return rows.withColumn("is_test", F.col("__rn") <= F.greatest(F.lit(1), F.floor(F.col("__n") * test_share))).drop("__rn", "__n")
 
 
 def nested_speakers(labels: DataFrame, label: str, first: int = 2, seed: int = 42) -> DataFrame:

@@ -338,10 +338,9 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {GT} SELECT rec_id, count(*) AS n, min(s) AS first_ms, max(e) AS last_ms, count(DISTINCT speaker_label) AS n_speakers, round(sum(e - s) * 100.0 / (SELECT sum(e - s) FROM gt), 6) AS pct FROM gt GROUP BY rec_id")
 def recording_profile(spark: SparkSession, d: str) -> DataFrame:
     """A6, A9, A14"""
-    rows = gt(spark, d).groupBy("rec_id").agg(F.count("*").alias("n"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"), F.count_distinct("speaker_label").alias("n_speakers"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
-    from pyspark.sql import Window
-
-    return rows.select("rec_id", "n", "first_ms", "last_ms", "n_speakers", F.round(F.col("ms") * 100.0 / F.sum("ms").over(Window.partitionBy()), 6).alias("pct"))
+    rows = checkpoint(gt(spark, d).groupBy("rec_id").agg(F.count("*").alias("n"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"), F.count_distinct("speaker_label").alias("n_speakers"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms")))
+    total = rows.agg(F.sum("ms")).first()[0]
+    return rows.select("rec_id", "n", "first_ms", "last_ms", "n_speakers", F.round(F.col("ms") * 100.0 / total, 6).alias("pct"))
 
 
 # ---------------------------------------------------------------- sequences and text
