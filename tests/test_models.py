@@ -147,3 +147,42 @@ def test_adaptive_graph_is_joined(spark):
     apart = graphs.graph_stats(graphs.adaptive_graph(near, 3)).first()
     whole = graphs.graph_stats(graphs.adaptive_graph(near, 3, vectors=v)).first()
     assert apart.n_components > 1 == whole.n_components
+
+
+def test_wav_files_are_read_and_cut(spark, tmp_path):
+    import wave
+
+    rate, x = 1000, np.sin(np.arange(2000) / 7)
+    kinds = {"a": (1, ((x + 1) * 127.5).astype(np.uint8).tobytes()), "b": (2, (x * 32767).astype("<i2").tobytes()), "d": (4, (x * (2**31 - 1)).astype("<i4").tobytes())}
+    kinds["c"] = (3, b"".join(int(v).to_bytes(4, "little", signed=True)[:3] for v in (x * (2**23 - 1)).astype(int)))
+    for name, (width, raw) in kinds.items():
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setnchannels(1), w.setsampwidth(width), w.setframerate(rate), w.writeframes(raw)
+    (tmp_path / "bad.wav").write_bytes(b"RIFF")
+    audio = readers.read_wav(spark, str(tmp_path))
+    got = {r.rec_id: r for r in audio.collect()}
+    assert got["bad"].samples is None and all(got[n].rate == rate and np.allclose(got[n].samples, x, atol=0.02 if n == "a" else 1e-4) for n in "abcd")
+    cuts = spark.createDataFrame([("b", 100, 200), ("c", 1900, 2500), ("b", -50, 3)], "rec_id string, start_ms bigint, end_ms bigint")
+    made = {r.cut_no: (r.rec_id, len(r.samples), r.samples[0]) for r in readers.cut_audio(audio, cuts, ["rec_id", "start_ms"]).collect()}
+    assert [made[k][:2] for k in range(3)] == [("b", 3), ("b", 100), ("c", 100)] and abs(made[1][2] - x[100]) < 1e-4
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.wav").write_bytes(b"RIFF")
+    with pytest.raises(ValueError):
+        readers.read_wav(spark, f"{tmp_path}/{{*.wav,sub/*.wav}}")
+
+
+def test_many_classes_are_summed_flat(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, (i + 1) % 5, 0.5) for i in range(5)] + [(i, (i + 2) % 5, 0.5) for i in range(5)], "i bigint, j bigint, w double")
+    scores = spark.createDataFrame([(i, [float(i == c) for c in range(4)]) for i in range(5)], "i bigint, f array<double>")
+    plain = {r.i: r.s for r in propagate.spread(edges, scores, 4).collect()}
+    monkeypatch.setattr(propagate, "WIDE", 1)
+    flat = {r.i: r.s for r in propagate.spread(edges, scores, 4).collect()}
+    assert all(np.allclose(plain[i], flat.get(i, [0.0] * 4)) for i in plain)
+
+
+def test_frame_energies():
+    from voxloom.operators import dsp
+
+    x = np.sin(np.arange(800) / 3)
+    e = dsp.frame_energies(x)
+    assert len(e) == len(dsp.filterbank(x)) and (e > 0).all() and dsp.frame_energies(np.zeros(800)).min() > 0

@@ -52,6 +52,12 @@ def filterbank(x: np.ndarray, rate: int = 16_000, size_s: float = 0.025, step_s:
     return np.where(e == 0, np.finfo(float).eps, e)
 
 
+def frame_energies(x: np.ndarray, rate: int = 16_000, size_s: float = 0.025, step_s: float = 0.010, nfft: int = 512, pre: float = 0.97) -> np.ndarray:
+    """V5: total energy of each frame that `filterbank` looks at, never 0."""
+    e = power_spectrum(frames(preemphasis(x, pre), round(size_s * rate), round(step_s * rate), np.hamming), nfft).sum(axis=1)
+    return np.where(e == 0, np.finfo(float).eps, e)
+
+
 def log_filterbank(x: np.ndarray, rate: int = 16_000, **how) -> np.ndarray:
     """V6: 20 log10(max(e, 1e-5)), each column less its mean."""
     v = 20 * np.log10(np.maximum(filterbank(x, rate, **how), 1e-5))

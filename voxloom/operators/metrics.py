@@ -238,6 +238,14 @@ def episode_accuracy(df: DataFrame, episode: str, right: Column) -> DataFrame:
     return each.agg(n.alias("n_episodes"), F.round(F.avg("a"), 6).alias("accuracy"), F.round(F.stddev("a"), 6).alias("std"), F.round(1.96 * F.stddev("a") / F.sqrt(n), 6).alias("ci95"))
 
 
+def threshold_split(df: DataFrame, prob: str, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """the rows at or above a threshold and those below it, each with the confidence of that decision (p or 1 - p); rows
+    without a score are in neither."""
+    p = F.col(prob).cast("double")
+    rows = df.where(p.isNotNull() & ~F.isnan(p))
+    return rows.where(p >= threshold).withColumn("confidence", p), rows.where(p < threshold).withColumn("confidence", 1 - p)
+
+
 def detector_report(df: DataFrame, prob: str, truth: Column, threshold: float = 0.5) -> DataFrame:
     """Outcome counts of a binary detector at a threshold with mean confidence p or 1 - p of each outcome; null scores drop out."""
     p = F.col(prob).cast("double")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from voxloom.common import checkpoint
 
 
+#: More classes than this are summed by (node, class) instead of one column each.
+WIDE = 200
+
+
 def class_list(labels: DataFrame, label: str = "label") -> list[str]:
     """The classes in order; their number is that of speakers, which bounds the class arrays."""
     return [r[0] for r in labels.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
@@ -42,6 +46,10 @@ def normalized(scores: Column) -> Column:
 def spread(edges: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """One product of the edge matrix with the scores: i, s. Sums are by place, so a hub's neighbours are never gathered."""
     flat = edges.join(scores.select(F.col("i").alias("j"), F.col("f")), "j")
+    if n > WIDE:  # one sum a class would be too many columns
+        cells = flat.select("i", "w", F.posexplode("f").alias("c", "x")).where("x <> 0").groupBy("i", "c").agg(F.sum(F.col("w") * F.col("x")).alias("v"))
+        held = F.map_from_entries(F.collect_list(F.struct("c", "v")))
+        return cells.groupBy("i").agg(held.alias("m")).select("i", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0.0))).alias("s"))
     sums = [F.sum(F.col("w") * F.col("f")[c]).alias(f"s{c}") for c in range(n)]
     return flat.groupBy("i").agg(*sums).select("i", F.array(*[F.col(f"s{c}") for c in range(n)]).alias("s"))
 
@@ -59,6 +67,7 @@ def propagate(
     """
     k = len(classes)
     base = checkpoint(nodes)
+    edges = edges.select("i", "j", "w").repartition("j").persist()  # every step joins them by j: laid out once
     state = base.withColumn("f", F.col("y"))
     history: list[dict] = []
     held: list[DataFrame] = []  # steps kept in memory since the last cut
@@ -93,6 +102,7 @@ def propagate(
             held.clear()
         if settled:
             break
+    edges.unpersist()  # the last step is checkpointed
     return state.select("i", "f"), history
 
 

@@ -60,6 +60,14 @@ def top_per_group_then_global(rows: DataFrame, group: str, score: str, per_group
     return head.unionByName(rest)
 
 
+def selection_by_recording(rows: DataFrame, recording: str, score: str, per_recording: int = 3) -> DataFrame:
+    """The rows of (id, recording, score, start_ms, stop_ms) of highest score in each recording, with rank and times in
+    seconds (0.0 where the name held none); ties go to the smaller id, null scores come last."""
+    top = ranked(rows.where(F.col(recording).isNotNull()), [recording], [F.col(score).desc_nulls_last(), F.col("id")], "rank").where(F.col("rank") <= per_recording)
+    sec = lambda c: F.coalesce(F.col(c) / 1000.0, F.lit(0.0))
+    return top.select("id", recording, score, "rank", sec("start_ms").alias("start"), sec("stop_ms").alias("stop"))
+
+
 def fourier_features(vec: Column, width: int, features: int = 128, gamma: float | None = None, seed: int = 42) -> Column:
     """Random Fourier features of an RBF kernel exp(-gamma |x - y|^2)."""
     gamma = gamma or 1.0 / width

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from voxloom.common import checkpoint, first_delivery, scratch_path, table, to_ms
 from voxloom.functions import scalars
 from voxloom.operators import cluster, dsp, embed, graphs, intervals, metrics, propagate, select, sequences, vectors
-from voxloom.plans.reference import KNN, MERGED, SEQ, TABLE, Query, knn, label_sequence
-from voxloom.plans.tables import AZ, EMB, GT, SEG, SMP, azure, embeddings, first_sql, gt, ms_sql, samples, segments
+from voxloom.plans.reference import KNN, MERGED, SEQ, TABLE, Query, human_edit_match, knn, label_sequence
+from voxloom.plans.reference import SQL as REFERENCE
+from voxloom.plans.tables import AZ, CHK, EMB, GT, SEG, SMP, azure, chunks, embeddings, first_sql, gt, ms_sql, samples, segments
 from voxloom.sources import readers, sinks
 
 QUERIES: dict[str, Query] = {}
@@ -289,6 +290,28 @@ def episode_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return metrics.episode_accuracy(rows, "rec_id", F.col("gt_label") == F.col("major"))
 
 
+@query(f"WITH h AS (SELECT edit_id FROM {first_sql('human_edits', 'edit_id')}), m AS ({REFERENCE['human_edit_match']}) SELECT edit_id, coalesce(action, 'unmatched') AS action, overlap_pct FROM h LEFT JOIN m USING (edit_id)")
+def matching_rows(spark: SparkSession, d: str) -> DataFrame:
+    """K8: what became of each edit"""
+    edits = first_delivery(table(spark, d, "human_edits").select("edit_id", "loaded_at"), "edit_id")
+    return sinks.matching_rows(edits, human_edit_match(spark, d))
+
+
+@query(f"WITH {SMP} SELECT sample_id, 'above' AS side, round(prob, 6) AS confidence FROM smp WHERE prob >= 0.8 UNION ALL SELECT sample_id, 'below', round(1 - prob, 6) FROM smp WHERE prob < 0.8")
+def threshold_split(spark: SparkSession, d: str) -> DataFrame:
+    """two outputs with the confidence of the decision"""
+    above, below = metrics.threshold_split(samples(spark, d).select("sample_id", "prob"), "prob", 0.8)
+    both = above.withColumn("side", F.lit("above")).unionByName(below.withColumn("side", F.lit("below")))
+    return both.select("sample_id", "side", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"WITH {CHK}, r AS (SELECT sample_id AS id, name_rec, round(1 - prob, 6) AS score, s, e, row_number() OVER (PARTITION BY name_rec ORDER BY round(1 - prob, 6) DESC NULLS LAST, sample_id) AS rank FROM chk WHERE name_rec IS NOT NULL) SELECT id, name_rec, score, rank, coalesce(s / 1000.0, 0.0) AS start, coalesce(e / 1000.0, 0.0) AS stop FROM r WHERE rank <= 3")
+def selection_by_recording(spark: SparkSession, d: str) -> DataFrame:
+    """The three least certain chunks of each recording with the times of their names"""
+    c = chunks(spark, d).select(F.col("sample_id").alias("id"), "name_rec", F.round(1 - F.col("prob"), 6).alias("score"), "start_ms", "stop_ms")
+    return select.selection_by_recording(c, "name_rec", "score")
+
+
 # ---------------------------------------------------------------- arrays, maps, ranges
 @query("SELECT merged_id, list_filter(constituent_ids, lambda x: NOT list_contains(list_slice(constituent_ids, 1, 2), x)) AS ids FROM " + first_sql("merged_samples", "merged_id") + " WHERE constituent_ids IS NOT NULL")
 def list_differences(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import wave
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +159,51 @@ def read_audio_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", base_name(F.col("path")).alias("rec_id"), F.col("content").alias("bytes"))
 
 
+def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples (-1 to 1, channels averaged) of a PCM WAV file of 8, 16, 24 or 32 bits."""
+    with wave.open(io.BytesIO(data)) as w:
+        rate, channels, width, raw = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())
+    if width == 1:
+        x = np.frombuffer(raw, np.uint8).astype(np.float64) / 128 - 1
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = (((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) ^ 0x800000) - 0x800000) / 2**23
+    else:
+        x = np.frombuffer(raw, "<i2" if width == 2 else "<i4").astype(np.float64) / 2 ** (8 * width - 1)
+    return rate, x.reshape(-1, channels).mean(axis=1)
+
+
+def read_wav(spark: SparkSession, path: str) -> DataFrame:
+    """PCM WAV files as rec_id, rate, samples (array<float>); files that can't be decoded give null samples. Two files of one
+    base name are refused."""
+    files = read_audio_bytes(spark, path)
+    twice = files.groupBy("rec_id").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"audio files of one base name: {', '.join(r['rec_id'] for r in twice)}")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rec, data in zip(pdf.rec_id, pdf.bytes, strict=True):
+                try:
+                    rate, x = decode_wav(data)
+                    out.append((rec, rate, x.astype(np.float32)))
+                except (wave.Error, EOFError):
+                    out.append((rec, None, None))
+            yield pd.DataFrame(out, columns=["rec_id", "rate", "samples"]).astype({"rate": "Int64"})
+
+    return files.select("rec_id", "bytes").mapInPandas(decode, "rec_id string, rate bigint, samples array<float>")
+
+
+def cut_audio(audio: DataFrame, intervals: DataFrame, order: list[str]) -> DataFrame:
+    """The samples of every interval (rec_id, start_ms, end_ms, ...) of a recording (rec_id, rate, samples), numbered
+    through the corpus: adds cut_no, rate, samples; what lies outside the recording is left out."""
+    numbered = running_cuts(intervals, order).join(audio.select("rec_id", "rate", "samples"), "rec_id")
+    first = F.greatest(F.lit(0), F.floor(F.col("start_ms") * F.col("rate") / 1000)).cast("int")
+    last = F.least(F.size("samples"), F.floor(F.col("end_ms") * F.col("rate") / 1000)).cast("int")
+    return numbered.withColumn("samples", F.slice("samples", first + 1, F.greatest(F.lit(0), last - first)))
+
+
 def running_cuts(rows: DataFrame, order: list[str]) -> DataFrame:
     """Intervals numbered through the whole corpus for cutting: adds `cut_no` from 0.
 

@@ -21,8 +21,9 @@ def write_predictions(df: DataFrame, path: str, places: int = 3, header: bool =
 
 
 def write_by_recording(df: DataFrame, path: str, key: str = "rec_id", header: bool = False, sep: str = ",", mode: str = "errorifexists") -> None:
-    """One folder per recording (or label); rows of one key are written by one task each `maxRecordsPerFile` rows."""
-    df.repartition(key).write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(key).csv(path, header=header, sep=sep)
+    """One folder per recording (or label). Rows of one key go to few files; Spark splits the task of a key that holds
+    much more than the others."""
+    df.hint("rebalance", key).write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy(key).csv(path, header=header, sep=sep)
 
 
 def write_selection(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -35,6 +36,11 @@ def matching_report(matches: DataFrame) -> DataFrame:
     return matches.groupBy("action").agg(F.count("*").alias("n"), F.round(F.avg("overlap_pct"), 6).alias("mean_overlap_pct"), F.sum(F.col("time_modified").cast("int")).alias("n_moved"))
 
 
+def matching_rows(edits: DataFrame, matches: DataFrame, edit_id: str = "edit_id") -> DataFrame:
+    """K8: every edit with what `match_edits` made of it: edit_id, action (`unmatched` for edits it left out), overlap_pct."""
+    return edits.select(edit_id).join(matches.select(edit_id, "action", "overlap_pct"), edit_id, "left").select(edit_id, F.coalesce("action", F.lit("unmatched")).alias("action"), "overlap_pct")
+
+
 def render_report(metrics: DataFrame, title: str) -> str:
     """K9: a small metric table as text, one `name: value` line per column; more than 1000 rows are refused."""
     rows = metrics.limit(1001).collect()
