@@ -186,3 +186,30 @@ def test_frame_energies():
     x = np.sin(np.arange(800) / 3)
     e = dsp.frame_energies(x)
     assert len(e) == len(dsp.filterbank(x)) and (e > 0).all() and dsp.frame_energies(np.zeros(800)).min() > 0
+
+
+def test_tree_of_the_complete_graph(spark):
+    df, x, _ = groups(spark, sizes=(15, 15), noise=0.2)
+    d = vectors.distances(x, x, "euclidean")
+    inside, total = {0}, 0.0
+    while len(inside) < len(x):  # Prim
+        a, b = min(((i, j) for i in inside for j in range(len(x)) if j not in inside), key=lambda e: d[e])
+        inside.add(b)
+        total += d[a, b]
+    got = graphs.spanning_tree(df.select("id", "vec"), 3).collect()
+    assert len(got) == len(x) - 1 and abs(sum(r.d for r in got) - total) < 1e-6
+
+
+def test_grid_of_parameters(spark):
+    df, _, _ = groups(spark, sizes=(25, 25), noise=0.2)
+    rows = cluster.score_grid(df.select("id", "vec"), [{"k": 2}, {"k": 4}], 2, lambda v, seed, k: cluster.kmeans(v, k, 1, seed))
+    assert [(r["k"], r["seed"], r["n_clusters"]) for r in rows] == [(2, 0, 2), (2, 1, 2), (4, 0, 4), (4, 1, 4)]
+    assert rows[0]["silhouette"] > 0.6 > 0 < rows[0]["membership_pct"] == 100.0
+
+
+def test_log_is_appended(spark, tmp_path):
+    from voxloom.sources import sinks
+
+    sinks.append_log(spark, str(tmp_path / "log"), ["one", "two"])
+    sinks.append_log(spark, str(tmp_path / "log"), ["three"])
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["one", "three", "two"]

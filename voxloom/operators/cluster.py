@@ -14,7 +14,7 @@ from voxloom.common import checkpoint
 from voxloom.functions.scalars import cluster_count_score, membership_score
 from voxloom.operators.components import connected_components
 from voxloom.operators.graphs import joining_edges, middle_distance, mutual_reachability, with_bound
-from voxloom.operators.vectors import exact_neighbours, fit_pca, apply_matrix
+from voxloom.operators.vectors import apply_matrix, exact_neighbours, fit_pca, silhouettes
 
 #: Largest tree whose hierarchy one task condenses; `density_clusters` refuses larger input.
 MAX_TREE_EDGES = 5_000_000
@@ -165,6 +165,20 @@ def choose_model(runs: Iterable[tuple[dict, Callable[[], DataFrame]]], least: in
     return best and (best[1], best[2])
 
 
+def score_grid(vectors: DataFrame, grid: list[dict], repeats: int, make: Callable[..., DataFrame]) -> list[dict]:
+    """Every parameter set of a grid run `repeats` times by `make(vectors, seed=, **params)` (id, cluster): clusters, membership, the
+    mean of the two score curves and the mean silhouette of the rows in a cluster (None with fewer than two clusters)."""
+    out = []
+    for params in grid:
+        for seed in range(repeats):
+            found = checkpoint(make(vectors, seed=seed, **params))
+            row = cluster_summary(found).select("n_clusters", "membership_pct", ((cluster_count_score(F.col("n_clusters").cast("double")) + membership_score(F.col("membership_pct"))) / 2).alias("score")).first()
+            inside = found.where(F.col("cluster") >= 0).join(vectors.select("id", "vec"), "id") if "vec" not in found.columns else found.where(F.col("cluster") >= 0)
+            quality = silhouettes(inside.select("id", "vec", "cluster"), "cluster").agg(F.avg("silhouette")).first()[0] if row["n_clusters"] > 1 else None
+            out.append({**params, "seed": seed, **row.asDict(), "silhouette": quality})
+    return out
+
+
 def kmeans(vectors: DataFrame, k: int = 10, n_init: int = 10, seed: int = 42) -> DataFrame:
     """C4: k-means, best of `n_init` seeded starts: id, vec, cluster."""
     from pyspark.ml.clustering import KMeans
@@ -176,10 +190,11 @@ def kmeans(vectors: DataFrame, k: int = 10, n_init: int = 10, seed: int = 42) ->
     return best.transform(data).select("id", "vec", F.col("prediction").alias("cluster"))
 
 
-def cluster_profile(rows: DataFrame, label: str, prob: str, outlier: str) -> DataFrame:
-    """Size, mean, least and largest probability and mean outlier score of each cluster (null and -1 don't count)."""
+def cluster_profile(rows: DataFrame, label: str, prob: str, outlier: str, core: str | None = None) -> DataFrame:
+    """Size, mean, least and largest probability, mean outlier score and, with `core`, mean core distance of each
+    cluster (null and -1 don't count)."""
     p, o = (F.when(~F.isnan(F.col(c)), F.col(c).cast("double")) for c in (prob, outlier))
-    return rows.where(F.col(label).isNotNull() & (F.col(label) != -1)).groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean_prob"), F.round(F.min(p), 6).alias("min_prob"), F.round(F.max(p), 6).alias("max_prob"), F.round(F.avg(o), 6).alias("mean_outlier"))
+    return rows.where(F.col(label).isNotNull() & (F.col(label) != -1)).groupBy(label).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("mean_prob"), F.round(F.min(p), 6).alias("min_prob"), F.round(F.max(p), 6).alias("max_prob"), F.round(F.avg(o), 6).alias("mean_outlier"), *([F.round(F.avg(core), 6).alias("mean_core")] if core else []))
 
 
 def cluster_histogram(rows: DataFrame, label: str, truth: str) -> DataFrame:

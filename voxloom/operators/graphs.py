@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voxloom.common import checkpoint
 from voxloom.operators.components import SOLO_EDGES, connected_components
 from voxloom.operators.ordered import exact_quantiles
-from voxloom.operators.vectors import BLOCK_ROWS, as_matrix, distances
+from voxloom.operators.vectors import BLOCK_ROWS, as_matrix, distances, exact_neighbours
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -31,12 +31,13 @@ def middle_distance(knn: DataFrame) -> float | None:
     return got["q"][0] if got else None
 
 
-def affinity(knn: DataFrame, method: str = "rbf", sigma: float | None = None, symmetric: bool = True) -> DataFrame:
-    """G1: neighbour distances (i, j, dist) as affinities, with 0.1 on the diagonal.
+def affinity(knn: DataFrame, method: str = "rbf", sigma: float | None = None, symmetric: bool = True, k: int | None = None) -> DataFrame:
+    """G1: neighbour distances (i, j, dist) as affinities, with 0.1 on the diagonal; with `k` only the k nearest of each row (by rank).
 
     `rbf`: exp(-d^2 / 2 sigma^2), sigma the median positive distance unless given (A13); `inverse`: 1 / (1 + d).
     `symmetric` takes the mean of both directions (a missing one counts 0).
     """
+    knn = knn if k is None else knn.where(F.col("rank") <= k)
     if method == "rbf" and sigma is None:
         sigma = middle_distance(knn.where("dist > 0")) or 1.0
     w = F.exp(-F.col("dist") * F.col("dist") / (2 * sigma * sigma)) if method == "rbf" else 1 / (1 + F.col("dist"))
@@ -237,6 +238,14 @@ def with_bound(rows: DataFrame, knn: DataFrame) -> DataFrame:
     return rows.join(last, "id", "left").withColumn("bound", bound).drop("last", "listed")
 
 
+def spanning_tree(vectors: DataFrame, k: int = 10, metric: str = "euclidean") -> DataFrame:
+    """Exact minimum spanning tree of the complete graph of (id, vec): i < j, d. The k nearest neighbours spare most of the
+    search and never decide (`joining_edges`)."""
+    near = checkpoint(exact_neighbours(vectors, vectors, k, metric))
+    rows = vectors.select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.lit(0.0).alias("core"), F.col("id").cast("bigint").alias("comp"))
+    return joining_edges(with_bound(rows, near), near.select("i", "j", F.col("dist").alias("d")), metric)
+
+
 def add_tree_edges(graph: DataFrame, tree: DataFrame, sigma: float) -> DataFrame:
     """Raise the affinities of the tree's edges to exp(-d / sigma), both directions; other edges stay."""
     extra = both_ways(tree.select("i", "j", F.exp(-F.col("d") / sigma).alias("w")))

@@ -160,7 +160,7 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
         return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0))
     if metric == "manhattan":
-        return np.stack([np.abs(b - row).sum(axis=1) for row in a])
+        return np.concatenate([np.abs(a[lo : lo + 16, None, :] - b[None]).sum(axis=2) for lo in range(0, len(a), 16)]) if len(a) else np.zeros((0, len(b)))
     raise ValueError(f"unknown metric {metric!r}")
 
 

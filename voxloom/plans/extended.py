@@ -161,6 +161,15 @@ def dataset_files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(f"WITH {SEG} SELECT merged_id, s, CASE WHEN merged_id % 4 = 1 THEN 'new' ELSE 'old' END AS state, CAST(merged_id % 4 AS INTEGER) AS part FROM seg")
+def replaced_groups(spark: SparkSession, d: str) -> DataFrame:
+    """K3: one group of a dataset replaced, the others kept"""
+    path, s = scratch_path(spark), segments(spark, d).select("merged_id", F.col("start_ms").alias("s"), F.pmod("merged_id", F.lit(4)).cast("int").alias("part"))
+    sinks.replace_groups(s.withColumn("state", F.lit("old")), path, ["part"])
+    sinks.replace_groups(s.where("part = 1").withColumn("state", F.lit("new")), path, ["part"])
+    return spark.read.parquet(path).select("merged_id", "s", "state", "part")
+
+
 @query(f"WITH {SEG} SELECT CAST(merged_id AS VARCHAR) AS merged_unique_id, gt_label, cluster_label AS hdbscan_label, round(prob, 4) AS hdbscan_prob FROM seg")
 def lp_result_files(spark: SparkSession, d: str) -> DataFrame:
     """Propagation results as CSV with header"""
@@ -439,6 +448,31 @@ def self_training(spark: SparkSession, d: str) -> DataFrame:
     return propagate.self_training(nodes, s.select(F.col("sample_id").alias("i"), F.col("cluster_label").cast("string").alias("lp_label"), F.col("prob").alias("lp_confidence")))
 
 
+@query(f"WITH {KNN}, m AS (SELECT median(dist) AS s FROM kn WHERE rank <= 3 AND dist > 0), w AS (SELECT i, j, exp(-dist * dist / (2 * s * s)) AS w FROM kn, m WHERE rank <= 3), b AS (SELECT i, j, w FROM w UNION ALL SELECT j, i, w FROM w) SELECT i, j, round(sum(w) / 2, 6) AS w FROM b GROUP BY i, j UNION ALL SELECT DISTINCT i, i, 0.1 FROM b")
+def sparse_affinity(spark: SparkSession, d: str) -> DataFrame:
+    """G1: cut to the three nearest"""
+    return graphs.affinity(knn(spark, d, 5), k=3).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {KNN} SELECT i, j, round(1 / (1 + dist), 6) AS w FROM kn UNION ALL SELECT DISTINCT i, i, 0.1 FROM (SELECT i FROM kn UNION SELECT j FROM kn)")
+def inverse_affinity(spark: SparkSession, d: str) -> DataFrame:
+    """G1: 1 / (1 + d), one-sided"""
+    return graphs.affinity(knn(spark, d, 5), "inverse", symmetric=False).select("i", "j", F.round("w", 6).alias("w"))
+
+
+@query(f"WITH {EMB}, k AS (SELECT a.id AS i, b.id AS j, round(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: abs(p[1] - p[2]))), 6) AS dist FROM emb a JOIN emb b ON a.id <> b.id AND a.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM k) SELECT i, j, dist, rank FROM r WHERE rank <= 5")
+def manhattan_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Manhattan distances, for ids divisible by 100"""
+    e = embeddings(spark, d)
+    return vectors.exact_neighbours(e.where("id % 100 = 0"), e, 5, "manhattan").select("i", "j", F.round("dist", 6).alias("dist"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def complete_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Exact spanning tree of the complete graph"""
+    return graphs.spanning_tree(embeddings(spark, d).select("id", "vec")).select("i", "j", F.round("d", 6).alias("d"))
+
+
 @query()
 def anchored_propagation(spark: SparkSession, d: str) -> DataFrame:
     """Until the largest change is below 1e-6, with margin confidence"""

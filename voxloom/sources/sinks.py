@@ -11,6 +11,16 @@ def write_dataset(df: DataFrame, path: str, partition_by: list[str] | None = Non
     df.write.mode(mode).parquet(path, partitionBy=partition_by)
 
 
+def replace_groups(df: DataFrame, path: str, groups: list[str]) -> None:
+    """K3: write a dataset partitioned by `groups`, replacing only the groups that `df` has rows of."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*groups).parquet(path)
+
+
+def append_log(spark, path: str, lines: list[str]) -> None:
+    """Append lines to a log folder, one file for each call."""
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def write_predictions(df: DataFrame, path: str, places: int = 3, header: bool = True, sep: str = "\t", mode: str = "errorifexists") -> None:
     """rec_id, label, start_ms, end_ms, ... sorted by (rec_id, start_ms) with seconds to fixed places; the label is
     lp_label where there is one, else the cluster's (Q23)."""
