@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.common import checkpoint, first_delivery
-from voxloom.llm.neighbours import SALTS, best_partners, by_length, clean_vectors, curve_neighbours, matrix, unit_rows
+from voxloom.llm.neighbours import SALTS, by_length, clean_vectors, curve_neighbours, matrix, unit_rows
 from voxloom.operators.components import connected_components
 
 #: Neighbours kept for each row; curves that seed them and rows seen on either side along each.
