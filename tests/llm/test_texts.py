@@ -103,12 +103,18 @@ def test_tokens(spark):
 
 # ---------------------------------------------------------------- personal information
 def test_held_out_accuracy():
+    """Another seed than the one fitted on. Names off the list that stand in lower case, which the generator of the first round
+    did not make, are counted apart: nothing marks them but what stands around."""
     w = P.fitted_weights()
-    true = found = hit = 0
-    for text, spans in P.invented(600, 991):  # another seed than the one fitted on
+    true = found = hit = bare = bare_hit = 0
+    for text, spans in P.invented(600, 991):
         got = {tuple(s[:3]) for s in P.decode(P.segments(text), w)}
-        true, found, hit = true + len(spans), found + len(got), hit + len(got & set(spans))
+        unmarked = {x for x in spans if x[2] == "person_name" and text[x[0] : x[1]].islower() and not P.GIVEN_NAMES & set(P.WORDS.findall(text[x[0] : x[1]]))}
+        bare, bare_hit = bare + len(unmarked), bare_hit + len(unmarked & got)
+        true, found, hit = true + len(set(spans) - unmarked), found + len(got - unmarked), hit + len(got & (set(spans) - unmarked))
     assert hit / true > 0.97 and hit / found > 0.97
+    print(bare, bare_hit, hit / true, hit / found)
+    assert bare > 20 and bare_hit / bare > 0.5
 
 
 def test_another_source():

@@ -356,6 +356,8 @@ def name_segments(text: str, lexicon: Lexicon) -> Iterator[Segment]:
         low = info[i - 1][0]
         if low in TITLES and gap in (" ", ". "):
             return "title"
+        if len(words[i - 1][2]) == 1 and gap in (". ", "."):
+            return "initial"
         if gap == " ":
             kinds = (("article", ARTICLES), ("place", PLACE_WORDS), ("cue", NAME_CUES))
             named = next((name for name, listed in kinds if low in listed), None)
@@ -583,9 +585,9 @@ def _thing(r: random.Random) -> str:
     a, b = _noun(r).title(), _drawn(r, r.choice("UUP")).title()
     other, article = _drawn(r, r.choice("UUPC")).title(), r.choice(_LISTS["article"])
     return r.choice([
-        f"{a} {b}", f"{b} {a}", f"{article} {b} {a}", f"{article} {a} {b}", f"{article} {b} {other}", f"{article} {other} {b}", f"{article} {b} {other} {_noun(r)}", f"the {b} {_noun(r)}", f"{a} {_noun(r).title()}", f"{article} {a} of {b}",
-        f"{a} {b} {_noun(r).title()}", f"{b}", f"{b} {_noun(r)}", f"{a} {r.randint(1, 99)}", f"{_drawn(r, 'L').title()} {r.choice(_LISTS['place'])}",
-    ])
+        lambda: f"{a} {b}", lambda: f"{b} {a}", lambda: f"{article} {b} {a}", lambda: f"{article} {a} {b}", lambda: f"{article} {b} {other}", lambda: f"{article} {other} {b}", lambda: f"{article} {b} {other} {_noun(r)}", lambda: f"the {b} {_noun(r)}", lambda: f"{a} {_noun(r).title()}", lambda: f"{article} {a} of {b}",
+        lambda: f"{a} {b} {_noun(r).title()}", lambda: f"{b}", lambda: f"{b} {_noun(r)}", lambda: f"{a} {r.randint(1, 99)}", lambda: f"{_drawn(r, 'L').title()} {r.choice(_LISTS['place'])}",
+    ])()
 
 
 def _figure(r: random.Random) -> str:
@@ -594,7 +596,7 @@ def _figure(r: random.Random) -> str:
     chain = r.choice([" ", "-", ".", "/"]).join(_digits(r, r.randint(1, 5)) for _ in range(r.randint(2, 4)))
     alike = r.choice(" -").join(_digits(r, k) for k in [r.randint(2, 4)] * r.randint(2, 4))
     bank = f"{_word(r, 1)[:2].upper()}{_digits(r, 2)} " + " ".join(_digits(r, 4) for _ in range(r.randint(3, 5))) + f" {_digits(r, 2)}"
-    return r.choice([str(n), f"{n}.{_digits(r, 3)}", chain, alike, alike, bank, " ".join(_digits(r, 4) for _ in range(4)), _digits(r, r.choice([4, 5, 6])), f"20{_digits(r, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(1, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", f"{_word(r, 1)}_{n}_{_digits(r, 3)}", f"{_word(r, 1).upper()[:2]}{n}_{_digits(r, 2)}", f"{r.randint(1, 9)}.{n}.{r.randint(0, 9)}"])
+    return r.choice([lambda: str(n), lambda: f"{n}.{_digits(r, 3)}", lambda: chain, lambda: alike, lambda: alike, lambda: bank, lambda: " ".join(_digits(r, 4) for _ in range(4)), lambda: _digits(r, r.choice([4, 5, 6])), lambda: f"20{_digits(r, 2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", lambda: f"{r.randint(1, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", lambda: f"{_word(r, 1)}_{n}_{_digits(r, 3)}", lambda: f"{_word(r, 1).upper()[:2]}{n}_{_digits(r, 2)}", lambda: f"{r.randint(1, 9)}.{n}.{r.randint(0, 9)}"])()
 
 
 def _foreign(r: random.Random) -> str:
@@ -602,19 +604,19 @@ def _foreign(r: random.Random) -> str:
     u, big = lambda: _drawn(r, r.choice("UUUPC")), lambda: _drawn(r, r.choice("UUPPC")).title()
     name = _drawn(r, "U").title()
     return r.choice([
-        f"{r.choice(['der', 'die', 'das', 'ein', 'eine'])} {big()} {u()} {r.choice(['den', 'die', 'das', 'mit', 'am'])} {big()} {r.choice(['der', 'des', 'von', 'zu', 'und', 'mit'])} {big()}", f"{r.choice(['am', 'zum', 'im', 'bitte', 'zuerst'])} {big()} der {big()} {u()} {u()} wir",
-        f"{r.choice(['el', 'la', 'un', 'una', 'todo'])} {u()} {u()} {r.choice(['la', 'el', 'los', 'de', 'con', 'y el'])} {u()} {r.choice(['de', 'del', 'por', 'y', 'en'])} {u()}", f"{u()} {u()}, {u()} {u()} {r.choice(['und', 'y', 'and'])} {u()} {u()}", f"bitte {u()} {u()}", f"{u()}, {u()} {u()} {r.randint(1, 99)}",
-        f"quiero {u()} las {u()} y luego {u()} la {u()}", f"{u()} {r.choice(['de', 'von', 'in', 'zu', 'a'])} {name} {u()}", f"so i {u()} and i {u()} it, {r.choice(['you', 'we', 'they'])} {u()} {u()}", f"{u()} {u()} {u()} {u()}", f"{r.choice(['der', 'die', 'das', 'den', 'el', 'la'])} {big()} {name} {u()} {r.randint(1, 999)} {big()}", f"{u()} {r.choice(['den', 'das', 'die', 'los', 'la'])} {u()} {name} {_drawn(r, 'U').title()} {u()}", f"{u()} {r.choice(['das', 'die', 'der'])} {big()} {name} {big()} {u()}", f"the {_noun(r)} for {u()} {u()} and the {_noun(r)} {u()}", f"{big()} {u()} {u()} {r.choice(['la', 'der', 'the'])} {u()}", f"{r.choice(['mit', 'con', 'von', 'por', 'und'])} {r.choice(['der', 'die', 'la', 'el', 'dem'])} {big()} {u()}",
-    ])
+        lambda: f"{r.choice(['der', 'die', 'das', 'ein', 'eine'])} {big()} {u()} {r.choice(['den', 'die', 'das', 'mit', 'am'])} {big()} {r.choice(['der', 'des', 'von', 'zu', 'und', 'mit'])} {big()}", lambda: f"{r.choice(['am', 'zum', 'im', 'bitte', 'zuerst'])} {big()} der {big()} {u()} {u()} wir",
+        lambda: f"{r.choice(['el', 'la', 'un', 'una', 'todo'])} {u()} {u()} {r.choice(['la', 'el', 'los', 'de', 'con', 'y el'])} {u()} {r.choice(['de', 'del', 'por', 'y', 'en'])} {u()}", lambda: f"{u()} {u()}, {u()} {u()} {r.choice(['und', 'y', 'and'])} {u()} {u()}", lambda: f"bitte {u()} {u()}", lambda: f"{u()}, {u()} {u()} {r.randint(1, 99)}",
+        lambda: f"quiero {u()} las {u()} y luego {u()} la {u()}", lambda: f"{u()} {r.choice(['de', 'von', 'in', 'zu', 'a'])} {name} {u()}", lambda: f"so i {u()} and i {u()} it, {r.choice(['you', 'we', 'they'])} {u()} {u()}", lambda: f"{u()} {u()} {u()} {u()}", lambda: f"{r.choice(['der', 'die', 'das', 'den', 'el', 'la'])} {big()} {name} {u()} {r.randint(1, 999)} {big()}", lambda: f"{u()} {r.choice(['den', 'das', 'die', 'los', 'la'])} {u()} {name} {_drawn(r, 'U').title()} {u()}", lambda: f"{u()} {r.choice(['das', 'die', 'der'])} {big()} {name} {big()} {u()}", lambda: f"the {_noun(r)} for {u()} {u()} and the {_noun(r)} {u()}", lambda: f"{big()} {u()} {u()} {r.choice(['la', 'der', 'the'])} {u()}", lambda: f"{r.choice(['mit', 'con', 'von', 'por', 'und'])} {r.choice(['der', 'die', 'la', 'el', 'dem'])} {big()} {u()}",
+    ])()
 
 
 def _plain(r: random.Random) -> str:
     """A sentence without personal information, from a small grammar."""
-    subject = r.choice([_thing(r), f"the {_noun(r)}", f"every {_noun(r)}", f"a {_noun(r)} {_noun(r)}", "we", "nobody", _thing(r)])
-    rest = r.choice([f"the {_noun(r)}", _thing(r), f"{_figure(r)} {_noun(r)}", f"{r.choice(_LISTS['code'])} {_figure(r)}", f"a {_noun(r)} at {_figure(r)}", f"a {_noun(r)} in {_drawn(r, 'U').title()}", f"it near {_thing(r)}", f"{_drawn(r, 'U').title()}, {_drawn(r, 'P').title()} and {_drawn(r, 'U').title()}", f"the {_noun(r)} at {_thing(r)}"])
-    end = r.choice(["", "", f" in {_drawn(r, 'U').title()}", f" with the {_noun(r)}", f" near {_thing(r)}", f" from {_drawn(r, 'U').title()}, {_drawn(r, 'P').title()}", f" {r.choice(['in', 'near', 'of', 'toward'])} {_drawn(r, 'U').title()} {_drawn(r, 'U').title()}", " on Monday", f" {_figure(r)}", f" for {_noun(r)} {_figure(r)}"])
+    subject = r.choice([lambda: _thing(r), lambda: f"the {_noun(r)}", lambda: f"every {_noun(r)}", lambda: f"a {_noun(r)} {_noun(r)}", lambda: "we", lambda: "nobody", lambda: _thing(r)])()
+    rest = r.choice([lambda: f"the {_noun(r)}", lambda: _thing(r), lambda: f"{_figure(r)} {_noun(r)}", lambda: f"{r.choice(_LISTS['code'])} {_figure(r)}", lambda: f"a {_noun(r)} at {_figure(r)}", lambda: f"a {_noun(r)} in {_drawn(r, 'U').title()}", lambda: f"it near {_thing(r)}", lambda: f"{_drawn(r, 'U').title()}, {_drawn(r, 'P').title()} and {_drawn(r, 'U').title()}", lambda: f"the {_noun(r)} at {_thing(r)}"])()
+    end = r.choice([lambda: "", lambda: "", lambda: f" in {_drawn(r, 'U').title()}", lambda: f" with the {_noun(r)}", lambda: f" near {_thing(r)}", lambda: f" from {_drawn(r, 'U').title()}, {_drawn(r, 'P').title()}", lambda: f" {r.choice(['in', 'near', 'of', 'toward'])} {_drawn(r, 'U').title()} {_drawn(r, 'U').title()}", lambda: " on Monday", lambda: f" {_figure(r)}", lambda: f" for {_noun(r)} {_figure(r)}"])()
     s = f"{subject} {r.choice(VERBS)} {rest}{end}"
-    s = r.choice([s, s, s, f"then {s}", f"{r.choice(_LISTS['code'])} {_figure(r)}: {s}", f"{_noun(r)} {_figure(r)} {r.choice(VERBS)} {rest}", f"{_noun(r)} {_figure(r)} is {_noun(r)}", f"{_thing(r)}: {_figure(r)}", f"at {_figure(r)} {s}", _foreign(r), _foreign(r), f"hay {r.randint(1, 99)} {_noun(r)} en la {_noun(r)} {_drawn(r, 'U').title()}", f"am Montag waren {r.randint(1, 99)} {_noun(r).title()} im {_noun(r).title()}", f"{_noun(r)} @{_word(r)}_{r.randint(1, 99)} {r.choice(VERBS)} it"])
+    s = r.choice([lambda: s, lambda: s, lambda: s, lambda: f"then {s}", lambda: f"{r.choice(_LISTS['code'])} {_figure(r)}: {s}", lambda: f"{_noun(r)} {_figure(r)} {r.choice(VERBS)} {rest}", lambda: f"{_noun(r)} {_figure(r)} is {_noun(r)}", lambda: f"{_thing(r)}: {_figure(r)}", lambda: f"at {_figure(r)} {s}", lambda: _foreign(r), lambda: _foreign(r), lambda: f"hay {r.randint(1, 99)} {_noun(r)} en la {_noun(r)} {_drawn(r, 'U').title()}", lambda: f"am Montag waren {r.randint(1, 99)} {_noun(r).title()} im {_noun(r).title()}", lambda: f"{_noun(r)} @{_word(r)}_{r.randint(1, 99)} {r.choice(VERBS)} it"])()
     return s[:1].upper() + s[1:] + r.choice([".", ".", ".", "!", "?", ""])
 
 
