@@ -149,6 +149,38 @@ def test_propagation_query_runs_to_its_stop(spark, small, monkeypatch):
     assert np.allclose(got.lp_confidence, f.max(axis=1), atol=2e-6)
 
 
+def test_propagation_query_does_not_start_jobs_for_every_step(spark, small):
+    sc = spark.sparkContext
+    sc.setJobGroup("propagation", "")
+    try:
+        assert R.propagation_converged(spark, small).count() == 500
+        started = len(sc.statusTracker().getJobIdsForGroup("propagation"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < started < 100  # 100 steps to the stop
+
+
+@pytest.mark.parametrize("how", [{}, {"weak": 0.05}, {"clamp": True}])
+def test_propagation_in_one_task_and_in_steps(spark, how):
+    far = 2**60  # as a float it is no number of its own
+    edges = [(far + a, far + b, w) for a, b, w in [(0, 1, 0.6), (0, 2, 0.4), (1, 0, 1.0), (2, 3, 0.5), (2, 1, 0.5), (3, 9, 0.7), (3, 2, 0.3), (9, 1, 1.0), (5, 0, 0.0)]]
+    w = spark.createDataFrame([*edges, (far, None, 0.5), (None, far, 0.5), (far + 1, far + 2, None)], "i bigint, j bigint, w double")
+    nodes = [(far, "a", None, None), (far + 1, "b", "b", 0.9), (far + 2, None, "a", 0.8), (far + 3, None, "b", 0.1), (far + 4, None, None, None), (far + 5, None, "x", 0.9), (None, "a", None, None)]
+    start = P.initial_scores(spark.createDataFrame(nodes, "i bigint, label string, prior string, conf double"), ["a", "b"], "prior", "conf")
+    one, steps = (P.propagate(w, start, ["a", "b"], max_iter=4, solo_cells=cells, **how) for cells in (1000, 0))
+    ends = [{r.i: r.f for r in f.collect()} for f, _ in (one, steps)]
+    assert ends[0].keys() == ends[1].keys() == {far + x for x in range(6)}
+    assert all(np.allclose(ends[0][i], ends[1][i], rtol=0, atol=1e-12) for i in ends[0])
+    assert [h["iteration"] for h in one[1]] == [h["iteration"] for h in steps[1]] == [1, 2, 3, 4]
+    assert all(np.isclose(a[c], b[c], atol=1e-12) for a, b in zip(one[1], steps[1], strict=True) for c in a)
+    tol = 1.001 * one[1][1]["delta"]
+    settled = [P.propagate(w, start, ["a", "b"], tol=tol, solo_cells=cells, **how)[1] for cells in (1000, 0)]
+    assert len(settled[0]) == len(settled[1]) <= 2 and settled[0][-1]["delta"] < tol
+    with pytest.raises(ValueError):
+        P.propagate(w, start.union(start), ["a", "b"])
+    assert P.propagate(w, start.where("i < 0"), ["a", "b"])[0].count() == 0
+
+
 def test_density_clusters(spark, data):
     got = C.density_clusters(data.select("id", "vec"), 10, 4, 25).collect()
     truth = {r.id: r.label for r in data.collect()}

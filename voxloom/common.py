@@ -73,6 +73,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 _WRITTEN: list = []
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that `checkpoint` gave, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def clear_checkpoints() -> None:
     """Delete what `checkpoint` wrote so far. Runs at exit; a long session may call it once its results are written."""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxloom.common import checkpoint
+from voxloom.common import checkpoint, forget
 
 
 #: More classes than this are summed by (node, class) instead of one column each.
 WIDE = 200
 
+#: Graphs of up to so many (edges + nodes) * classes are propagated by one task.
+SOLO_CELLS = 10_000_000
+
 
 def class_list(labels: DataFrame, label: str = "label") -> list[str]:
     """The classes in order; their number is that of speakers, which bounds the class arrays."""
@@ -54,53 +59,88 @@ def spread(edges: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     return flat.groupBy("i").agg(*sums).select("i", F.array(*[F.col(f"s{c}") for c in range(n)]).alias("s"))
 
 
+def anchored_nodes(nodes: DataFrame, classes: list[str], alpha: float, manual: float, weak: float, weak_least: float, clamp: bool) -> DataFrame:
+    """i, y and what a step makes of the sum s over the neighbours of a node: keep * s + anchor, before rows are normalised.
+
+    It is the same in every step. Nodes without an id have no edges and are left out.
+    """
+    keep, none = F.lit(1.0), F.array_repeat(F.lit(0.0), len(classes))
+    if clamp:
+        anchor = F.transform("y", lambda x: (1 - alpha) * x)
+    else:
+        known = F.col("label").isNotNull()
+        keep, anchor = F.when(known, 1.0 - manual), F.when(known, F.transform(one_hot(F.col("label"), classes), lambda x: manual * x))
+        if weak:
+            sure, strength = F.col("prior").isin(*classes) & (F.col("conf") >= weak_least), weak * F.col("conf")
+            keep, anchor = keep.when(sure, 1 - strength), anchor.when(sure, F.transform(one_hot(F.col("prior"), classes), lambda x: strength * x))
+        keep, anchor = keep.otherwise(1.0), anchor.otherwise(none)
+    return nodes.where("i is not null").select("i", "y", keep.cast("double").alias("keep"), anchor.alias("anchor"))
+
+
+def propagate_solo(edges: pd.DataFrame, nodes: pd.DataFrame, alpha: float, max_iter: int, tol: float) -> pd.DataFrame:
+    """All steps over a small graph: the rows of `i`, `f` and a row of `step`, `delta`, `confidence`, `entropy` for each step."""
+    at = pd.Index(nodes.i)
+    to, of = at.get_indexer(edges.i), at.get_indexer(edges.j)
+    given = (to >= 0) & (of >= 0)
+    order = np.lexsort((of[given], to[given]))
+    to, of, w = to[given][order], of[given][order], edges.w.to_numpy(float)[given][order]
+    f, anchor, keep = np.stack(nodes.y.to_list(), 1).astype(float), np.stack(nodes.anchor.to_list(), 1).astype(float), nodes.keep.to_numpy(float)
+    steps = []
+    for step in range(max_iter):
+        new = np.stack([np.bincount(to, w * x[of], len(at)) for x in f])
+        new = new * alpha * keep + anchor
+        total = new.sum(0)
+        new /= np.where(total == 0, 1.0, total)
+        steps.append((step + 1, np.abs(new - f).sum(), new.max(0).mean(), -(new * np.log(new + 1e-10)).sum(0).mean()))
+        f = new
+        if steps[-1][1] < tol:
+            break
+    n, m = [None] * len(at), [None] * len(steps)
+    history = {c: pd.Series(n + [x[p] for x in steps], dtype=object) for p, c in enumerate(("step", "delta", "confidence", "entropy"))}
+    return pd.DataFrame({"i": pd.Series(nodes.i.tolist() + m, dtype=object), "f": list(f.T) + m, **history})  # objects: a null would turn ids into floats
+
+
 def propagate(
     edges: DataFrame, nodes: DataFrame, classes: list[str], *, alpha: float = 0.95, manual: float = 0.2, weak: float = 0.0, weak_least: float = 0.7, clamp: bool = False,
-    max_iter: int = 100, tol: float = 1e-6, cut_every: int = 5,
+    max_iter: int = 100, tol: float = 1e-6, solo_cells: int = SOLO_CELLS,
 ) -> tuple[DataFrame, list[dict]]:
     """Propagate class scores until they settle; returns (i, f) and the history of delta, confidence, entropy.
 
     `edges` (i, j, w) with rows that sum to 1; `nodes` i, y, label and for weak anchors prior, conf. A step
     takes alpha * W f, mixes in the label of labelled nodes with strength `manual` and the prior of
     confident ones with `weak` * conf, and normalises rows. With `clamp` it is alpha * W f + (1 - alpha) * y
-    without anchors. The lineage is cut by a checkpoint every `cut_every` steps.
+    without anchors. Up to `solo_cells` products of edges and classes, one task makes all steps; beyond that every step is a
+    distributed one, checkpointed, with the same result. A node given twice is refused; the history of an empty table is empty.
     """
     k = len(classes)
-    base = checkpoint(nodes)
-    edges = edges.select("i", "j", "w").repartition("j").persist()  # every step joins them by j: laid out once
-    state = base.withColumn("f", F.col("y"))
-    history: list[dict] = []
-    held: list[DataFrame] = []  # steps kept in memory since the last cut
+    base = checkpoint(anchored_nodes(nodes, classes, alpha, manual, weak, weak_least, clamp))
+    edges = checkpoint(edges.select("i", "j", "w").where("i is not null and j is not null and w is not null"))
+    n, own = base.agg(F.count("i"), F.count_distinct("i")).first()
+    if own < n:
+        raise ValueError(f"{n - own} nodes are given twice")
+    if not n:
+        return base.select("i", F.col("y").alias("f")), []
+    if (edges.count() + n) * k <= solo_cells:
+        kind = base.schema["i"].dataType.simpleString()
+        whole, both = edges.withColumn("part", F.lit(0)).groupBy("part"), base.withColumn("part", F.lit(0)).groupBy("part")
+        got = checkpoint(whole.cogroup(both).applyInPandas(lambda e, v: propagate_solo(e, v, alpha, max_iter, tol), f"i {kind}, f array<double>, step int, delta double, confidence double, entropy double"))
+        seen = got.where("step is not null").select(F.col("step").alias("iteration"), "delta", "confidence", "entropy").orderBy("step").collect()
+        return got.where("step is null").select("i", "f"), [r.asDict() for r in seen]
+    edges = edges.repartition("j").persist()  # every step joins them by j: laid out once
+    state, history = base.withColumn("f", F.col("y")), []
     for step in range(max_iter):
-        moved = base.join(spread(edges, state, k), "i", "left").join(state.select("i", F.col("f").alias("old")), "i")
         s = F.coalesce(F.transform("s", lambda x: x * alpha), F.array_repeat(F.lit(0.0), k))
-        if clamp:
-            f = F.zip_with(s, F.col("y"), lambda a, b: a + (1 - alpha) * b)
-        else:
-            f = F.when(F.col("label").isNotNull(), F.zip_with(s, one_hot(F.col("label"), classes), lambda a, b: (1 - manual) * a + manual * b))
-            if weak:
-                strength = weak * F.col("conf")
-                anchored = F.zip_with(s, one_hot(F.col("prior"), classes), lambda a, b: (1 - strength) * a + strength * b)
-                f = f.when(F.col("prior").isin(*classes) & (F.col("conf") >= weak_least), anchored)
-            f = f.otherwise(s)
-        moved = moved.select(*base.columns, "old", normalized(f).alias("f"))
-        if (step + 1) % cut_every == 0 or step + 1 == max_iter:
-            moved = checkpoint(moved)
-        else:
-            moved = moved.persist()
-            held.append(moved)
+        new = normalized(F.zip_with(s, "anchor", lambda a, b: F.col("keep") * a + b))
+        moved = state.join(spread(edges, state, k), "i", "left").select("i", "keep", "anchor", F.col("f").alias("old"), new.alias("f"))
         gap = F.aggregate(F.zip_with("f", "old", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
         ent = -F.aggregate(F.transform("f", lambda x: x * F.ln(x + 1e-10)), F.lit(0.0), lambda a, x: a + x)
-        seen = moved.agg(F.sum(gap).alias("delta"), F.avg(F.array_max("f")).alias("confidence"), F.avg(ent).alias("entropy")).first()
+        moved = checkpoint(moved.select("i", "keep", "anchor", "f", gap.alias("gap"), F.array_max("f").alias("top"), ent.alias("ent")))
+        seen = moved.agg(F.sum("gap").alias("delta"), F.avg("top").alias("confidence"), F.avg("ent").alias("entropy")).first()
         history.append({"iteration": step + 1, **seen.asDict()})
-        state = moved.drop("old")
-        settled = (seen["delta"] or 0.0) < tol
-        if settled or (step + 1) % cut_every == 0 or step + 1 == max_iter:
-            state = checkpoint(state) if settled else state
-            for old in held:
-                old.unpersist()
-            held.clear()
-        if settled:
+        if step:
+            forget(state)
+        state = moved
+        if (seen["delta"] or 0.0) < tol:
             break
     edges.unpersist()  # the last step is checkpointed
     return state.select("i", "f"), history

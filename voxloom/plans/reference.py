@@ -559,7 +559,6 @@ def propagation_converged(spark: SparkSession, d: str) -> DataFrame:
     prior = nodes.withColumn("prior", F.col("truth")).withColumn("conf", F.lit(0.8))
     start = propagate.initial_scores(prior, classes, "prior", "conf")
     f, _ = propagate.propagate(checkpoint(row_graph(spark, d)), start, classes, weak=0.05)
-    f = checkpoint(f)
     got = propagate.decide(f, classes)
     return got.join(propagate.margin_confidence(f, len(classes)), "i").join(propagate.self_training(nodes, got, 0.5), "i")
 
